@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import token_counts
+from . import simhash, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -23,3 +23,10 @@ def op2_token_counts(spark, sf_dir):
     """Tokens of every whole text under the byte-level vocabulary, against a limit of 1024."""
     docs = table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query
+def op8_simhash(spark, sf_dir):
+    """SimHash fingerprints of three-word shingles, and classes of fingerprints within two bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
