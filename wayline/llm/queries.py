@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import simhash, token_counts
+from . import simhash, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -30,3 +30,10 @@ def op8_simhash(spark, sf_dir):
     """SimHash fingerprints of three-word shingles, and classes of fingerprints within two bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_substring_dedup(spark, sf_dir):
+    """What stays of every whole text without the 50-word windows that also start in a smaller document."""
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -89,18 +89,8 @@ def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=3
 def shingle_hashes(data, offsets, shingle):
     """XXH64 (seed 42) of every word shingle of lower-cased texts, and the index of the text of each."""
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    starts, ends, owner = tx.word_bounds(data, offsets)
-    # words joined by one space each: keep the byte before every word but a text's first, as a space
-    keep = np.zeros(len(data), bool)
-    joined = np.diff(owner, prepend=-1) == 0
-    gap = starts[joined] - 1
-    data[gap] = 32
-    keep[gap] = True
-    solid = ~tx.WHITE[data]
-    keep |= solid
-    place = np.concatenate([[0], np.cumsum(keep)])
-    raw = data[keep].tobytes()
-    starts, ends = place[starts], place[ends]
+    data, starts, ends, owner = tx.joined_words(data, offsets)
+    raw = data.tobytes()
     counts = np.bincount(owner, minlength=len(offsets) - 1)
     n = np.where(counts > 0, np.maximum(counts - shingle + 1, 1), 0)
     first = np.repeat(np.cumsum(counts) - counts, n) + tx.spread(n)

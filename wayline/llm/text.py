@@ -49,6 +49,17 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray):
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def joined_words(data: np.ndarray, offsets: np.ndarray):
+    """The texts with one space between neighbouring words and nothing else, and the bounds and owners of the words in them."""
+    starts, ends, owner = word_bounds(data, offsets)
+    data, keep = data.copy(), ~WHITE[data]
+    gap = starts[np.diff(owner, prepend=-1) == 0] - 1
+    data[gap] = 32
+    keep[gap] = True
+    place = np.concatenate([[0], np.cumsum(keep)])
+    return data[keep], place[starts], place[ends], owner
+
+
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of unsigned 64-bit values that spreads every input bit."""
     x = x + np.uint64((seed * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & _MASK)
