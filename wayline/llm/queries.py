@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import simhash, substring_dedup, token_counts
+from . import bpe, simhash, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,3 +37,16 @@ def op5_substring_dedup(spark, sf_dir):
     """What stays of every whole text without the 50-word windows that also start in a smaller document."""
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op10_bpe(spark, sf_dir):
+    """Ids of every whole text under the vocabulary with word ends, and the text that they decode to, as digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
