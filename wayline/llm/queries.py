@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, substring_dedup, token_counts
+from . import bpe, language_id, simhash, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -18,6 +18,20 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(modulus):
+    """crc32 of the id as text, modulo."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@query
+def op1_language_id(spark, sf_dir):
+    """The language of every whole text; learned from labelled rows whose crc32 remainder is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(remainder(4) != 2))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @query
 def op2_token_counts(spark, sf_dir):
     """Tokens of every whole text under the byte-level vocabulary, against a limit of 1024."""
