@@ -26,9 +26,11 @@ from . import text as tx
 WINDOW = 50
 RUN = 4
 #: Words that a bucket holds, about, and the most minimisers whose windows travel one by one (8 bytes each in tasks).
-BUCKET_WORDS = 2_000_000
+BUCKET_WORDS = 1_000_000
 MOST_HOT = 1_000_000
-CHUNK = 1 << 22
+CHUNK = 1 << 20
+#: Bytes of strings that a task gathers before it compresses and sends them.
+GATHER = 24 << 20
 
 
 class Windows:
@@ -96,44 +98,50 @@ def _loads(docs, window, run):
 
 
 def _packed(docs, window, run, buckets, hot):
-    """(bucket, doc, first, windows, packed): the super-k-mers that each chunk sends to each bucket, their strings compressed together."""
+    """(bucket, facts, packed): the super-k-mers that a task sends to a bucket, their strings compressed together;
+    facts: document, first word and windows of each."""
 
     def emit(batches):
+        gathered, size = {}, 0
         for ids, base, w in _loaded(batches, window, run):
             least, first, counts = w.super_kmers()
             cold = ~np.isin(least, hot)
             least, first, counts = least[cold], first[cold], counts[cold]
-            if not len(least):
-                continue
             bucket = (tx.mixed(least, 7) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, first, counts = bucket[order], first[order], counts[order]
             raw, own = w.data.tobytes(), w.owner[first]
-            a, b = w.starts[first].tolist(), w.ends[first + counts + window - 2].tolist()
-            docs_, place = ids[own].astype(np.int64), (first - base[own]).astype(np.int64)
+            a, b = w.starts[first], w.ends[first + counts + window - 2]
+            size += int((b - a).sum())
+            a, b = a.tolist(), b.tolist()
+            facts = np.column_stack([ids[own].astype(np.int64), first - base[own], counts])
             at, sizes = tx.runs(bucket)
-            rows = {k: [] for k in ("bucket", "doc", "first", "windows", "packed")}
             for s, e in zip(at.tolist(), (at + sizes).tolist()):
-                rows["bucket"].append(int(bucket[s]))
-                rows["doc"].append(docs_[s:e].tobytes())
-                rows["first"].append(place[s:e].tobytes())
-                rows["windows"].append(counts[s:e].astype(np.int64).tobytes())
-                text = b"\n".join([raw[x:y] for x, y in zip(a[s:e], b[s:e])])
-                rows["packed"].append(len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), *(pa.array(rows[k], pa.binary()) for k in ("doc", "first", "windows", "packed"))], list(rows))
+                rows, texts = gathered.setdefault(int(bucket[s]), ([], []))
+                rows.append(facts[s:e])
+                texts += [raw[x:y] for x, y in zip(a[s:e], b[s:e])]
+            if size > GATHER:
+                yield from _sent(gathered)
+                gathered, size = {}, 0
+        yield from _sent(gathered)
 
-    return docs.mapInArrow(emit, "bucket long, doc binary, first binary, windows binary, packed binary")
+    return docs.mapInArrow(emit, "bucket long, facts binary, packed binary")
+
+
+def _sent(gathered):
+    codec = pa.Codec("zstd", compression_level=4)
+    for bucket, (rows, texts) in gathered.items():
+        text = b"\n".join(texts)
+        packed = len(text).to_bytes(8, "little") + codec.compress(text, asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([np.concatenate(rows).tobytes()], pa.binary()), pa.array([packed], pa.binary())], ["bucket", "facts", "packed"])
 
 
 def _in_buckets(packed, window, run):
     """(doc_id, first, windows): stretches of windows that also start in a smaller document, found within each bucket."""
 
     def count(table: pa.Table) -> pa.Table:
-        def joined(name):
-            return np.frombuffer(b"".join(table.column(name).to_pylist()), np.int64)
-
         texts = b"\n".join(pa.decompress(p[8:], int.from_bytes(p[:8], "little"), codec="zstd", asbytes=True) for p in table.column("packed").to_pylist())
-        doc, first, counts = joined("doc"), joined("first"), joined("windows")
+        doc, first, counts = np.frombuffer(b"".join(table.column("facts").to_pylist()), np.int64).reshape(-1, 3).T
         data = np.frombuffer(texts, np.uint8)
         starts, ends, _ = tx.word_bounds(data, np.array([0, len(data)]))
         w = Windows(window, run).load(data, starts, ends, np.zeros(len(starts), np.int64))

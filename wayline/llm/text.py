@@ -93,8 +93,14 @@ class Hasher:
     def of(self, totals: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
         return mixed((totals[ends] - totals[starts]) * self.undo[starts] + (ends - starts).astype(np.uint64), seed)
 
-    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-        return self.of(self.totals(values), starts, ends, seed)
+    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, block: int = 1 << 16) -> np.ndarray:
+        """Hashes of ascending ranges, a block of them at a time, so that tables stay as small as a block."""
+        out = np.empty(len(starts), np.uint64)
+        for a in range(0, len(starts), block):
+            s, e = starts[a : a + block], ends[a : a + block]
+            part = values[s[0] : e.max()]
+            out[a : a + block] = self.of(self.totals(part), s - s[0], e - s[0], seed)
+        return out
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
