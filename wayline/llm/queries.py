@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, simhash, substring_dedup, token_counts
+from . import bpe, language_id, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -64,3 +64,13 @@ def op10_bpe(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    """Toxicity of every whole text; learned from labelled rows whose crc32 remainder is not 1."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = labels.where(remainder(3) != 1).select("doc_id", "toxic").join(docs.select("doc_id", "text", "lang"), "doc_id")
+    model = toxicity.fit(labelled)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
