@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, simhash, substring_dedup, token_counts, toxicity
+from . import bpe, decontamination, language_id, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -74,3 +74,9 @@ def op6_toxicity(spark, sf_dir):
     model = toxicity.fit(labelled)
     found = toxicity.score(docs, model)
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op4_decontamination(spark, sf_dir):
+    """The benchmark items that occur in each document, with their distance and place."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
