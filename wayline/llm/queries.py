@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, simhash, substring_dedup, token_counts, toxicity
+from . import bpe, decontamination, language_id, quotation, simhash, substring_dedup, token_counts, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -80,3 +80,48 @@ def op6_toxicity(spark, sf_dir):
 def op4_decontamination(spark, sf_dir):
     """The benchmark items that occur in each document, with their distance and place."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_quotation(spark, sf_dir):
+    """Messages without quotes, the turn that each answers and its place in reply order."""
+    return quotation.reply_order(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op7_quotation"] = r"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, role, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS raw FROM conversations
+), l AS (
+  SELECT id, conv_id, turn, unnest(raw) AS line, generate_subscripts(raw, 1) AS i FROM m
+), d AS (
+  SELECT id, conv_id, turn, i, length(regexp_replace(regexp_extract(line, '^\s*((?:>\s?)+)', 1), '[^>]', '', 'g')) AS depth,
+         regexp_replace(line, '^\s*((?:>\s?)+)', '') AS line FROM l
+), k AS (
+  SELECT *, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS words, lead(depth, 1, 0) OVER (PARTITION BY id ORDER BY i) AS below FROM d
+), firsts AS (
+  SELECT conv_id, words, min(turn) AS original FROM k WHERE depth = 0 AND words <> '' GROUP BY 1, 2
+), linked AS (
+  SELECT q.conv_id, q.turn, q.depth, f.original, count(*) AS n FROM k q JOIN firsts f USING (conv_id, words) WHERE q.depth > 0 AND f.original < q.turn GROUP BY 1, 2, 3, 4
+), parents AS (
+  SELECT conv_id, turn, arg_max(original, n * 1000000000 + original) FILTER (WHERE depth = 1) AS reply_to, sum(n)::BIGINT AS n_linked FROM linked GROUP BY 1, 2
+), up AS (
+  SELECT conv_id, turn, reply_to AS thread, 1::BIGINT AS thread_depth FROM parents WHERE reply_to IS NOT NULL
+  UNION ALL
+  SELECT up.conv_id, up.turn, p.reply_to, up.thread_depth + 1 FROM up JOIN parents p ON p.conv_id = up.conv_id AND p.turn = up.thread AND p.reply_to IS NOT NULL
+), roots AS (
+  SELECT conv_id, turn, arg_max(thread, thread_depth) AS thread, max(thread_depth) AS thread_depth FROM up GROUP BY 1, 2
+), own AS (
+  SELECT id, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE depth = 0 AND NOT (below > 0 AND regexp_matches(line,
+           '(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$'))), ''), '^\s+|\s+$', '', 'g') AS text,
+         max(depth)::INT AS max_depth, count(*) FILTER (WHERE depth > 0) AS n_quoted FROM k GROUP BY id
+)
+SELECT m.conv_id, m.turn, m.role, own.text, own.max_depth, own.n_quoted, coalesce(p.n_linked, 0) AS n_linked, p.reply_to,
+       coalesce(r.thread, m.turn) AS thread, coalesce(r.thread_depth, 0) AS thread_depth
+FROM m JOIN own USING (id) LEFT JOIN parents p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN roots r ON r.conv_id = m.conv_id AND r.turn = m.turn
+"""
+
+
+@query
+def op9_warc(spark, sf_dir):
+    """Metadata and conversion records of every crawled page."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")), keep="page_id")
