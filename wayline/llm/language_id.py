@@ -134,7 +134,7 @@ def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="lan
     """Train on about `quota` rows of each label, drawn by a hash of the id; of a very long text its first `chars` characters teach."""
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"), F.substring(text_col, 1, chars).alias("text"))
-    sample = stratified(rows, "label", "doc_id", quota)
+    sample = sorted(stratified(rows, "label", "doc_id", quota).collect(), key=lambda r: (r.label, r.doc_id))
     return train([r.text for r in sample], [r.label for r in sample])
 
 

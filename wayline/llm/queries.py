@@ -70,8 +70,7 @@ def op10_bpe(spark, sf_dir):
 def op6_toxicity(spark, sf_dir):
     """Toxicity of every whole text; learned from labelled rows whose crc32 remainder is not 1."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labelled = labels.where(remainder(3) != 1).select("doc_id", "toxic").join(docs.select("doc_id", "text", "lang"), "doc_id")
-    model = toxicity.fit(labelled)
+    model = toxicity.fit(docs, labels.where(remainder(3) != 1))
     found = toxicity.score(docs, model)
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -4,20 +4,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stratified(rows: DataFrame, label: str, key: str, quota: int, most_labels: int = 256) -> list:
-    """About `quota` rows of each label (at most 1.25 times that), in key order.
+def stratified(rows: DataFrame, label: str, key: str, quota: int, most_labels: int = 256) -> DataFrame:
+    """About `quota` rows of each label, and never more than 1.25 times that over all labels together.
 
     The labels are counted first; each row then stays if the hash of its key falls under its label's
     share, so nothing is shuffled but counts. Of more than `most_labels` labels the commonest are learned.
     """
     counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
-    out = []
-    if not counts:
-        return out
-    share = F.lit(None).cast("double")
+    share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col(label) == F.lit(r[0]), F.lit(min(1.0, quota / r[1]))).otherwise(share)
-    drawn = (F.xxhash64(F.col(key).cast("string"), F.lit("sample")) % 1_000_000 + 1_000_000) % 1_000_000
-    kept = rows.where(drawn < share * 1_000_000)
-    got = kept.limit(int(1.25 * quota * len(counts)) + 16).collect()
-    return sorted(got, key=lambda r: (str(r[label]), r[key]))
+    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000))
+    return rows.where(drawn < share * 1_000_000).limit(int(1.25 * quota * len(counts)) + 16)
