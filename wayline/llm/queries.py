@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, quotation, simhash, substring_dedup, token_counts, toxicity, warc
+from . import bpe, decontamination, language_id, nearest, quotation, simhash, substring_dedup, token_counts, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -124,3 +124,9 @@ FROM m JOIN own USING (id) LEFT JOIN parents p ON p.conv_id = m.conv_id AND p.tu
 def op9_warc(spark, sf_dir):
     """Metadata and conversion records of every crawled page."""
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")), keep="page_id")
+
+
+@query
+def op3_nearest(spark, sf_dir):
+    """The ten nearest found of every vector whose id is divisible by 100."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
