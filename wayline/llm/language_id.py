@@ -201,3 +201,16 @@ def predict(docs: DataFrame, model: dict | None, *, id_col="doc_id", text_col="t
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, accepted boolean").withColumnRenamed("doc_id", id_col)
+
+
+def accepted(docs: DataFrame, model: dict | None, *, text_col="text") -> DataFrame:
+    """The documents whose language the model is sure enough of, all their columns as they were; narrow. Without a model none is."""
+
+    def run(batches):
+        scorer = Scorer(model) if model else None
+        for batch in tx.chunks(batches, text_col):
+            if scorer:
+                p, some = scorer.score(batch.column(text_col).to_pylist())
+                yield batch.filter(pa.array(some & (p.max(axis=1) >= model["least"])))
+
+    return docs.mapInArrow(run, docs.schema)

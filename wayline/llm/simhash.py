@@ -169,3 +169,156 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     found = components(links(nodes))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+# Near duplicates by the Jaccard similarity of their word shingles.
+#
+# Documents as similar as that still differ in some tenths of a narrow fingerprint of shingles, so the
+# candidates come from a wide fingerprint of words (each weighing the root of its count): its many
+# segments make it likely that one is clean and the next within reach of the Golay keys.
+
+SEEDS = 5
+WIDE = 13  # segments of 23 bits
+FAR = 72  # of 299 bits; beyond it no pair is worth an exact comparison
+
+
+def word_segments(data, starts, ends, owner, texts, hasher) -> np.ndarray:
+    """The wide fingerprint of each text, as 23-bit segments."""
+    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    hashes = hasher.ranges(low, starts, ends)
+    order = np.lexsort((hashes, owner))
+    h, o = hashes[order], owner[order]
+    at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])) if len(h) else np.zeros(0, np.int64)
+    weight = np.sqrt(np.diff(np.append(at, len(h)))).astype(np.float32)
+    h, o = h[at], o[at]
+    sums = np.zeros((texts, 64 * SEEDS), np.float32)
+    for a in range(0, len(h), 1 << 14):
+        part, own, w = h[a : a + (1 << 14)], o[a : a + (1 << 14)], weight[a : a + (1 << 14)]
+        bits = np.unpackbits(np.column_stack([tx.mixed(part, s) for s in range(SEEDS)]).view(np.uint8), axis=1)
+        begins, _ = tx.runs(own)
+        sums[own[begins]] += np.add.reduceat((bits * np.float32(2) - np.float32(1)) * w[:, None], begins, axis=0)
+    set_bits = (sums[:, : 23 * WIDE] > 0).reshape(texts, WIDE, 23)
+    return (set_bits * (1 << np.arange(23))).sum(axis=2).astype(np.int32)
+
+
+def shingle_sets(data, starts, ends, owner, texts, shingle, hasher, grams) -> list[np.ndarray]:
+    """The distinct word shingles of each lower-cased text, as sorted 32-bit hashes; shorter texts are one shingle."""
+    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    words = hasher.ranges(low, starts, ends)
+    counts = np.bincount(owner, minlength=texts)
+    n = np.where(counts > 0, np.maximum(counts - shingle + 1, 1), 0)
+    base = np.cumsum(counts) - counts
+    first = np.repeat(base, n) + tx.spread(n)
+    last = np.minimum(first + shingle, np.repeat(base + counts, n))
+    hashes = (grams.of(grams.totals(words), first, last) >> np.uint64(32)).astype(np.uint32)
+    return [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])] if texts else []
+
+
+def _read(batches, limit=tx.CHUNK_BYTES >> 1):
+    hasher, grams = tx.Hasher(), tx.Hasher(0x8CB92BA72F3D8DD7)
+    for batch in tx.chunks(batches, limit=limit):
+        yield batch, hasher, grams, tx.joined_words(*tx.as_bytes(batch.column("text")))
+
+
+def _outlines(source, shingle):
+    """(doc_id, d1, d2, segments): a digest of each text's shingles, and its wide fingerprint."""
+
+    def run(batches):
+        for batch, hasher, grams, (data, starts, ends, owner) in _read(batches):
+            sets = shingle_sets(data, starts, ends, owner, batch.num_rows, shingle, hasher, grams)
+            digests = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            segments = word_segments(data, starts, ends, owner, batch.num_rows, hasher)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([s.tobytes() for s in segments], pa.binary())], ["doc_id", "d1", "d2", "segments"])
+
+    return source.mapInArrow(run, "doc_id long, d1 long, d2 long, segments binary")
+
+
+def _wide_keys(nodes):
+    """(key, node): a clean segment and the Golay keys of the next one, for every segment."""
+
+    def run(batches):
+        code = Golay()
+        for batch in batches:
+            parts = np.frombuffer(b"".join(batch.column("segments").to_pylist()), np.int32).reshape(-1, WIDE).astype(np.int64)
+            for i in range(WIDE):
+                near = code.keys(parts[:, (i + 1) % WIDE])
+                r, c = np.nonzero(near >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(near[r, c] | parts[r, i] << 12 | i << 35), batch.column("node").take(pa.array(r))], ["key", "node"])
+
+    return nodes.mapInArrow(run, "key long, node long")
+
+
+def _candidates(nodes, crowd):
+    """Pairs of nodes that share a key and whose wide fingerprints are near; a crowded key links its members to its smallest node."""
+    keyed = _wide_keys(nodes)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    shared = materialise(shared, "keys")
+    two = shared.where("n = 2").select(F.col("low").alias("src"), F.col("high").alias("dst"))
+    members = materialise(keyed.join(shared.where("n > 2"), "key").select("key", "node", "n", "low"), "members")
+    few = members.where(F.col("n") <= crowd)
+    some = few.select("key", F.col("node").alias("src")).join(few.select("key", F.col("node").alias("dst")), "key").where("src < dst").select("src", "dst")
+    many = members.where((F.col("n") > crowd) & (F.col("node") > F.col("low"))).select(F.col("low").alias("src"), F.col("node").alias("dst"))
+    pairs = two.union(some.distinct()).union(many).distinct()
+    side = nodes.select(F.col("node").alias("src"), F.col("segments").alias("s1"))
+    other = nodes.select(F.col("node").alias("dst"), F.col("segments").alias("s2"))
+
+    def near(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, WIDE) for c in ("s1", "s2"))
+            good = np.flatnonzero(np.bitwise_count(a ^ b).sum(axis=1) <= FAR)
+            yield batch.select(["src", "dst"]).take(pa.array(good))
+
+    return pairs.join(side, "src").join(other, "dst").mapInArrow(near, "src long, dst long")
+
+
+def _verified(source, pairs, shingle, similarity):
+    """The pairs whose shingles are as similar as asked, compared exactly."""
+    wanted = pairs.select(F.col("src").alias("doc_id")).union(pairs.select(F.col("dst").alias("doc_id"))).distinct()
+    texts = source.join(wanted, "doc_id", "left_semi")
+
+    def cut(batches):
+        for batch, hasher, grams, (data, starts, ends, owner) in _read(batches):
+            sets = shingle_sets(data, starts, ends, owner, batch.num_rows, shingle, hasher, grams)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
+
+    def compare(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                good = []
+                for i, (a, b) in enumerate(zip(part.column("g1").to_pylist(), part.column("g2").to_pylist())):
+                    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                        continue
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= similarity * (len(x) + len(y) - both):
+                        good.append(i)
+                yield part.select(["src", "dst"]).take(pa.array(good, pa.int64()))
+
+    sets = materialise(texts.mapInArrow(cut, "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
+    one = sets.select(F.col("doc_id").alias("src"), F.col("grams").alias("g1"))
+    two = sets.select(F.col("doc_id").alias("dst"), F.col("grams").alias("g2"))
+    return pairs.join(one, "src").join(two, "dst").mapInArrow(compare, "src long, dst long")
+
+
+def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=5, similarity=0.8, crowd=CROWD) -> DataFrame:
+    """(id, component_id) of every document: those whose sets of word shingles are as similar as asked are linked.
+
+    Documents of equal shingles are one node, so exact copies cost nothing further. Candidates come
+    from the wide fingerprint; every link is verified on the whole shingle sets. Within a key that
+    more than `crowd` nodes share, members are compared with its smallest node only: they meet each
+    other through the up to 78 keys that each has. Documents without words are copies of each other.
+    """
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    outlines = materialise(_outlines(source, shingle), "outlines")
+    nodes = materialise(outlines.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by("segments", "doc_id").alias("segments")), "nodes")
+    pairs = materialise(_candidates(nodes, crowd), "pairs")
+    found = components(_verified(source, pairs, shingle, similarity))
+    named = nodes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
+    return outlines.join(named, ["d1", "d2"]).select(F.col("doc_id").alias(id_col), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col="doc_id", **options) -> DataFrame:
+    """The documents with the smallest id of their class, all their columns as they were. A document whose id is null stays."""
+    spare = similar_documents(docs, id_col=id_col, **options).where(f"{id_col} <> component_id").select(F.col(id_col).alias("_spare"))
+    return docs.join(spare, F.col(id_col).cast("long") == F.col("_spare"), "left_anti")

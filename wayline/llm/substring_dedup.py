@@ -194,35 +194,43 @@ def repeated_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", window=
     return spans.withColumnRenamed("doc_id", id_col)
 
 
+def _with_spans(docs, id_col, text_col, window, run, bucket_words):
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, window=window, run=run, bucket_words=bucket_words)
+    spans = spans.groupBy(F.col(id_col).alias("_id")).agg(F.collect_list(F.struct("first", "windows")).alias("_spans"))
+    return docs.join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+
+
+def _kept(texts, spans, window):
+    """For each text the number of its words, how many go, and what stays as bytes."""
+    data, starts, ends, owner = tx.joined_words(*tx.as_bytes(texts))
+    counts = np.bincount(owner, minlength=len(texts))
+    base, lists = np.cumsum(counts) - counts, spans.to_pylist()
+    change = np.zeros(len(starts) + 1, np.int64)
+    for b, own in zip(base.tolist(), lists):
+        for s in own or ():
+            change[b + s["first"]] += 1
+            change[b + s["first"] + s["windows"] + window - 1] -= 1
+    gone = np.cumsum(change[:-1]) > 0
+    raw, kept = data.tobytes(), []
+    for b, n, own in zip(base.tolist(), counts.tolist(), lists):
+        if not own:
+            kept.append(raw[starts[b] : ends[b + n - 1]] if n else b"")
+            continue
+        at = np.flatnonzero(~gone[b : b + n]) + b
+        edge = np.flatnonzero(np.diff(at) != 1)
+        heads, tails = np.append(at[:1], at[edge + 1]), np.append(at[edge], at[-1:])
+        kept.append(b" ".join(raw[starts[h] : ends[t]] for h, t in zip(heads, tails)))
+    return counts, np.bincount(owner[gone], minlength=len(texts)), kept
+
+
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window=WINDOW, run=RUN, bucket_words=BUCKET_WORDS) -> DataFrame:
     """(id, n_words, n_removed, kept, kept_sha256) of every document: each word under a window that also starts in a
     document with a smaller id is removed; kept words are joined by one space. Windows are judged on the input."""
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, window=window, run=run, bucket_words=bucket_words)
-    spans = spans.groupBy(F.col(id_col).alias("doc_id")).agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(spans, "doc_id", "left")
+    source = _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", window, run, bucket_words)
 
     def cut(batches):
         for batch in tx.chunks(batches):
-            data, starts, ends, owner = tx.joined_words(*tx.as_bytes(batch.column("text")))
-            counts = np.bincount(owner, minlength=batch.num_rows)
-            base = np.cumsum(counts) - counts
-            lists = batch.column("spans").to_pylist()
-            change = np.zeros(len(starts) + 1, np.int64)
-            for b, spans in zip(base.tolist(), lists):
-                for s in spans or ():
-                    change[b + s["first"]] += 1
-                    change[b + s["first"] + s["windows"] + window - 1] -= 1
-            gone = np.cumsum(change[:-1]) > 0
-            raw, kept = data.tobytes(), []
-            for b, n, spans in zip(base.tolist(), counts.tolist(), lists):
-                if not spans:
-                    kept.append(raw[starts[b] : ends[b + n - 1]] if n else b"")
-                    continue
-                at = np.flatnonzero(~gone[b : b + n]) + b
-                edge = np.flatnonzero(np.diff(at) != 1)
-                heads, tails = at[np.concatenate([[0], edge + 1])] if len(at) else at, at[np.append(edge, len(at) - 1)] if len(at) else at
-                kept.append(b" ".join(raw[starts[h] : ends[t]] for h, t in zip(heads, tails)))
-            removed = np.bincount(owner[gone], minlength=batch.num_rows)
+            counts, removed, kept = _kept(batch.column("text"), batch.column("_spans"), window)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
@@ -231,3 +239,21 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window=
     kind = source.schema["doc_id"].dataType.simpleString()
     out = source.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
     return out.withColumnRenamed("doc_id", id_col)
+
+
+def without_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window=WINDOW, run=RUN, bucket_words=BUCKET_WORDS) -> DataFrame:
+    """Every document with all its columns; a text from which words go becomes its kept words, any other stays as it was."""
+    source = _with_spans(docs, id_col, text_col, window, run, bucket_words)
+    names = list(docs.columns)
+    place = names.index(text_col)
+
+    def cut(batches):
+        for batch in tx.chunks(batches, text_col):
+            texts = batch.column(text_col)
+            _, removed, kept = _kept(texts, batch.column("_spans"), window)
+            new = [k.decode() if n else t for k, n, t in zip(kept, removed, texts.to_pylist())]
+            columns = [batch.column(c) for c in names]
+            columns[place] = pa.array(new, texts.type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return source.mapInArrow(cut, docs.schema)
