@@ -1 +1 @@
-
+"""Column builders: what Catalyst can see and compile."""
