@@ -1,0 +1,69 @@
+"""Queries on simplification."""
+
+from ..operators import persistence, simplify
+from . import tables as t
+from .registry import query, r6
+from pyspark.sql import functions as F
+
+EPS = 12.0
+
+_CHORD = "CASE WHEN (b.x - a.x) ** 2 + (b.y - a.y) ** 2 < 1e-12 THEN sqrt((p.x - a.x) ** 2 + (p.y - a.y) ** 2) ELSE sqrt((p.x - a.x - f * (b.x - a.x)) ** 2 + (p.y - a.y - f * (b.y - a.y)) ** 2) END"
+_SPLIT = f"""WITH RECURSIVE {t.SUPPLY}, r AS (
+  SELECT tid, min(seq) AS lo, max(seq) AS hi, CAST(NULL AS BIGINT) AS k, CAST(0 AS DOUBLE) AS m FROM p GROUP BY tid
+  UNION ALL
+  SELECT tid, e[1], e[2], k, m FROM (
+    SELECT tid, unnest([[lo, k], [k, hi]]) AS e, k, m FROM (
+      SELECT tid, lo, hi, arg_min(seq, seq) FILTER (d = top) AS k, any_value(top) AS m FROM (
+        SELECT *, max(d) OVER (PARTITION BY tid, lo, hi) AS top FROM (
+          SELECT s.tid, s.lo, s.hi, s.seq, {_CHORD.replace('p.x', 's.x').replace('p.y', 's.y').replace('a.x', 's.ax').replace('a.y', 's.ay').replace('b.x', 's.bx').replace('b.y', 's.by')} AS d FROM (
+            SELECT r.tid, r.lo, r.hi, p.seq, p.x, p.y, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS "by",
+              least(greatest(((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y)) / nullif((b.x - a.x) ** 2 + (b.y - a.y) ** 2, 0), 0), 1) AS f
+            FROM r JOIN p ON p.tid = r.tid AND p.seq > r.lo AND p.seq < r.hi JOIN p a ON a.tid = r.tid AND a.seq = r.lo JOIN p b ON b.tid = r.tid AND b.seq = r.hi) s))
+      GROUP BY tid, lo, hi) WHERE m > {EPS}))"""
+_SPLIT = _SPLIT.replace("s.by", 's."by"')
+
+
+@query(f"{_SPLIT}, w AS (SELECT tid, lo AS seq FROM r UNION SELECT tid, hi FROM r) SELECT p.tid, p.seq, p.y FROM p JOIN w USING (tid, seq)")
+def douglas_peucker(spark, sf_dir):
+    return simplify.douglas_peucker(t.supply(spark, sf_dir), EPS).select("tid", "seq", "y")
+
+
+@query(f"{_SPLIT}, w AS (SELECT DISTINCT tid, k AS seq, m FROM r WHERE k IS NOT NULL) SELECT p.tid, p.seq, round(coalesce(m, 0), 6) AS weight FROM p LEFT JOIN w USING (tid, seq)")
+def douglas_peucker_weights(spark, sf_dir):
+    return simplify.douglas_peucker_weights(t.supply(spark, sf_dir), EPS).select("tid", "seq", r6(F.col("weight")).alias("weight"))
+
+
+@query()
+def opening_window(spark, sf_dir):
+    """Each trajectory by an opening window; sequential, so tested against a plain loop."""
+    return simplify.opening_window(t.supply(spark, sf_dir), EPS).select("tid", "seq", "y")
+
+
+@query()
+def threshold_sampling(spark, sf_dir):
+    return simplify.threshold_sampling(t.supply(spark, sf_dir), 10.0, 60.0).select("tid", "seq", "y")
+
+
+@query()
+def curve_extrema(spark, sf_dir):
+    return persistence.marked_extrema(t.events(spark, sf_dir)).select("tid", "seq", "kind")
+
+
+@query()
+def persistence_bars(spark, sf_dir):
+    return persistence.bars(t.events(spark, sf_dir))
+
+
+@query()
+def persistence_prune(spark, sf_dir):
+    return persistence.pruned(t.events(spark, sf_dir), 30.0).select("tid", "seq", "y")
+
+
+@query()
+def persistence_mrs(spark, sf_dir):
+    return persistence.pruned_multi_resolution(t.events(spark, sf_dir), 30.0, 5).select("tid", "seq", "y")
+
+
+@query()
+def persistence_sds(spark, sf_dir):
+    return persistence.pruned_by_segments(t.events(spark, sf_dir), 30.0, 5.0, 5).select("tid", "seq", "y")
