@@ -28,7 +28,7 @@ from .token_counts import byte_alphabet
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same on ASCII text in lower case, for the quicker engine.
 ASCII = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t-\r]+"
-MEMO = 400_000
+MEMO = 250_000
 
 
 class Vocabulary:
@@ -177,52 +177,77 @@ def _load(path: str) -> dict:
         return json.load(f)
 
 
+class Decoder:
+    """The tokens of ids, special ones too, joined as the library joins them; ids outside the vocabulary are nothing."""
+
+    def __init__(self, spec: dict):
+        known = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+        self.names = np.array([known.get(i) for i in range(max(known) + 1)], object)
+
+    def decode(self, ids: pa.Array) -> list[str]:
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        bad = (flat < 0) | (flat >= len(self.names))
+        words = self.names[np.where(bad, 0, flat)]
+        words[bad] = None
+        sizes = np.array([n or 0 for n in ids.value_lengths().to_pylist()], np.int64)
+        ends = np.cumsum(sizes)
+        return [" ".join([w for w in words[b - n : b] if w is not None]) for n, b in zip(sizes.tolist(), ends.tolist())]
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
+def _narrow(source, run, columns):
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, {columns}")
+
+
 def encode(docs: DataFrame, vocabulary: str, *, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, ids): the token ids of every whole text, without begin or end tokens; narrow.
 
     vocabulary: a BPE file with word ends that every executor can open.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         encoder = None
         for batch in tx.chunks(batches):
             encoder = encoder or Encoder(_load(vocabulary))
             ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, ids array<int>").withColumnRenamed("doc_id", id_col)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _narrow(source, run, "ids array<int>").withColumnRenamed("doc_id", id_col)
 
 
 def decode(tokens: DataFrame, vocabulary: str, *, id_col="doc_id", ids_col="ids") -> DataFrame:
     """(id, ids, decoded): the tokens of every list of ids, special ones too, as the library joins them."""
-    source = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
 
     def run(batches):
-        names = None
+        decoder = None
         for batch in batches:
-            if names is None:
-                spec = _load(vocabulary)
-                known = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
-                names = np.array([known.get(i) for i in range(max(known) + 1)], object)
+            decoder = decoder or Decoder(_load(vocabulary))
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 ids = part.column("ids")
-                flat = ids.flatten().to_numpy(zero_copy_only=False)
-                words = names[np.where((flat >= 0) & (flat < len(names)), flat, 0).astype(np.int64)] if len(flat) else np.zeros(0, object)
-                bad = (flat < 0) | (flat >= len(names))
-                sizes = [0 if x is None else x for x in ids.value_lengths().to_pylist()]
-                out, at = [], 0
-                for n in sizes:
-                    piece = words[at : at + n]
-                    if bad[at : at + n].any():
-                        piece = piece[~bad[at : at + n]]
-                    out.append(" ".join([w for w in piece if w is not None]))
-                    at += n
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(decoder.decode(ids), pa.string())], ["doc_id", "ids", "decoded"])
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string").withColumnRenamed("doc_id", id_col)
+    source = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+    return _narrow(source, run, "ids array<int>, decoded string").withColumnRenamed("doc_id", id_col)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """(id, ids, decoded): encode() and decode() of every text in one task, so that ids cross to Python once."""
+
+    def run(batches):
+        encoder = decoder = None
+        for batch in tx.chunks(batches, limit=1 << 20):
+            if encoder is None:
+                spec = _load(vocabulary)
+                encoder, decoder = Encoder(spec), Decoder(spec)
+            ids = _lists(encoder.encode([t or "" for t in batch.column("text").to_pylist()]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoder.decode(ids), pa.string())], ["doc_id", "ids", "decoded"])
+
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _narrow(source, run, "ids array<int>, decoded string").withColumnRenamed("doc_id", id_col)

@@ -29,7 +29,7 @@ UNKNOWN = "und"
 TABLE = 1 << 16
 #: How much faster the table learns than the layer above it; a word touches few of its rows.
 GAIN = 100.0
-MEMO = 500_000
+MEMO = 200_000
 
 
 class Subwords:
@@ -170,13 +170,11 @@ class Scorer:
             self.learn(new)
         some = np.array([bool(ws) for ws in cut], bool)
         z = np.zeros((len(texts), len(self.m["names"])))
-        for i, ws in enumerate(cut):
-            if ws:
-                at = np.fromiter((known[w] for w in ws), np.int64, len(ws))
-                times = np.bincount(at)
-                seen = np.flatnonzero(times)
-                times = times[seen]
-                z[i] = times @ self.sums[seen] / (times @ self.counts[seen])
+        if some.any():
+            sizes = np.array([len(ws) for ws in cut])[some]
+            starts = np.cumsum(sizes) - sizes
+            at = np.fromiter((known[w] for ws in cut for w in ws), np.int64, int(sizes.sum()))
+            z[some] = np.add.reduceat(self.sums[at], starts, axis=0) / np.add.reduceat(self.counts[at], starts)[:, None]
         return _softmax((z + self.m["bias"]) / self.m["heat"]), some
 
 
@@ -186,7 +184,7 @@ def predict(docs: DataFrame, model: dict | None, *, id_col="doc_id", text_col="t
 
     def run(batches):
         scorer = None
-        for batch in tx.chunks(batches):
+        for batch in tx.chunks(batches, limit=1 << 20):
             if model is None:
                 p, some = np.zeros((batch.num_rows, 1)), np.zeros(batch.num_rows, bool)
                 names, least = np.array([UNKNOWN], object), 1.0
@@ -208,7 +206,7 @@ def accepted(docs: DataFrame, model: dict | None, *, text_col="text") -> DataFra
 
     def run(batches):
         scorer = Scorer(model) if model else None
-        for batch in tx.chunks(batches, text_col):
+        for batch in tx.chunks(batches, text_col, limit=1 << 20):
             if scorer:
                 p, some = scorer.score(batch.column(text_col).to_pylist())
                 yield batch.filter(pa.array(some & (p.max(axis=1) >= model["least"])))

@@ -57,7 +57,7 @@ def op5_substring_dedup(spark, sf_dir):
 def op10_bpe(spark, sf_dir):
     """Ids of every whole text under the vocabulary with word ends, and the text that they decode to, as digests."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    tokens = bpe.round_trip(table(spark, sf_dir, "documents"), path)
     return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

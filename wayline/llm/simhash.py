@@ -192,12 +192,13 @@ def word_segments(data, starts, ends, owner, texts, hasher) -> np.ndarray:
     weight = np.sqrt(np.diff(np.append(at, len(h)))).astype(np.float32)
     h, o = h[at], o[at]
     sums = np.zeros((texts, 64 * SEEDS), np.float32)
-    for a in range(0, len(h), 1 << 14):
-        part, own, w = h[a : a + (1 << 14)], o[a : a + (1 << 14)], weight[a : a + (1 << 14)]
-        bits = np.unpackbits(np.column_stack([tx.mixed(part, s) for s in range(SEEDS)]).view(np.uint8), axis=1)
-        begins, _ = tx.runs(own)
-        sums[own[begins]] += np.add.reduceat((bits * np.float32(2) - np.float32(1)) * w[:, None], begins, axis=0)
-    set_bits = (sums[:, : 23 * WIDE] > 0).reshape(texts, WIDE, 23)
+    mean = np.bincount(o, weights=weight, minlength=texts) / 2
+    for a in range(0, len(h), 1 << 13):
+        part, own, w = h[a : a + (1 << 13)], o[a : a + (1 << 13)], weight[a : a + (1 << 13)]
+        bits = np.unpackbits(np.column_stack([tx.mixed(part, s) for s in range(SEEDS)]).view(np.uint8), axis=1).astype(np.float32)
+        for b, n in zip(*tx.runs(own)):
+            sums[own[b]] += w[b : b + n] @ bits[b : b + n]
+    set_bits = (sums[:, : 23 * WIDE] > mean[:, None]).reshape(texts, WIDE, 23)
     return (set_bits * (1 << np.arange(23))).sum(axis=2).astype(np.int32)
 
 
@@ -214,7 +215,7 @@ def shingle_sets(data, starts, ends, owner, texts, shingle, hasher, grams) -> li
     return [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])] if texts else []
 
 
-def _read(batches, limit=tx.CHUNK_BYTES >> 1):
+def _read(batches, limit=tx.CHUNK_BYTES >> 2):
     hasher, grams = tx.Hasher(), tx.Hasher(0x8CB92BA72F3D8DD7)
     for batch in tx.chunks(batches, limit=limit):
         yield batch, hasher, grams, tx.joined_words(*tx.as_bytes(batch.column("text")))

@@ -1,5 +1,8 @@
 """Whole texts as byte arrays: Arrow batches cut into chunks of bounded size, words found and hashed by numpy."""
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +16,16 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+def release():
+    """Give memory that a task no longer uses back to the system: a worker outlives its tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def chunks(batches, column="text", limit=CHUNK_BYTES):
     """Slices of the batches with at most `limit` bytes of text each; a longer text comes alone."""
     for batch in batches:
@@ -23,6 +36,7 @@ def chunks(batches, column="text", limit=CHUNK_BYTES):
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    release()
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1 +1 @@
-
+"""Readers and writers of trajectory files."""
