@@ -86,30 +86,42 @@ def geodesic(lat1, lon1, lat2, lon2, rounds: int = 12) -> Column:
     u1, u2 = F.atan((1 - f) * F.tan(F.radians(lat1))), F.atan((1 - f) * F.tan(F.radians(lat2)))
     given = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon2 - lon1).alias("l"))
 
-    def terms(g, lam):
+    def angles(g, lam):
         s, c = F.sin(lam), F.cos(lam)
         sin_s = F.sqrt(F.pow(g["c2"] * s, 2) + F.pow(g["c1"] * g["s2"] - g["s1"] * g["c2"] * c, 2))
-        cos_s = g["s1"] * g["s2"] + g["c1"] * g["c2"] * c
-        sin_a = F.when(sin_s > 0, g["c1"] * g["c2"] * s / sin_s).otherwise(0.0)
-        cos2_a = 1 - sin_a * sin_a
-        cos_m = F.when(cos2_a > 0, cos_s - 2 * g["s1"] * g["s2"] / cos2_a).otherwise(0.0)
-        return sin_s, cos_s, F.atan2(sin_s, cos_s), sin_a, cos2_a, cos_m
+        return F.struct(sin_s.alias("sin"), (g["s1"] * g["s2"] + g["c1"] * g["c2"] * c).alias("cos"), (g["c1"] * g["c2"] * s).alias("turn"), g["s1"].alias("s1"), g["s2"].alias("s2"))
+
+    def azimuth(t):
+        sin_a = F.when(t["sin"] > 0, t["turn"] / t["sin"]).otherwise(0.0)
+        return F.struct(t["sin"].alias("sin"), t["cos"].alias("cos"), F.atan2(t["sin"], t["cos"]).alias("sigma"), sin_a.alias("sin_a"), (1 - sin_a * sin_a).alias("cos2_a"), (2 * t["s1"] * t["s2"]).alias("both"))
+
+    def middle(t):
+        cos_m = F.when(t["cos2_a"] > 0, t["cos"] - t["both"] / t["cos2_a"]).otherwise(0.0)
+        c = f / 16 * t["cos2_a"] * (4 + f * (4 - 3 * t["cos2_a"]))
+        u = t["cos2_a"] * (a * a - b * b) / (b * b)
+        return F.struct(*(t[n].alias(n) for n in ("sin", "cos", "sigma", "sin_a")), cos_m.alias("cos_m"), c.alias("c"), u.alias("u"))
+
+    def terms(g, lam, body):
+        return let(angles(g, lam), lambda t: let(azimuth(t), lambda t2: let(middle(t2), body)))
 
     def improve(state, _):
         g, lam = state["g"], state["lam"]
-        sin_s, cos_s, sigma, sin_a, cos2_a, cos_m = terms(g, lam)
-        c = f / 16 * cos2_a * (4 + f * (4 - 3 * cos2_a))
-        new = g["l"] + (1 - c) * f * sin_a * (sigma + c * sin_s * (cos_m + c * cos_s * (2 * cos_m * cos_m - 1)))
-        return F.struct(g.alias("g"), new.alias("lam"), F.abs(new - lam).alias("change"))
+
+        def changed(t):
+            new = g["l"] + (1 - t["c"]) * f * t["sin_a"] * (t["sigma"] + t["c"] * t["sin"] * (t["cos_m"] + t["c"] * t["cos"] * (2 * t["cos_m"] * t["cos_m"] - 1)))
+            return let(new, lambda n: F.struct(g.alias("g"), n.alias("lam"), F.abs(n - lam).alias("change")))
+
+        return terms(g, lam, changed)
 
     def finish(state):
-        g = state["g"]
-        sin_s, cos_s, sigma, _, cos2_a, cos_m = terms(g, state["lam"])
-        u = cos2_a * (a * a - b * b) / (b * b)
-        big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-        small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-        extra = small * sin_s * (cos_m + small / 4 * (cos_s * (2 * cos_m * cos_m - 1) - small / 6 * cos_m * (4 * sin_s * sin_s - 3) * (4 * cos_m * cos_m - 3)))
-        return F.when(state["change"] < 1e-9, b * big * (sigma - extra))
+        def length(t):
+            u, sin_s, cos_s, cos_m = t["u"], t["sin"], t["cos"], t["cos_m"]
+            big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+            small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+            extra = small * sin_s * (cos_m + small / 4 * (cos_s * (2 * cos_m * cos_m - 1) - small / 6 * cos_m * (4 * sin_s * sin_s - 3) * (4 * cos_m * cos_m - 3)))
+            return b * big * (t["sigma"] - extra)
+
+        return F.when(state["change"] < 1e-9, terms(state["g"], state["lam"], length))
 
     start = F.struct(given.alias("g"), F.radians(lon2 - lon1).alias("lam"), F.lit(0.0).cast("double").alias("change"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, improve, finish)
