@@ -249,17 +249,43 @@ def _wide_keys(nodes):
     return nodes.mapInArrow(run, "key long, node long")
 
 
-def _candidates(nodes, crowd):
-    """Pairs of nodes that share a key and whose wide fingerprints are near; a crowded key links its members to its smallest node."""
+def _shared_keys(nodes):
+    """(key, node, n, low): the keys that two nodes or more share, how many do, and the smallest of them."""
     keyed = _wide_keys(nodes)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
     shared = materialise(shared, "keys")
-    two = shared.where("n = 2").select(F.col("low").alias("src"), F.col("high").alias("dst"))
-    members = materialise(keyed.join(shared.where("n > 2"), "key").select("key", "node", "n", "low"), "members")
-    few = members.where(F.col("n") <= crowd)
-    some = few.select("key", F.col("node").alias("src")).join(few.select("key", F.col("node").alias("dst")), "key").where("src < dst").select("src", "dst")
-    many = members.where((F.col("n") > crowd) & (F.col("node") > F.col("low"))).select(F.col("low").alias("src"), F.col("node").alias("dst"))
-    pairs = two.union(some.distinct()).union(many).distinct()
+    return materialise(keyed.join(shared, "key").select("key", "node", "n", "low"), "members")
+
+
+def _first_pairs(members):
+    """Every member of a key with its smallest node."""
+    return members.where("node > low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
+
+
+def _other_pairs(members, found, crowd):
+    """Pairs that share a key and that the links found so far do not join.
+
+    What has become one component is never compared again. In a key of more than `crowd` components'
+    members each is compared with the smallest member of every component there.
+    """
+    placed = members.where("n > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    inside = placed.groupBy("key", "component").agg(F.min("node").alias("head"))
+    split = inside.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
+    split = materialise(placed.join(split, "key"), "split")
+    sizes = split.groupBy("key").agg(F.count("*").alias("size"))
+    sized = split.join(sizes, "key")
+    few = sized.where(F.col("size") <= crowd)
+    one = few.select("key", F.col("node").alias("src"), F.col("component").alias("c1"))
+    two = few.select("key", F.col("node").alias("dst"), F.col("component").alias("c2"))
+    some = one.join(two, "key").where("src < dst AND c1 <> c2").select("src", "dst")
+    many = sized.where(F.col("size") > crowd).select("key", "node", "component")
+    heads = many.groupBy("key", "component").agg(F.min("node").alias("head")).select("key", "head", F.col("component").alias("c2"))
+    rest = many.join(heads, "key").where("component <> c2").select(F.least("node", "head").alias("src"), F.greatest("node", "head").alias("dst"))
+    return some.union(rest).distinct()
+
+
+def _near(nodes, pairs):
+    """The pairs whose wide fingerprints are near enough for an exact comparison."""
     side = nodes.select(F.col("node").alias("src"), F.col("segments").alias("s1"))
     other = nodes.select(F.col("node").alias("dst"), F.col("segments").alias("s2"))
 
@@ -306,15 +332,19 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", shin
     """(id, component_id) of every document: those whose sets of word shingles are as similar as asked are linked.
 
     Documents of equal shingles are one node, so exact copies cost nothing further. Candidates come
-    from the wide fingerprint; every link is verified on the whole shingle sets. Within a key that
-    more than `crowd` nodes share, members are compared with its smallest node only: they meet each
-    other through the up to 78 keys that each has. Documents without words are copies of each other.
+    from the wide fingerprint; every link is verified on the whole shingle sets. Members of a key are
+    first compared with its smallest node; then those that this has not joined with each other.
+    Documents without words are copies of each other.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     outlines = materialise(_outlines(source, shingle), "outlines")
     nodes = materialise(outlines.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by("segments", "doc_id").alias("segments")), "nodes")
-    pairs = materialise(_candidates(nodes, crowd), "pairs")
-    found = components(_verified(source, pairs, shingle, similarity))
+    members = _shared_keys(nodes)
+    pairs = materialise(_near(nodes, _first_pairs(members)), "pairs")
+    first = materialise(_verified(source, pairs, shingle, similarity), "similar")
+    found = materialise(components(first), "components")
+    pairs = materialise(_near(nodes, _other_pairs(members, found, crowd)), "pairs")
+    found = components(first.union(_verified(source, pairs, shingle, similarity)))
     named = nodes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     return outlines.join(named, ["d1", "d2"]).select(F.col("doc_id").alias(id_col), "component_id")
 
