@@ -250,37 +250,35 @@ def _wide_keys(nodes):
 
 
 def _shared_keys(nodes):
-    """(key, node, n, low): the keys that two nodes or more share, how many do, and the smallest of them."""
+    """(key, node, weight): the keys that two nodes or more share; a node weighs as much as it shares over all its keys."""
     keyed = _wide_keys(nodes)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
-    shared = materialise(shared, "keys")
-    return materialise(keyed.join(shared, "key").select("key", "node", "n", "low"), "members")
+    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    members = materialise(keyed.join(shared, "key").select("key", "node", "n"), "members")
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    return materialise(members.join(weights, "node").select("key", "node", "weight"), "members")
 
 
-def _first_pairs(members):
-    """Every member of a key with its smallest node."""
-    return members.where("node > low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
+def _with_hub(members):
+    """Each member of a key with the key's heaviest node: the text that the others of a family were made from shares most."""
+    hub = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
+    pairs = members.join(hub, "key").where("node <> hub")
+    return pairs.select(F.least("node", "hub").alias("src"), F.greatest("node", "hub").alias("dst"))
 
 
 def _other_pairs(members, found, crowd):
-    """Pairs that share a key and that the links found so far do not join.
+    """Pairs that share a key and that the links found so far do not join: what is one component is never compared again.
 
-    What has become one component is never compared again. In a key of more than `crowd` components'
-    members each is compared with the smallest member of every component there.
+    In a key whose components still hold more than `crowd` members, those outside the heaviest one's
+    component are compared with the heaviest among themselves.
     """
-    placed = members.where("n > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    inside = placed.groupBy("key", "component").agg(F.min("node").alias("head"))
-    split = inside.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
-    split = materialise(placed.join(split, "key"), "split")
-    sizes = split.groupBy("key").agg(F.count("*").alias("size"))
-    sized = split.join(sizes, "key")
-    few = sized.where(F.col("size") <= crowd)
+    placed = members.join(found, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"), F.max(F.struct("weight", "component")).getField("component").alias("main")).where("a <> b")
+    split = materialise(placed.join(split.select("key", "size", "main"), "key"), "split")
+    few = split.where(F.col("size") <= crowd)
     one = few.select("key", F.col("node").alias("src"), F.col("component").alias("c1"))
     two = few.select("key", F.col("node").alias("dst"), F.col("component").alias("c2"))
     some = one.join(two, "key").where("src < dst AND c1 <> c2").select("src", "dst")
-    many = sized.where(F.col("size") > crowd).select("key", "node", "component")
-    heads = many.groupBy("key", "component").agg(F.min("node").alias("head")).select("key", "head", F.col("component").alias("c2"))
-    rest = many.join(heads, "key").where("component <> c2").select(F.least("node", "head").alias("src"), F.greatest("node", "head").alias("dst"))
+    rest = _with_hub(split.where((F.col("size") > crowd) & (F.col("component") != F.col("main"))))
     return some.union(rest).distinct()
 
 
@@ -333,14 +331,14 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", shin
 
     Documents of equal shingles are one node, so exact copies cost nothing further. Candidates come
     from the wide fingerprint; every link is verified on the whole shingle sets. Members of a key are
-    first compared with its smallest node; then those that this has not joined with each other.
+    first compared with the one that shares most; then those that this has not joined with each other.
     Documents without words are copies of each other.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     outlines = materialise(_outlines(source, shingle), "outlines")
     nodes = materialise(outlines.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by("segments", "doc_id").alias("segments")), "nodes")
     members = _shared_keys(nodes)
-    pairs = materialise(_near(nodes, _first_pairs(members)), "pairs")
+    pairs = materialise(_near(nodes, _with_hub(members).distinct()), "pairs")
     first = materialise(_verified(source, pairs, shingle, similarity), "similar")
     found = materialise(components(first), "components")
     pairs = materialise(_near(nodes, _other_pairs(members, found, crowd)), "pairs")
