@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from wayline.llm import simhash
 
 
@@ -62,3 +64,38 @@ def test_crowded_keys(spark):
     texts = {i: edited(rng, base, 1) for i in range(150)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.component_id for r in simhash.similar_documents(df, crowd=8).collect()} == {0}
+
+
+def same_as_brute_force(spark, texts, **options):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, **options).collect()}
+    want = classes(texts)
+    assert got == want
+    return want
+
+
+def test_every_similar_pair_is_found(spark):
+    """Appended blocks, cut ends, repeated lines and short texts near 0.8: recall 1 against brute force."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+
+    def words(n):
+        return [rng.choice(vocab) for _ in range(n)]
+
+    texts, i = {}, 0
+    for _ in range(25):
+        long, short, line, common = words(300), words(40), words(10), words(100)
+        for w in (long, long + words(74), long[:242], short, short + words(8), short + words(10), common + line, common + line * 100, words(6), line, line[:9] + words(1)):
+            texts[i] = " ".join(w)
+            i += 1
+    texts |= {i + j: " ".join(["y"] * j) for j in range(12)}
+    want = same_as_brute_force(spark, texts)
+    assert sum(want[j] != j for j in texts) >= 100
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 900):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[n // 10 :], rng.integers(0, 1 << 63, n // 10).astype(np.uint64)])
+        assert np.bitwise_count(simhash._sketch(a) ^ simhash._sketch(b)).sum() <= len(np.setxor1d(a, b))

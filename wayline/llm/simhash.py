@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import discard, materialise
 from . import text as tx
 from .graph import components
 
@@ -173,13 +173,18 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
 
 # Near duplicates by the Jaccard similarity of their word shingles.
 #
-# Documents as similar as that still differ in some tenths of a narrow fingerprint of shingles, so the
-# candidates come from a wide fingerprint of words (each weighing the root of its count): its many
-# segments make it likely that one is clean and the next within reach of the Golay keys.
+# Documents as similar as that still differ in some tenths of a narrow fingerprint of shingles, so
+# Golay keys come from a wide fingerprint of words (each weighing the root of its count). They find
+# most pairs, not all. Prefixes find all: with the shingles of every text in one order, rarest first,
+# two sets as similar as asked have a shingle in common among the first n - ceil(similarity n) + 1 of
+# each, whatever the order is.
 
 SEEDS = 5
 WIDE = 13  # segments of 23 bits
-FAR = 72  # of 299 bits; beyond it no pair is worth an exact comparison
+SKETCH = 8  # longs: the parity of the shingles that fall on each of 512 bits
+SAMPLE = 20_000  # texts whose shingles tell the common ones, which stand last in the order
+COMMON = 200_000  # of them at most
+LEAST = 3  # texts of the sample that a common shingle occurs in
 
 
 def word_segments(data, starts, ends, owner, texts, hasher) -> np.ndarray:
@@ -203,7 +208,7 @@ def word_segments(data, starts, ends, owner, texts, hasher) -> np.ndarray:
 
 
 def shingle_sets(data, starts, ends, owner, texts, shingle, hasher, grams) -> list[np.ndarray]:
-    """The distinct word shingles of each lower-cased text, as sorted 32-bit hashes; shorter texts are one shingle."""
+    """The distinct word shingles of each lower-cased text, as sorted hashes; shorter texts are one shingle."""
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     words = hasher.ranges(low, starts, ends)
     counts = np.bincount(owner, minlength=texts)
@@ -211,7 +216,7 @@ def shingle_sets(data, starts, ends, owner, texts, shingle, hasher, grams) -> li
     base = np.cumsum(counts) - counts
     first = np.repeat(base, n) + tx.spread(n)
     last = np.minimum(first + shingle, np.repeat(base + counts, n))
-    hashes = (grams.of(grams.totals(words), first, last) >> np.uint64(32)).astype(np.uint32)
+    hashes = grams.of(grams.totals(words), first, last)
     return [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])] if texts else []
 
 
@@ -221,17 +226,68 @@ def _read(batches, limit=tx.CHUNK_BYTES >> 2):
         yield batch, hasher, grams, tx.joined_words(*tx.as_bytes(batch.column("text")))
 
 
+def _sketch(hashes):
+    """The parity of a set's hashes on each of 64 * SKETCH bits: two sets differ in as many elements as their sketches do in bits, or more."""
+    odd = np.bincount((hashes >> np.uint64(20) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _outlines(source, shingle):
-    """(doc_id, d1, d2, segments): a digest of each text's shingles, and its wide fingerprint."""
+    """(doc_id, d1, d2, size, sketch, segments): a digest, the number and a sketch of each text's shingles, and its wide fingerprint."""
 
     def run(batches):
         for batch, hasher, grams, (data, starts, ends, owner) in _read(batches):
             sets = shingle_sets(data, starts, ends, owner, batch.num_rows, shingle, hasher, grams)
             digests = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             segments = word_segments(data, starts, ends, owner, batch.num_rows, hasher)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([s.tobytes() for s in segments], pa.binary())], ["doc_id", "d1", "d2", "segments"])
+            sketches = pa.array([_sketch(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), sketches, pa.array([s.tobytes() for s in segments], pa.binary())],
+                ["doc_id", "d1", "d2", "size", "sketch", "segments"],
+            )
+
+    return source.mapInArrow(run, "doc_id long, d1 long, d2 long, size int, sketch array<long>, segments binary")
+
+
+def _common(source, shingle):
+    """Hashes, sorted, and counts of the commonest shingles in a bounded sample of texts. It only sets the order of the prefixes."""
+    share = min(1.0, SAMPLE / max(1, source.count()))
+    drawn = source.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("common")), F.lit(1_000_000)) < int(share * 1_000_000))
+
+    def run(batches):
+        for batch, hasher, grams, (data, starts, ends, owner) in _read(batches):
+            sets = shingle_sets(data, starts, ends, owner, batch.num_rows, shingle, hasher, grams)
+            hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["gram", "n"])
+
+    counts = drawn.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    found = counts.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
+    hashes = found.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column("n").to_numpy()[order]
+
 
-    return source.mapInArrow(run, "doc_id long, d1 long, d2 long, segments binary")
+def _prefixes(source, nodes, shingle, similarity, common):
+    """(key, node, at): the shingles of every node's prefix, and how many of the node's stand before each."""
+    hashes, counts = common
+    texts = source.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+
+    def run(batches):
+        for batch, hasher, grams, (data, starts, ends, owner) in _read(batches):
+            firsts = []
+            for s in shingle_sets(data, starts, ends, owner, batch.num_rows, shingle, hasher, grams):
+                often = np.zeros(len(s), np.int64)
+                if len(hashes):
+                    place = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                    often = np.where(hashes[place] == s, counts[place], 0)
+                n = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
+                firsts.append(s[np.lexsort((s, often))[:n]].view(np.int64))
+            sizes = np.array([len(f) for f in firsts], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(firsts)), batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(tx.spread(sizes).astype(np.int32))], ["key", "node", "at"]
+            )
+
+    return texts.mapInArrow(run, "key long, node long, at int")
 
 
 def _wide_keys(nodes):
@@ -249,13 +305,14 @@ def _wide_keys(nodes):
     return nodes.mapInArrow(run, "key long, node long")
 
 
-def _shared_keys(nodes):
-    """(key, node, weight): the keys that two nodes or more share; a node weighs as much as it shares over all its keys."""
-    keyed = _wide_keys(nodes)
-    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    members = materialise(keyed.join(shared, "key").select("key", "node", "n"), "members")
+def _shared_keys(keyed):
+    """The rows (key, node, ...) whose key two nodes or more share, with a weight: a node weighs as much as it shares over all its keys."""
+    keyed = materialise(keyed, "keyed")
+    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "n"), "keys")
+    members = materialise(keyed.join(shared, "key"), "members")
+    discard(keyed)
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    return materialise(members.join(weights, "node").select("key", "node", "weight"), "members")
+    return materialise(members.drop("n").join(weights, "node"), "members")
 
 
 def _with_hub(members):
@@ -265,35 +322,46 @@ def _with_hub(members):
     return pairs.select(F.least("node", "hub").alias("src"), F.greatest("node", "hub").alias("dst"))
 
 
-def _other_pairs(members, found, crowd):
-    """Pairs that share a key and that the links found so far do not join: what is one component is never compared again.
+def _split(members, found):
+    """The members of keys that hold more than one component, with the component, the commonest one of the key and the key's size."""
+    placed = members.join(found, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("held"), F.max(F.struct("n", "component")).getField("component").alias("main")).where("parts > 1")
+    return materialise(placed.join(mixed.select("key", "held", "main"), "key"), "split")
+
+
+def _hub_pairs(split, crowd):
+    """In crowded keys, members against the heaviest one, and those outside the commonest component against the heaviest of them."""
+    many = split.where(F.col("held") > crowd)
+    return _with_hub(many).union(_with_hub(many.where("component <> main"))).distinct()
+
 
-    In a key whose components still hold more than `crowd` members, those outside the heaviest one's
-    component are compared with the heaviest among themselves.
+def _all_pairs(split, nodes, similarity):
+    """Every pair that shares a key and is not joined, unless sizes, places in the prefixes or sketches rule it out for certain.
+
+    Members of a key's commonest component never meet each other, so one large family costs a row for each that is not in it.
     """
-    placed = members.join(found, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"), F.max(F.struct("weight", "component")).getField("component").alias("main")).where("a <> b")
-    split = materialise(placed.join(split.select("key", "size", "main"), "key"), "split")
-    few = split.where(F.col("size") <= crowd)
-    one = few.select("key", F.col("node").alias("src"), F.col("component").alias("c1"))
-    two = few.select("key", F.col("node").alias("dst"), F.col("component").alias("c2"))
-    some = one.join(two, "key").where("src < dst AND c1 <> c2").select("src", "dst")
-    rest = _with_hub(split.where((F.col("size") > crowd) & (F.col("component") != F.col("main"))))
-    return some.union(rest).distinct()
-
-
-def _near(nodes, pairs):
-    """The pairs whose wide fingerprints are near enough for an exact comparison."""
-    side = nodes.select(F.col("node").alias("src"), F.col("segments").alias("s1"))
-    other = nodes.select(F.col("node").alias("dst"), F.col("segments").alias("s2"))
-
-    def near(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, WIDE) for c in ("s1", "s2"))
-            good = np.flatnonzero(np.bitwise_count(a ^ b).sum(axis=1) <= FAR)
-            yield batch.select(["src", "dst"]).take(pa.array(good))
+    rows = split.join(nodes.select("node", "size", "sketch"), "node")
+    one = rows.where("component <> main").select("key", "main", *(F.col(c).alias(f"{c}1") for c in ("node", "component", "at", "size", "sketch")))
+    two = rows.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "at", "size", "sketch")))
+    least = f"{similarity / (1 + similarity)!r}D * (size1 + size2) - 1e-6D"
+    apart = "component1 <> component2 AND (component2 = main OR node1 < node2)"
+    pairs = one.join(two, "key").where(f"{apart} AND least(size1 - at1, size2 - at2) >= {least} AND {_alike(similarity)}")
+    return pairs.select(F.least("node1", "node2").alias("src"), F.greatest("node1", "node2").alias("dst")).distinct()
+
+
+def _alike(similarity):
+    """Whether sizes and sketches leave room for the similarity asked: never false for a pair that has it."""
+    bits = " + ".join(f"bit_count(sketch1[{i}] ^ sketch2[{i}])" for i in range(SKETCH))
+    sizes = f"least(size1, size2) >= {similarity!r}D * greatest(size1, size2) - 1e-6D"
+    return f"{sizes} AND {bits} <= {(1 - similarity) / (1 + similarity)!r}D * (size1 + size2) + 1e-6D"
+
 
-    return pairs.join(side, "src").join(other, "dst").mapInArrow(near, "src long, dst long")
+def _near(nodes, pairs, similarity):
+    """The pairs worth an exact comparison."""
+    side = nodes.select(F.col("node").alias("src"), F.col("size").alias("size1"), F.col("sketch").alias("sketch1"))
+    other = nodes.select(F.col("node").alias("dst"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
+    return pairs.join(side, "src").join(other, "dst").where(_alike(similarity)).select("src", "dst")
 
 
 def _verified(source, pairs, shingle, similarity):
@@ -304,7 +372,7 @@ def _verified(source, pairs, shingle, similarity):
     def cut(batches):
         for batch, hasher, grams, (data, starts, ends, owner) in _read(batches):
             sets = shingle_sets(data, starts, ends, owner, batch.num_rows, shingle, hasher, grams)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
 
     def compare(batches):
         for batch in batches:
@@ -329,20 +397,27 @@ def _verified(source, pairs, shingle, similarity):
 def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=5, similarity=0.8, crowd=CROWD) -> DataFrame:
     """(id, component_id) of every document: those whose sets of word shingles are as similar as asked are linked.
 
-    Documents of equal shingles are one node, so exact copies cost nothing further. Candidates come
-    from the wide fingerprint; every link is verified on the whole shingle sets. Members of a key are
-    first compared with the one that shares most; then those that this has not joined with each other.
-    Documents without words are copies of each other.
+    Documents of equal shingles are one node, so exact copies cost nothing further. Every link is
+    verified on the whole shingle sets. Members of a Golay key are compared with the one that shares
+    most, which joins most of a family; then members of a prefix key that this has not joined, until
+    none are left, so no pair is missed. `crowd` only sets from which size on a prefix key is first
+    compared with its heaviest members. Documents without words are copies of each other.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     outlines = materialise(_outlines(source, shingle), "outlines")
-    nodes = materialise(outlines.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by("segments", "doc_id").alias("segments")), "nodes")
-    members = _shared_keys(nodes)
-    pairs = materialise(_near(nodes, _with_hub(members).distinct()), "pairs")
-    first = materialise(_verified(source, pairs, shingle, similarity), "similar")
-    found = materialise(components(first), "components")
-    pairs = materialise(_near(nodes, _other_pairs(members, found, crowd)), "pairs")
-    found = components(first.union(_verified(source, pairs, shingle, similarity)))
+    columns = [F.min_by(c, "doc_id").alias(c) for c in ("size", "sketch", "segments")]
+    nodes = materialise(outlines.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *columns), "nodes")
+
+    def joined(links, pairs):
+        pairs = materialise(_near(nodes, pairs, similarity), "pairs")
+        links = links.union(_verified(source, pairs, shingle, similarity)) if links else _verified(source, pairs, shingle, similarity)
+        links = materialise(links, "similar")
+        return links, materialise(components(links), "components")
+
+    links, found = joined(None, _with_hub(_shared_keys(_wide_keys(nodes))).distinct())
+    members = _shared_keys(_prefixes(source, nodes, shingle, similarity, _common(source, shingle)))
+    links, found = joined(links, _hub_pairs(_split(members, found), crowd))
+    links, found = joined(links, _all_pairs(_split(members, found), nodes, similarity))
     named = nodes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     return outlines.join(named, ["d1", "d2"]).select(F.col("doc_id").alias(id_col), "component_id")
 
