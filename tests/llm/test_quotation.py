@@ -64,6 +64,23 @@ def test_sql_agrees(spark, tmp_path):
     assert got.columns == names and answer(got) == want
 
 
+def test_rewrapped_and_partial_quotes(spark):
+    rows = [
+        (1, 0, "u", "yes"),
+        (1, 1, "u", "The plan that we made last week\nneeds two more people and a van.\nyes\nWe leave at noon, then."),
+        (1, 2, "u", "> The plan that we made\n> last week needs two more\n> people and a van.\n> yes\nFine."),
+        (1, 3, "u", "> more people and a van. Yes\nWhich van?"),
+        (1, 4, "u", ">> last week needs two\n>> more people\n> Which\n> van?\nThe red one."),
+        (1, 5, "u", "> people with two other needs, a van\nnobody wrote that"),
+        (1, 6, "u", "> Yes\nto what?"),
+        (2, 7, "u", "> last week needs two more people\nanother conversation"),
+    ]
+    got = {r.turn: r for r in quotation.reply_order(frame(spark, rows)).collect()}
+    assert {t: r.reply_to for t, r in got.items()} == {0: None, 1: None, 2: 1, 3: 1, 4: 3, 5: None, 6: 0, 7: None}
+    assert {t: r.n_linked for t, r in got.items()} == {0: 0, 1: 0, 2: 4, 3: 1, 4: 4, 5: 0, 6: 1, 7: 0}
+    assert (got[4].thread, got[4].thread_depth) == (1, 2)
+
+
 def test_only_native_operators(spark):
     plan = quotation.reply_order(frame(spark))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))

@@ -2,7 +2,11 @@
 
 A line is quoted as deep as its leading marks (`>`) say. Every line is normalised (lower case,
 letters and digits only) and hashed; the original of a quoted line is the first message of the
-conversation that wrote the line itself, at depth zero. A message replies to the original of most
+conversation that wrote the line itself, at depth zero. Consecutive lines of one depth are a passage
+too, normalised across line ends; its runs of RUN words (a shorter passage is one run) are hashed,
+and a run's original is the first message with that run. A line that no message wrote as it stands,
+because it was wrapped anew or starts or ends inside another, and a line of fewer than RUN words
+has the original of most of the runs that touch it. A message replies to the original of most
 of its lines quoted once, the latest of several; deeper lines link to the originals they came from.
 Lines that announce a quotation go with it. Only DataFrame functions are used; the originals of a
 line are reduced to the first before they are joined, so a line that very many messages quote or
@@ -21,6 +25,8 @@ from ..storage import discard, materialise
 #: How a quotation is announced, by language.
 ANNOUNCES = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
 MARKS = r"^\s*((?:>\s?)+)"
+#: Words in a run.
+RUN = 5
 
 
 def lines(messages: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
@@ -40,19 +46,51 @@ def _key(line):
     return F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")
 
 
+def _words(line):
+    return F.filter(F.split(F.trim(_key(line)), " "), lambda w: w != "")
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Messages with `runs`: for each word that begins one, the depth, the hash and the lines of a run of the words of one passage."""
+    words = F.flatten(F.transform("lines", lambda l, i: F.transform(_words(l["line"]), lambda w: F.struct(l["depth"].alias("depth"), i.alias("at"), w.alias("word")))))
+    rows = rows.withColumn("words", words).where(F.size("words") > 0)
+    windows = F.transform("words", lambda w, i: F.struct(w["depth"].alias("depth"), F.slice("words", i + 1, RUN).alias("part"), ((i == 0) | (F.get(F.col("words"), i - 1)["depth"] != w["depth"])).alias("begins")))
+    same = F.transform(windows, lambda r: r.withField("part", F.slice(r["part"], F.lit(1), F.coalesce(F.nullif(F.array_position(F.transform(r["part"], lambda x: x["depth"] != r["depth"]), True), F.lit(0)) - 1, F.lit(RUN)).cast("int"))))
+    whole = F.filter(same, lambda r: (F.size(r["part"]) == RUN) | r["begins"])
+    runs = F.transform(whole, lambda r: F.struct(r["depth"].alias("depth"), F.xxhash64(F.array_join(r["part"]["word"], " ")).alias("run"), F.array_distinct(r["part"]["at"]).alias("at")))
+    return rows.withColumn("runs", runs).drop("words")
+
+
 def _hashed(cut: DataFrame) -> DataFrame:
-    """(conv_id, turn, depth, h1, h2): the lines with words of each message, hashed."""
-    rows = cut.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("lines").alias("l"))
-    rows = rows.select("conv_id", "turn", F.col("l.depth").alias("depth"), F.trim(_key(F.col("l.line"))).alias("key")).where("key <> ''")
-    return rows.select("conv_id", "turn", "depth", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    """(conv_id, turn, depth, n_words, h1, h2, runs): the lines with words of each message, hashed, and the runs that touch them."""
+    rows = cut.select("conv_id", "turn", F.posexplode("lines").alias("at", "l"), "runs")
+    touching = F.transform(F.filter("runs", lambda r: F.array_contains(r["at"], F.col("at"))), lambda r: r["run"])
+    rows = rows.select("conv_id", "turn", F.col("l.depth").alias("depth"), F.trim(_key(F.col("l.line"))).alias("key"), touching.alias("runs")).where("key <> ''")
+    return rows.select("conv_id", "turn", "depth", F.size(F.split("key", " ")).alias("n_words"), F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "runs")
 
 
 def links(cut: DataFrame) -> DataFrame:
     """(conv_id, turn, depth, original, n_lines): which messages a message quotes, how deep and in how many lines."""
-    hashed = _hashed(cut)
-    quoted = hashed.where("depth > 0").groupBy("conv_id", "turn", "depth", "h1", "h2").agg(F.count("*").alias("n"))
-    first = hashed.where("depth = 0").groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("original"))
-    found = quoted.join(first, ["conv_id", "h1", "h2"]).where("original < turn")
+    cut = cut.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "lines")
+    quotes = cut.where(F.exists("lines", lambda x: x["depth"] > 0))
+    line = ["conv_id", "turn", "depth", "n_words", "h1", "h2", "runs"]
+    quoted = _hashed(_runs(quotes)).where("depth > 0").groupBy(*line).agg(F.count("*").alias("n"))
+    quoted = materialise(quoted.withColumn("id", F.xxhash64(*line)), "quoted")
+
+    written = cut.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")
+    own = written.select("conv_id", "turn", F.explode("lines").alias("l")).where("l.depth = 0").select("conv_id", "turn", F.trim(_key(F.col("l.line"))).alias("key")).where("key <> ''")
+    first = own.groupBy("conv_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")).agg(F.min("turn").alias("original"))
+    whole = quoted.join(first, ["conv_id", "h1", "h2"]).where("original < turn").select("conv_id", "turn", "id", F.col("original").alias("by_line"))
+
+    own = _runs(written).select("conv_id", "turn", F.explode("runs").alias("r")).where("r.depth = 0")
+    first = own.groupBy("conv_id", F.col("r.run").alias("run")).agg(F.min("turn").alias("original"))
+    parts = quoted.select("conv_id", "turn", "id", F.explode("runs").alias("run")).join(first, ["conv_id", "run"]).where("original < turn")
+    parts = parts.groupBy("conv_id", "turn", "id", "original").agg(F.count("*").alias("hits"))
+    parts = parts.groupBy("conv_id", "turn", "id").agg(F.max(F.struct("hits", "original")).getField("original").alias("by_runs"))
+
+    found = quoted.join(whole, ["conv_id", "turn", "id"], "left").join(parts, ["conv_id", "turn", "id"], "left")
+    original = F.when(F.col("n_words") < RUN, F.coalesce("by_runs", "by_line")).otherwise(F.coalesce("by_line", "by_runs"))
+    found = found.withColumn("original", original).where("original IS NOT NULL")
     return found.groupBy("conv_id", "turn", "depth", "original").agg(F.sum("n").alias("n_lines"))
 
 
