@@ -99,3 +99,18 @@ def test_sketches_never_rule_out_a_similar_pair():
         a = rng.integers(0, 1 << 63, n).astype(np.uint64)
         b = np.concatenate([a[n // 10 :], rng.integers(0, 1 << 63, n // 10).astype(np.uint64)])
         assert np.bitwise_count(simhash._sketch(a) ^ simhash._sketch(b)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_crowded_keys_hide_no_family(spark):
+    """Many small families and chains that share most of their text, but not enough to be similar: none is left apart."""
+    rng = random.Random(6)
+    shared = [f"v{rng.randrange(300)}" for _ in range(120)]
+    texts, i = {}, 0
+    for f in range(30):
+        own = [f"f{f}w{j}" for j in range(45)]
+        for more in (0, 34, 68, 102):  # neighbours in the chain are similar, the others are not
+            texts[i] = " ".join(shared + own + [f"m{f}x{j}" for j in range(more)])
+            i += 1
+    small = same_as_brute_force(spark, texts, crowd=8)
+    assert sum(small[j] != j for j in texts) == 90
+    assert len({small[j] for j in texts}) == 30
