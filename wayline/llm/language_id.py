@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .sampling import stratified
+from .sampling import bounded, stratified
 
 UNKNOWN = "und"
 TABLE = 1 << 16
@@ -130,11 +130,11 @@ def train(texts: list[str], labels: list[str], *, dim=12, table=TABLE, steps=120
     return {"names": names, "scores": scores.astype(np.float32), "bias": bias, "heat": heat, "least": least, "table": table}
 
 
-def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="lang", quota=1500, chars=20_000) -> dict | None:
-    """Train on about `quota` rows of each label, drawn by a hash of the id; of a very long text its first `chars` characters teach."""
+def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="lang", quota=1500, most_chars=24_000_000) -> dict | None:
+    """Train on about `quota` rows of each label, drawn by a hash of the id, and fewer where they hold over `most_chars` characters; texts are taken whole."""
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"), F.substring(text_col, 1, chars).alias("text"))
-    sample = sorted(stratified(rows, "label", "doc_id", quota).collect(), key=lambda r: (r.label, r.doc_id))
+    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    sample = sorted(bounded(stratified(rows, "label", "doc_id", quota), "doc_id", "text", most_chars).collect(), key=lambda r: (r.label, r.doc_id))
     return train([r.text for r in sample], [r.label for r in sample])
 
 

@@ -16,3 +16,12 @@ def stratified(rows: DataFrame, label: str, key: str, quota: int, most_labels: i
         share = F.when(F.col(label) == F.lit(r[0]), F.lit(min(1.0, quota / r[1]))).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000))
     return rows.where(drawn < share * 1_000_000).limit(int(1.25 * quota * len(counts)) + 16)
+
+
+def bounded(rows: DataFrame, key: str, text: str, most_chars: int) -> DataFrame:
+    """Fewer rows, drawn by a hash of the key, where the texts hold more than about `most_chars` characters together; every text stays whole."""
+    held = rows.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    if held <= most_chars:
+        return rows
+    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("bounded")), F.lit(1_000_000))
+    return rows.where(drawn < int(most_chars / held * 1_000_000))
