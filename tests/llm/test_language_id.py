@@ -1,6 +1,8 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from wayline.llm import language_id, queries
+from wayline.llm import language_id, queries, sampling
 
 
 def test_held_out_accuracy(spark):
@@ -28,3 +30,31 @@ def test_rejection_spares_clean_short_texts(spark):
     model = language_id.fit(docs)
     words = docs.select("doc_id", F.expr("array_join(slice(split(trim(text), '[ \\n]+'), 1, 6), ' ')").alias("text"))
     assert language_id.predict(words, model).agg(F.avg(F.col("accepted").cast("int"))).first()[0] > 0.97
+
+
+def test_samples_are_drawn_over_whole_texts_of_every_label(spark):
+    rows = [(i, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(5000)), f"l{i % 40}") for i in range(400)]
+    df = spark.createDataFrame(rows + rows[:100], "doc_id long, text string, lang string")
+    drawn = sampling.stratified(df, "lang", ["doc_id", "text"], 1500, 120).dropDuplicates(["key"]).groupBy("lang").count().collect()
+    assert len(drawn) > 30 and 60 < sum(r[1] for r in drawn) < 200
+    sample = language_id.pieces(sampling.stratified(df, "lang", ["doc_id", "text"], 1500, 12_000).withColumnRenamed("lang", "label"))
+    assert sample.count() == 500 and sample.dropDuplicates(["key", "label"]).count() == 400
+    sizes = sample.select(F.explode("parts").alias("p")).agg(F.max(F.length("p")), F.min(F.length("p"))).first()
+    assert sizes[0] < 300 * 2 * 30 and sizes[1] > 0
+
+
+def test_scores_equal_a_slow_forward_pass(spark):
+    """Averages of table rows of all subwords, one by one, from the same weights."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    cutter = language_id.Subwords(model["table"])
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    for r in docs.collect():
+        words = cutter.words(r.text)
+        if not words:
+            continue
+        rows = np.concatenate([cutter.rows([w])[0] for w in words])
+        z = (model["scores"][rows].astype(float).mean(axis=0) + model["bias"]) / model["heat"]
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        assert got[r.doc_id].score == pytest.approx(p.max(), abs=1e-6) and got[r.doc_id].lang_pred == model["names"][int(p.argmax())]

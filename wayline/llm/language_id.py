@@ -3,7 +3,8 @@
 A word's subwords are its letter n-grams, with marks at both ends, and the word itself, all hashed
 into a table of embeddings. A text is the average of the embeddings of all its subwords; a linear
 layer and a softmax give the languages. Table and layer are trained by stochastic gradient descent
-in numpy on a bounded sample of labelled rows. The softmax is calibrated by a temperature on rows
+in numpy on a bounded sample of labelled rows: tasks cut parts from all over the sampled texts and
+send the table rows of their subwords, so no text reaches the driver. The softmax is calibrated by a temperature on rows
 kept out of training, and the least confidence at which a text is accepted is set there too, so that
 a fixed small share of clean texts, short ones included, would be refused.
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .sampling import bounded, stratified
+from .sampling import stratified
 
 UNKNOWN = "und"
 TABLE = 1 << 16
@@ -72,22 +73,57 @@ def _softmax(z):
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], *, dim=12, table=TABLE, steps=1200, rate=2.0, refused=0.001, seed=7) -> dict | None:
-    """The model of labelled texts: scores of every table row, bias, temperature and least confidence. None without rows."""
-    cutter, rng = Subwords(table), np.random.default_rng(seed)
-    data = [(w, y) for w, y in zip(map(cutter.words, texts), labels) if w]
-    if not data:
-        return None
-    names = sorted({y for _, y in data})
-    index = {y: i for i, y in enumerate(names)}
-    order = rng.permutation(len(data))
-    held = order[: max(1, len(data) // 4)]
-    learn = order[len(held) :] if len(data) > 4 else order
+class Piece:
+    """What training takes of a text: how many parts, and of how many words at most."""
+
+    PARTS, SHORT, LONG, TINY = 6, 40, 300, 3
+
+
+def _part(words: list[str], longest: int, rng) -> list[str]:
+    """Some neighbouring words from anywhere in a text."""
+    n = int(min(len(words), rng.integers(1, longest + 1)))
+    a = int(rng.integers(0, len(words) - n + 1))
+    return words[a : a + n]
+
+
+def pieces(rows: DataFrame, table: int = TABLE) -> DataFrame:
+    """(key, label, parts) of (key, label, text) rows: table rows of the subwords of a few parts drawn over the whole text by its
+    key, packed; the last two, a long and a tiny one, are for calibration. Texts without a letter give none."""
+    kind = np.min_scalar_type(table - 1)
+
+    def cut(batches):
+        cutter = Subwords(table)
+        for batch in tx.chunks(batches, limit=1 << 20):
+            keys, labels, out = [], [], []
+            for key, label, text in zip(*(batch.column(c).to_pylist() for c in ("key", "label", "text"))):
+                if words := cutter.words(text):
+                    rng = np.random.default_rng(key & 0xFFFFFFFFFFFFFFFF)
+                    sizes = [Piece.SHORT] * Piece.PARTS + [Piece.LONG, Piece.TINY]
+                    out.append([cutter.rows(_part(words, n, rng))[0].astype(kind).tobytes() for n in sizes])
+                    keys.append(key)
+                    labels.append(label)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(labels, pa.string()), pa.array(out, pa.list_(pa.binary()))], ["key", "label", "parts"])
+
+    return rows.select("key", "label", "text").mapInArrow(cut, "key long, label string, parts array<binary>")
+
+
+def _means(lists, table_rows):
+    """The average of the table's rows over each list, and the sizes of the lists."""
+    sizes = np.array([len(x) for x in lists])
+    flat = np.concatenate(lists).astype(np.int64)
+    return np.add.reduceat(table_rows[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None], flat, sizes
 
-    def snippet(words, longest):
-        n = int(min(len(words), rng.integers(1, longest + 1)))
-        a = int(rng.integers(0, len(words) - n + 1))
-        return words[a : a + n]
+
+def train(parts: list[list[np.ndarray]], labels: list[str], *, dim=12, table=TABLE, steps=1200, rate=2.0, refused=0.001, seed=7) -> dict | None:
+    """The model of labelled pieces(): scores of every table row, bias, temperature and least confidence. None without rows."""
+    if not parts:
+        return None
+    rng = np.random.default_rng(seed)
+    names = sorted(set(labels))
+    truth = np.searchsorted(names, labels)
+    order = rng.permutation(len(parts))
+    held = order[: max(1, len(parts) // 4)]
+    learn = order[len(held) :] if len(parts) > 4 else order
 
     emb = rng.normal(0, 0.1, (table, dim))
     out, bias = rng.normal(0, 0.1, (dim, len(names))), np.zeros(len(names))
@@ -96,46 +132,39 @@ def train(texts: list[str], labels: list[str], *, dim=12, table=TABLE, steps=120
         if len(queue) < 32:
             queue = np.concatenate([queue, rng.permutation(learn)])
         part, queue = queue[:32], queue[32:]
-        lists = [snippet(data[i][0], 40) for i in part]
-        rows, per_word = cutter.rows([w for ws in lists for w in ws])
-        word_of = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
-        owner = np.repeat(word_of, per_word)
-        n = np.bincount(owner, minlength=len(lists))[:, None]
-        mean = np.zeros((len(lists), dim))
-        np.add.at(mean, owner, emb[rows])
-        mean /= n
+        mean, rows, sizes = _means([parts[i][k] for i, k in zip(part, rng.integers(0, Piece.PARTS, len(part)))], emb)
         slope = _softmax(mean @ out + bias)
-        slope[np.arange(len(part)), [index[data[i][1]] for i in part]] -= 1
+        slope[np.arange(len(part)), truth[part]] -= 1
         slope /= len(part)
         pace = rate * (1 - step / steps) + 0.01
-        back = (slope @ out.T) / n
+        back = (slope @ out.T) / sizes[:, None]
         out -= pace * mean.T @ slope
         bias -= pace * slope.sum(axis=0)
-        np.add.at(emb, rows, -pace * GAIN * back[owner])
+        np.add.at(emb, rows, -pace * GAIN * np.repeat(back, sizes, axis=0))
     scores = emb @ out
 
-    # calibration: long and short pieces of texts that training has not seen
-    cases = [(snippet(data[i][0], 300), data[i][1]) for i in held] + [(snippet(data[i][0], 3), data[i][1]) for i in held]
-    rows, per_word = cutter.rows([w for ws, _ in cases for w in ws])
-    owner = np.repeat(np.repeat(np.arange(len(cases)), [len(ws) for ws, _ in cases]), per_word)
-    z = np.zeros((len(cases), len(names)))
-    np.add.at(z, owner, scores[rows])
-    z = z / np.bincount(owner, minlength=len(cases))[:, None] + bias
-    truth = np.array([index[y] for _, y in cases])
+    # calibration: long and tiny parts of texts that training has not seen
+    z = np.concatenate([_means([parts[i][k] for i in held], scores)[0] for k in (Piece.PARTS, Piece.PARTS + 1)]) + bias
+    right = np.tile(truth[held], 2)
     heats = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), truth], 1e-12)).mean() for t in heats]
+    loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), right], 1e-12)).mean() for t in heats]
     heat = float(heats[int(np.argmin(loss))])
-    sure = _softmax(z / heat).max(axis=1)
-    least = float(min(np.quantile(sure, refused), 0.5))
+    least = float(min(np.quantile(_softmax(z / heat).max(axis=1), refused), 0.5))
     return {"names": names, "scores": scores.astype(np.float32), "bias": bias, "heat": heat, "least": least, "table": table}
 
 
-def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="lang", quota=1500, most_chars=24_000_000) -> dict | None:
-    """Train on about `quota` rows of each label, drawn by a hash of the id, and fewer where they hold over `most_chars` characters; texts are taken whole."""
+def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="lang", quota=1500, most_rows=12_000) -> dict | None:
+    """Train on about `quota` rows of each label and `most_rows` in all, drawn by a hash of id and text.
+
+    Tasks draw parts over the whole of each sampled text and send what they hash to: a row costs the
+    driver at most PARTS * SHORT + LONG + TINY words, however long its text is.
+    """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    sample = sorted(bounded(stratified(rows, "label", "doc_id", quota), "doc_id", "text", most_chars).collect(), key=lambda r: (r.label, r.doc_id))
-    return train([r.text for r in sample], [r.label for r in sample])
+    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    sample = pieces(stratified(rows, "label", ["doc_id", "text"], quota, most_rows)).dropDuplicates(["key", "label"]).toArrow()
+    sample = sample.sort_by([("label", "ascending"), ("key", "ascending")])
+    kind = np.min_scalar_type(TABLE - 1)
+    return train([[np.frombuffer(b, kind) for b in ps] for ps in sample.column("parts").to_pylist()], sample.column("label").to_pylist())
 
 
 class Scorer:

@@ -68,11 +68,12 @@ def op10_bpe(spark, sf_dir):
 
 @query
 def op6_toxicity(spark, sf_dir):
-    """Toxicity of every whole text; learned from labelled rows whose crc32 remainder is not 1."""
+    """Toxicity of every whole text; learned from labelled rows whose crc32 remainder is not 1. threshold and over_threshold: the
+    cut of the row's language and whether the score reaches it."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(remainder(3) != 1))
-    found = toxicity.score(docs, model)
-    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    found = toxicity.score(docs, model, lang_col="lang")
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "threshold", "over_threshold")
 
 
 @query

@@ -1,27 +1,32 @@
-"""Bounded training samples: which rows are taken depends only on a hash of the id, not on order or partitioning."""
+"""Bounded training samples: which rows are taken depends only on a hash of what they hold, not on order or partitioning."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 
-def stratified(rows: DataFrame, label: str, key: str, quota: int, most_labels: int = 256) -> DataFrame:
-    """About `quota` rows of each label, and never more than 1.25 times that over all labels together.
+#: Draws are whole numbers below this.
+DRAWS = 1 << 20
 
-    The labels are counted first; each row then stays if the hash of its key falls under its label's
-    share, so nothing is shuffled but counts. Of more than `most_labels` labels the commonest are learned.
+
+def stratified(rows: DataFrame, label: str, by: list[str], quota: int, most_rows: int) -> DataFrame:
+    """rows with `key`, about `quota` of each label and, through a smaller quota where labels are many, about `most_rows` in all.
+
+    The labels are counted first; a row then stays if the hash `key` of its columns `by` falls under
+    its label's share, so nothing is shuffled but counts. Every label is represented, however rare.
+    Repeats of one row have one key: drop them by it before anything is gathered.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(label) == F.lit(r[0]), F.lit(min(1.0, quota / r[1]))).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000))
-    return rows.where(drawn < share * 1_000_000).limit(int(1.25 * quota * len(counts)) + 16)
-
-
-def bounded(rows: DataFrame, key: str, text: str, most_chars: int) -> DataFrame:
-    """Fewer rows, drawn by a hash of the key, where the texts hold more than about `most_chars` characters together; every text stays whole."""
-    held = rows.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
-    if held <= most_chars:
+    counts = materialise(rows.groupBy(label).agg(F.count("*").alias("_n")), "labels")
+    quota = min(quota, max(1, most_rows // max(1, counts.count())))
+    key = F.xxhash64(*(F.col(c).cast("string") for c in by), F.lit("sample"))
+    drawn = rows.withColumn("key", key).join(counts, label)
+    return drawn.where(F.pmod("key", F.lit(DRAWS)) < F.lit(float(quota)) / F.col("_n") * DRAWS).drop("_n")
+
+
+def bounded(rows: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """Fewer rows, drawn by a hash of the key, where their sizes add up to more than about `most`; every row stays whole."""
+    held = rows.agg(F.sum(size)).first()[0] or 0
+    if held <= most:
         return rows
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("bounded")), F.lit(1_000_000))
-    return rows.where(drawn < int(most_chars / held * 1_000_000))
+    drawn = F.pmod(F.xxhash64(F.col(key), F.lit("bounded")), F.lit(DRAWS))
+    return rows.where(drawn < int(most / held * DRAWS))
