@@ -2,14 +2,18 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir. Where it is unset a local session takes a temporary one; on a cluster
+    that would be a disk of each machine, so an error says what to set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="wayline-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -33,3 +37,19 @@ def discard(df: DataFrame) -> None:
         if "/wayline-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scratch():
+    """A materialise() whose tables go when the block ends: its last act must be to write what it returns with materialise() itself."""
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        held.append(materialise(df, label))
+        return held[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in held:
+            discard(df)
