@@ -59,3 +59,45 @@ def test_small_tables_are_exact(spark):
     two = df.where("vec_id IN (0, 1)")
     assert got(nearest.nearest(two, F.col("vec_id") == 0)) == brute({i: vectors[i] for i in (0, 1)}, [0], 10)
     assert nearest.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def recall(spark, have, asked, **options):
+    """Share of the true ten neighbours found, and the rows on either side that a window has."""
+    df = spark.createDataFrame(list(enumerate(have.tolist())), "vec_id long, embedding array<float>").repartition(8)
+    have, sides, real = have.astype(np.float32).astype(float), [], nearest.window_rows
+    nearest.window_rows = lambda *a: sides.append(real(*a)) or sides[-1]
+    try:
+        found = got(nearest.nearest(df, F.col("vec_id") % 100 == 0, **options))
+    finally:
+        nearest.window_rows = real
+    hits = 0
+    for q in asked:
+        d = ((have - have[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10]) & {i for i, _ in found[q]})
+    return hits / (10 * len(asked)), sides[0]
+
+
+def test_recall_and_windows_at_forty_thousand(spark):
+    """Spread evenly over a sphere, the hardest case; and in clusters, where windows must not grow with the table."""
+    rng = np.random.default_rng(4)
+    even = rng.normal(size=(40_000, 64))
+    even /= np.linalg.norm(even, axis=1)[:, None]
+    assert recall(spark, even, range(0, 40_000, 400))[0] >= 0.9
+    sides = []
+    for n in (5_000, 40_000):
+        centres = rng.normal(size=(n // 50, 64))
+        clustered = centres[rng.integers(0, len(centres), n)] + rng.normal(0, 0.15, (n, 64))
+        share, side = recall(spark, clustered, range(0, n, 400))
+        assert share >= 0.9
+        sides.append(side)
+    assert sides[1] / 40_000 < sides[0] / 5_000 / 2
+
+
+def test_a_tight_cluster_and_a_giant(spark):
+    """A third of the rows within a hair of each other, and one vector of huge norm."""
+    rng = np.random.default_rng(8)
+    have = rng.normal(size=(20_000, 32))
+    have[:6_600] = have[0] + rng.normal(0, 0.02, (6_600, 32))
+    have[19_999] *= 1e6
+    assert recall(spark, have, range(0, 20_000, 400))[0] >= 0.9
