@@ -175,7 +175,9 @@ def _one_by_one(docs, window, run, hot):
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[own].astype(np.int64)), pa.array(at - base[own])], ["h1", "h2", "doc_id", "first"])
 
     windows = docs.mapInArrow(emit, "h1 long, h2 long, doc_id long, first long")
+    # written first, so that adaptive execution may split the windows of one hash between tasks: many documents share it
     smallest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").drop("largest")
+    smallest = materialise(smallest, "smallest")
     return windows.join(smallest, ["h1", "h2"]).where("doc_id > smallest").select("doc_id", "first", F.lit(1).cast("long").alias("windows"))
 
 
