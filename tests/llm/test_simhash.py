@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from wayline.llm import queries, simhash
-from wayline.llm.graph import components
+from wayline.operators.graph import components
 
 
 def brute_fingerprint(text, k=3):

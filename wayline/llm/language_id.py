@@ -164,7 +164,11 @@ def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="lan
     sample = pieces(stratified(rows, "label", ["doc_id", "text"], quota, most_rows)).dropDuplicates(["key", "label"]).toArrow()
     sample = sample.sort_by([("label", "ascending"), ("key", "ascending")])
     kind = np.min_scalar_type(TABLE - 1)
-    return train([[np.frombuffer(b, kind) for b in ps] for ps in sample.column("parts").to_pylist()], sample.column("label").to_pylist())
+    parts, labels = [[np.frombuffer(b, kind) for b in ps] for ps in sample.column("parts").to_pylist()], sample.column("label").to_pylist()
+    model = train(parts, labels)
+    del sample, parts
+    tx.release()
+    return model
 
 
 class Scorer:

@@ -20,7 +20,7 @@ and each stay in the result. Empty quoted lines link to nothing. Further columns
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialise
+from ..storage import discard, materialise, scratch
 
 #: How a quotation is announced, by language.
 ANNOUNCES = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
@@ -69,13 +69,13 @@ def _hashed(cut: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "depth", F.size(F.split("key", " ")).alias("n_words"), F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "runs")
 
 
-def links(cut: DataFrame) -> DataFrame:
-    """(conv_id, turn, depth, original, n_lines): which messages a message quotes, how deep and in how many lines."""
+def links(cut: DataFrame, keep=materialise) -> DataFrame:
+    """(conv_id, turn, depth, original, n_lines): which messages a message quotes, how deep and in how many lines. keep writes a table that the result reads."""
     cut = cut.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "lines")
     quotes = cut.where(F.exists("lines", lambda x: x["depth"] > 0))
     line = ["conv_id", "turn", "depth", "n_words", "h1", "h2", "runs"]
     quoted = _hashed(_runs(quotes)).where("depth > 0").groupBy(*line).agg(F.count("*").alias("n"))
-    quoted = materialise(quoted.withColumn("id", F.xxhash64(*line)), "quoted")
+    quoted = keep(quoted.withColumn("id", F.xxhash64(*line)), "quoted")
 
     written = cut.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")
     own = written.select("conv_id", "turn", F.explode("lines").alias("l")).where("l.depth = 0").select("conv_id", "turn", F.trim(_key(F.col("l.line"))).alias("key")).where("key <> ''")
@@ -102,11 +102,11 @@ def reply_order(messages: DataFrame, **columns) -> DataFrame:
     order: an original always stands before its replies.
     """
     cut = lines(messages, **columns)
-    linked = links(cut)
-    parents = linked.groupBy("conv_id", "turn").agg(
-        F.max(F.when(F.col("depth") == 1, F.struct("n_lines", "original"))).getField("original").alias("reply_to"), F.sum("n_lines").alias("n_linked")
-    )
-    parents = materialise(parents, "replies")
+    with scratch() as keep:
+        linked = links(cut, keep).groupBy("conv_id", "turn").agg(
+            F.max(F.when(F.col("depth") == 1, F.struct("n_lines", "original"))).getField("original").alias("reply_to"), F.sum("n_lines").alias("n_linked")
+        )
+        parents = materialise(linked, "replies")
     roots = _roots(parents.where("reply_to IS NOT NULL").select("conv_id", "turn", "reply_to"))
     announced = lambda x, i: ~((x["depth"] == 0) & x["line"].rlike(ANNOUNCES) & (F.coalesce(F.get(F.col("lines"), i + 1)["depth"], F.lit(0)) > 0))
     own = F.filter(F.filter("lines", announced), lambda x: x["depth"] == 0)

@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialise
+from ..operators.graph import components
+from ..storage import discard, materialise, scratch
 from . import text as tx
-from .graph import components
 
 #: Where the three segments begin and how wide they are.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -164,11 +164,14 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=3) -> DataFrame:
     """(id, fp, component_id) of every document: fingerprints link at two differing bits or fewer; component_id is the
     smallest id that links reach, the document's own included. Ids are longs; a null id takes no part."""
-    prints = materialise(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, shingle=shingle), "prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
-    found = components(links(nodes))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    with scratch() as keep:
+        prints = keep(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, shingle=shingle), "prints")
+        nodes = keep(prints.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
+        found = components(links(nodes))
+        named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+        out = materialise(prints.join(named, "fp").select(id_col, "fp", "component_id"), "classes")
+        discard(found)
+        return out
 
 
 # Near duplicates by the Jaccard similarity of their word shingles.
@@ -179,8 +182,8 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
 # two sets as similar as asked have a shingle in common among the first n - ceil(similarity n) + 1 of
 # each, whatever the order is.
 
-SEEDS = 5
-WIDE = 13  # segments of 23 bits
+SEEDS = 3
+WIDE = 6  # segments of 23 bits
 SKETCH = 8  # longs: the parity of the shingles that fall on each of 512 bits
 SAMPLE = 20_000  # texts whose shingles tell the common ones, which stand last in the order
 COMMON = 200_000  # of them at most
@@ -305,14 +308,15 @@ def _wide_keys(nodes):
     return nodes.mapInArrow(run, "key long, node long")
 
 
-def _shared_keys(keyed):
+def _shared_keys(keyed, keep):
     """The rows (key, node, ...) whose key two nodes or more share, with a weight: a node weighs as much as it shares over all its keys."""
-    keyed = materialise(keyed, "keyed")
-    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "n"), "keys")
-    members = materialise(keyed.join(shared, "key"), "members")
-    discard(keyed)
+    shared = keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "n"), "keys")
+    members = keep(keyed.join(shared, "key"), "members")
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    return materialise(members.drop("n").join(weights, "node"), "members")
+    weighed = keep(members.drop("n").join(weights, "node"), "members")
+    discard(shared)
+    discard(members)
+    return weighed
 
 
 def _with_hub(members):
@@ -322,12 +326,12 @@ def _with_hub(members):
     return pairs.select(F.least("node", "hub").alias("src"), F.greatest("node", "hub").alias("dst"))
 
 
-def _split(members, found):
+def _split(members, found, keep):
     """The members of keys that hold more than one component, with the component, the commonest one of the key and the key's size."""
     placed = members.join(found, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("held"), F.max(F.struct("n", "component")).getField("component").alias("main")).where("parts > 1")
-    return materialise(placed.join(mixed.select("key", "held", "main"), "key"), "split")
+    return keep(placed.join(mixed.select("key", "held", "main"), "key"), "split")
 
 
 def _hub_pairs(split, crowd):
@@ -364,7 +368,7 @@ def _near(nodes, pairs, similarity):
     return pairs.join(side, "src").join(other, "dst").where(_alike(similarity)).select("src", "dst")
 
 
-def _verified(source, pairs, shingle, similarity):
+def _verified(source, pairs, shingle, similarity, keep):
     """The pairs whose shingles are as similar as asked, compared exactly."""
     wanted = pairs.select(F.col("src").alias("doc_id")).union(pairs.select(F.col("dst").alias("doc_id"))).distinct()
     texts = source.join(wanted, "doc_id", "left_semi")
@@ -372,7 +376,7 @@ def _verified(source, pairs, shingle, similarity):
     def cut(batches):
         for batch, hasher, grams, (data, starts, ends, owner) in _read(batches):
             sets = shingle_sets(data, starts, ends, owner, batch.num_rows, shingle, hasher, grams)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
 
     def compare(batches):
         for batch in batches:
@@ -380,7 +384,7 @@ def _verified(source, pairs, shingle, similarity):
                 part = batch.slice(at, 512)
                 good = []
                 for i, (a, b) in enumerate(zip(part.column("g1").to_pylist(), part.column("g2").to_pylist())):
-                    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                     if min(len(x), len(y)) < similarity * max(len(x), len(y)):
                         continue
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -388,7 +392,7 @@ def _verified(source, pairs, shingle, similarity):
                         good.append(i)
                 yield part.select(["src", "dst"]).take(pa.array(good, pa.int64()))
 
-    sets = materialise(texts.mapInArrow(cut, "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
+    sets = keep(texts.mapInArrow(cut, "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
     one = sets.select(F.col("doc_id").alias("src"), F.col("grams").alias("g1"))
     two = sets.select(F.col("doc_id").alias("dst"), F.col("grams").alias("g2"))
     return pairs.join(one, "src").join(two, "dst").mapInArrow(compare, "src long, dst long")
@@ -404,22 +408,27 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", shin
     compared with its heaviest members. Documents without words are copies of each other.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    outlines = materialise(_outlines(source, shingle), "outlines")
-    columns = [F.min_by(c, "doc_id").alias(c) for c in ("size", "sketch", "segments")]
-    nodes = materialise(outlines.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *columns), "nodes")
-
-    def joined(links, pairs):
-        pairs = materialise(_near(nodes, pairs, similarity), "pairs")
-        links = links.union(_verified(source, pairs, shingle, similarity)) if links else _verified(source, pairs, shingle, similarity)
-        links = materialise(links, "similar")
-        return links, materialise(components(links), "components")
-
-    links, found = joined(None, _with_hub(_shared_keys(_wide_keys(nodes))).distinct())
-    members = _shared_keys(_prefixes(source, nodes, shingle, similarity, _common(source, shingle)))
-    links, found = joined(links, _hub_pairs(_split(members, found), crowd))
-    links, found = joined(links, _all_pairs(_split(members, found), nodes, similarity))
-    named = nodes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    return outlines.join(named, ["d1", "d2"]).select(F.col("doc_id").alias(id_col), "component_id")
+    with scratch() as keep:
+        outlines = keep(_outlines(source, shingle), "outlines")
+        columns = [F.min_by(c, "doc_id").alias(c) for c in ("size", "sketch", "segments")]
+        nodes = keep(outlines.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *columns), "nodes")
+
+        def joined(links, pairs):
+            pairs = keep(_near(nodes, pairs, similarity), "pairs")
+            more = _verified(source, pairs, shingle, similarity, keep)
+            links = keep(links.union(more) if links else more, "similar")
+            return links, keep(components(links), "components")
+
+        wide = _shared_keys(_wide_keys(nodes), keep)
+        links, found = joined(None, _with_hub(wide).distinct())
+        discard(wide)
+        prefixes = keep(_prefixes(source, nodes, shingle, similarity, _common(source, shingle)), "prefixes")
+        members = _shared_keys(prefixes, keep)
+        discard(prefixes)
+        links, found = joined(links, _hub_pairs(_split(members, found, keep), crowd))
+        links, found = joined(links, _all_pairs(_split(members, found, keep), nodes, similarity))
+        named = nodes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
+        return materialise(outlines.join(named, ["d1", "d2"]).select(F.col("doc_id").alias(id_col), "component_id"), "classes")
 
 
 def one_of_each(docs: DataFrame, *, id_col="doc_id", **options) -> DataFrame:
