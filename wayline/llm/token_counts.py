@@ -3,8 +3,9 @@
 Prefix dynamic programming: in byte-level BPE the last token of a prefix's encoding decides the
 rest, so a piece (what the pre-tokenizer cuts) is solved from left to right. For each prefix the
 one token is found whose bytes end the prefix and which the merges keep apart from the last token
-of what stands before it; its count is one more than the count there. All distinct pieces of a
-chunk of texts advance together, one prefix length a step. Counts add up over pieces, so a text's
+of what stands before it; its count is one more than the count there. All distinct short pieces of a
+chunk of texts advance together, one prefix length a step; long ones go by themselves, in time that
+grows with their length. Counts add up over pieces, so a text's
 count, the longest prefix within a budget and the tokens of any prefix come without encoding again.
 
 Null and empty texts count zero tokens. Special strings in a text count as the library's default
@@ -29,6 +30,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 
 MEMO = 400_000
+#: Pieces of more bytes are solved one by one, others together.
+LONG = 200
+#: Bytes of a long piece whose tokens are looked up together.
+STRETCH = 1 << 14
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -63,7 +68,9 @@ class PrefixCounter:
         at = np.argsort(pair)
         self.pairs, self.pair_made = pair[at], np.array([rank[a + b] for a, b in merges], np.int64)[at]
         self.n = len(order)
-        self.longest = max(len(raw[t]) for t in order)
+        self.widths = sorted({len(raw[t]) for t in order})
+        self.merged: dict[int, int] = {}
+        self.stand: dict[int, bool] = {}
         self.hasher = tx.Hasher()
         data = np.frombuffer(b"".join(raw[t] for t in order), np.uint8)
         ends = np.cumsum([len(raw[t]) for t in order])
@@ -119,8 +126,82 @@ class PrefixCounter:
                 live = live[keep[live]]
         return ok
 
+    def _stand(self, a: int, b: int) -> bool:
+        """apart() for one pair."""
+        merged, left, right, bound = self.merged, self.lefts, self.rights, self.n + 1
+        while True:
+            made = merged.get(a * self.n + b)
+            if made is not None and made < bound:
+                return False
+            if a > b:
+                bound, part = a, right[a]
+                if part == a:
+                    bound, part = b + 1, left[b]
+                    if part == b:
+                        return True
+                    b = part
+                else:
+                    a = part
+            else:
+                bound, part = b + 1, left[b]
+                if part == b:
+                    bound, part = a, right[a]
+                    if part == a:
+                        return True
+                    a = part
+                else:
+                    b = part
+
+    def solve_long(self, piece: bytes) -> np.ndarray:
+        """solve() for one long piece: tokens that end at any byte of a stretch are looked up together, then prefixes go one by one."""
+        if not self.merged:
+            self.merged = dict(zip(self.pairs.tolist(), self.pair_made.tolist()))
+            self.lefts, self.rights = self.left.tolist(), self.right.tolist()
+        data, n = np.frombuffer(piece, np.uint8), len(piece)
+        last, count = [-1] * (n + 1), [0] * (n + 1)
+        most, stand, many = self.widths[-1], self.stand, self.n
+        for a in range(0, n, STRETCH):
+            b, base = min(n, a + STRETCH), max(0, a - most)
+            totals = self.hasher.totals(data[base:b])
+            ends, widths, tokens = [], [], []
+            for width in self.widths:
+                to = np.arange(max(a + 1, width), b + 1)
+                if not len(to):
+                    break
+                key = self.hasher.of(totals, to - width - base, to - base)
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = np.flatnonzero(self.keys[at] == key)
+                ends.append(to[hit])
+                widths.append(np.full(len(hit), width))
+                tokens.append(self.token_of[at[hit]])
+            ends, widths, tokens = (np.concatenate(x) for x in (ends, widths, tokens))
+            order = np.lexsort((-widths, ends))
+            done = 0
+            for end, width, token in zip(ends[order].tolist(), widths[order].tolist(), tokens[order].tolist()):
+                if end == done:
+                    continue
+                at = end - width
+                if at:
+                    pair = last[at] * many + token
+                    fits = stand.get(pair)
+                    if fits is None:
+                        fits = stand[pair] = self._stand(last[at], token)
+                    if not fits:
+                        continue
+                last[end], count[end], done = token, count[at] + 1, end
+            if len(stand) > MEMO * 4:
+                stand.clear()
+        return np.array(count[1:], np.int64)
+
     def solve(self, pieces: list[bytes]) -> list[np.ndarray]:
         """For each piece the token counts of its prefixes of 1, 2, ... bytes."""
+        long = [i for i, p in enumerate(pieces) if len(p) > LONG]
+        if long:
+            done = {i: self.solve_long(pieces[i]) for i in long}
+            rest = iter(self.solve([p for p in pieces if len(p) <= LONG]))
+            return [done[i] if i in done else next(rest) for i in range(len(pieces))]
+        if not pieces:
+            return []
         data = np.frombuffer(b"".join(pieces), np.uint8)
         sizes = np.array([len(p) for p in pieces])
         starts = np.cumsum(sizes) - sizes
@@ -131,7 +212,9 @@ class PrefixCounter:
         for end in range(1, int(sizes.max(initial=0)) + 1):
             active = by_size[: np.searchsorted(-sizes[by_size], -end, side="right")]
             base = starts[active]
-            for width in range(1, min(end, self.longest) + 1):
+            for width in self.widths:
+                if width > end:
+                    break
                 at = base + end - width
                 key = self.hasher.of(totals, at, at + width)
                 found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
