@@ -2,6 +2,11 @@ import base64
 import glob
 import hashlib
 import json
+import re
+import time
+from html.parser import HTMLParser
+
+import pytest
 
 from wayline.llm import queries, warc
 
@@ -29,17 +34,18 @@ def test_derived_records(spark, tmp_path):
     records = warc.derive(source, keep="page_id")
     got = records.collect()
     assert len(got) == 2 * len(rows)
-    ids = {r.page_id: r.record_id for r in source.collect()}
+    known = {r.record_id: r.page_id for r in source.collect()}
+    assert len(known) == len(rows) and sorted(known.values()) == [1, 1, 2, 3, 4]
     html = {r[0]: r[2] or "" for r in rows}
     for r in got:
-        assert r.refers_to == r.source_id == ids[r.page_id]
+        assert r.refers_to == r.source_id and known[r.refers_to] == r.page_id
         assert r.source_digest == sha1(html[r.page_id]) and r.block_digest == sha1(r.block) and r.length == len(r.block.encode())
         if r.type == "metadata":
             facts = json.loads(r.block)
             assert facts["payload_digest"] == r.source_digest and facts["status"] == "HTTP/1.1 200 OK" and facts["headers"]["content-type"].startswith("text/html")
         else:
             assert r.block == warc.plain_text(html[r.page_id])
-    assert len({r.record_id for r in got if r.page_id != 1}) == 6
+    assert len({r.record_id for r in got}) == 2 * len(rows)
 
     path = str(tmp_path / "out")
     warc.write_warc(records, path)
@@ -61,3 +67,46 @@ def test_query(spark, sf_dir):
     got = queries.op9_warc(spark, sf_dir)
     assert got.groupBy("type").count().orderBy("type").collect() == [("conversion", 50), ("metadata", 50)]
     assert warc.derive(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+class Reader(HTMLParser):
+    """The text of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript", "template")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "noscript", "template") and self.hidden > 0
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def test_conversions_hold_what_a_parser_reads(spark):
+    sf = "/root/testdata/sf0.01"
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: r.block for r in queries.op9_warc(spark, sf).where("type = 'conversion'").collect()}
+    assert set(got) == set(html)
+    for page, markup in html.items():
+        reader = Reader()
+        reader.feed(markup or "")
+        reader.close()
+        assert re.sub(r"\s+", "", got[page]) == re.sub(r"\s+", "", "".join(reader.out)), page
+
+
+HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<script></", "<script", "<title>", "<style>x", "</script", "<a href='", "<p ", "-->", "<SCRIPT>x</Script ><!-- > -->y<template a>"])
+def test_time_grows_with_the_length_of_a_page(piece):
+    assert warc.visible(piece * 20 + "end") == HIDDEN.sub(" ", piece * 20 + "end")
+    markup = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    warc.plain_text(markup)
+    warc.page_facts(markup, len(markup))
+    assert time.perf_counter() - began < 5
