@@ -204,3 +204,90 @@ def test_without_points(spark):
     assert simplify.douglas_peucker(none, 1.0).count() == 0
     assert persistence.pruned(none, 1.0).count() == 0
     assert cluster.segments(none).count() == 0
+
+
+def _filled(values, rng):
+    """Pairs by the definition, point by point: any stretch, in any order, takes its lower neighbour until it meets a maximum."""
+    lows, highs = persistence.extrema(values)
+    stretches = [[low, low, low] for low in lows]  # left, right, minimum
+    met, bars = {}, set()
+    while stretches:
+        c = stretches[int(rng.integers(len(stretches)))]
+        if c[0] == 0 and c[1] == len(values) - 1:
+            stretches.remove(c)
+            continue
+        left = c[0] > 0 and (c[1] == len(values) - 1 or values[c[0] - 1] < values[c[1] + 1])
+        c[0], c[1] = (c[0] - 1, c[1]) if left else (c[0], c[1] + 1)
+        place = c[0] if left else c[1]
+        if place in highs:
+            stretches.remove(c)
+            if place in met:
+                other = met[place]
+                bars.discard((other[2], place))
+                bars.add((max(c[2], other[2]), place))
+                stretches.append([min(c[0], other[0]), max(c[1], other[1]), min(c[2], other[2])])
+            else:
+                met[place] = c
+                bars.add((c[2], place))
+    return bars
+
+
+def test_persistence_equals_filling_point_by_point():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        n = int(rng.integers(4, 30))
+        values = rng.integers(0, 12, n).astype(float) if rng.random() < 0.5 else rng.normal(size=n)
+        steps = np.sign(np.diff(values))
+        if (steps >= 0).all() or (steps <= 0).all():
+            continue
+        assert set(persistence.pairing(values)[0]) == _filled(values, rng)
+
+
+def test_thinning_equals_plain_loops():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        p = _curve(int(rng.integers(3, 60)), int(rng.integers(1 << 30)))
+        values = persistence.turning_angles(p)
+        places = list(range(len(p)))
+        out = [0]
+        for i in range(1, len(p) - 1):
+            if np.hypot(*(p[i] - p[i + 1])) >= 1.2:
+                out.append(i)
+            elif not values[i] < values[i + 1]:
+                out.append(i + 1)
+            elif out[-1] != i:
+                out.append(i)
+        assert persistence.thin_by_distance(places, values, p, 1.2).tolist() == out + [len(p) - 1]
+        kept = persistence.kept_places(values, 20.0)
+        out, i = [kept[0]], 1
+        while i < len(kept) - 1:
+            near = simplify.distance_to_segment(p[kept[i] : kept[i] + 1], p[out[-1]], p[kept[i + 1]])[0] < 0.8
+            out.append(kept[i + 1] if near else kept[i])
+            i += 2 if near else 1
+        assert persistence.segment_distance(p, 20.0, 0.8, 1).tolist() == out + [kept[-1]]
+
+
+def test_curves_stretches_and_resolutions_as_tables(spark):
+    rows = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([0, 9, 0, -7, -2, -3, 6, -2, 1, 0])], "tid long, seq long, value double")
+    assert sorted(map(tuple, persistence.curve_bars(rows).select("low", "high").collect())) == [(3, 1), (5, 4), (7, 6), (9, 8)]
+    assert {r.low for r in persistence.curve_stretches(rows).collect()} == {0, 3, 5, 7, 9}
+    p = _curve(80, 1)
+    got = persistence.multi_resolution_places(_points(spark, [p]), 20.0, 3).orderBy("n").collect()
+    assert [r.seq for r in got] == persistence.multi_resolution(p, 20.0, 3).tolist()
+
+
+def test_opening_window_equals_one_end_at_a_time():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        p = _curve(int(rng.integers(0, 120)), int(rng.integers(1 << 30))) if rng.random() < 0.8 else np.zeros((30, 2))
+        keep = {0, len(p) - 1} if len(p) else set()
+        start, end = 0, 2
+        while end < len(p):
+            far = [i for i in range(start + 1, end) if simplify.distance_to_segment(p[i : i + 1], p[start], p[end])[0] > 1.5]
+            start, end = (far[0], far[0] + 2) if far else (start, end + 1)
+            keep |= {start}
+        assert set(np.flatnonzero(simplify.window_vertices(p, 1.5))) == keep
+
+
+def test_murmur_against_published_values():
+    assert bloom.murmur128(b"", 1) == (0x88C4ADEC, 0x54D201B9, 0x54D201B9, 0x54D201B9)

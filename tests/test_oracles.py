@@ -4,9 +4,10 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
-from wayline.plans import registry
+from wayline.plans import analysis, registry
 
 #: All pairs of segments: minutes in SQL; the distances have tests of their own.
 SLOW = {"traclus_epsilon_pairs"}
@@ -38,3 +39,27 @@ def test_query_equals_sql(name, spark, sf_dir, sql):
     wanted = [tuple(_plain(row[names.index(c)]) for c in columns) for row in asked.fetchall()]
     assert sorted(rows, key=repr) == sorted(wanted, key=repr)
     assert rows
+
+
+def test_near_pairs_equal_all_against_all(spark, sf_dir, sql):
+    found = analysis.cluster.near_pairs(analysis.steps(spark, sf_dir), analysis.EPS)
+    assert sorted(map(tuple, found.collect())) == sorted(sql.execute(analysis.STEP_PAIRS).fetchall())
+
+
+def _levenshtein(a, b):
+    row = np.arange(len(b) + 1)
+    letters = np.array([ord(c) for c in b])
+    for i, c in enumerate(a, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (letters != ord(c)))
+        best = np.concatenate([[i], best]) - np.arange(len(b) + 1)
+        row = np.minimum.accumulate(best) + np.arange(len(b) + 1)
+    return int(row[-1])
+
+
+def test_text_distances_equal_a_plain_loop(spark, sf_dir, sql):
+    asked = sql.execute("SELECT substr(arg_min(text, item_id), 1, 80) FROM benchmark").fetchone()[0]
+    texts = dict(sql.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall())
+    got = dict(map(tuple, registry.QUERIES["edit_distance_text"](spark, sf_dir).select("doc_id", "distance").collect()))
+    assert set(got) == set(texts)
+    for doc in sorted(texts)[:60]:
+        assert got[doc] == _levenshtein(texts[doc], asked)

@@ -105,17 +105,20 @@ def _both(a: Column, b: Column, body) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), lambda s: body(s["a"], s["b"]))
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays of tokens."""
-    first = F.sequence(F.lit(0), F.size(b))
+#: Tokens that can be told apart by one character each.
+MOST_TOKENS = 50_000
+
 
-    def next_row(above, x):
-        steps = F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda j: F.struct(j.alias("j"), F.when(F.get(b, j) == x, 0).otherwise(1).alias("c")))
-        start = F.array(F.get(above, 0) + 1)
-        grow = lambda row, s: F.concat(row, F.array(F.least(F.get(above, s["j"]) + s["c"], F.get(above, s["j"] + 1) + 1, F.element_at(row, -1) + 1)))
-        return F.aggregate(steps, start, grow)
+def _spelled(t: Column, known: Column) -> Column:
+    """Tokens as one character each: their places in `known`, above the control characters, read as UTF-16."""
+    return F.decode(F.unhex(F.array_join(F.transform(t, lambda x: F.lpad(F.hex(F.array_position(known, x) + 256), 4, "0")), "")), "UTF-16BE")
 
-    return F.when(F.size(b) == 0, F.size(a)).when(F.size(a) == 0, F.size(b)).otherwise(F.element_at(F.aggregate(a, first, next_row), -1))
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two arrays of tokens, which become characters for the built-in function; an error above MOST_TOKENS different ones."""
+    few = lambda s: F.when(F.size(s["known"]) > MOST_TOKENS, F.raise_error(F.lit("too many different tokens")).cast("int"))
+    given = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("known"))
+    return let(given, lambda s: few(s).otherwise(F.levenshtein(_spelled(s["a"], s["known"]), _spelled(s["b"], s["known"]))))
 
 
 def bigrams(t: Column) -> Column:

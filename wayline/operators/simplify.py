@@ -34,6 +34,10 @@ def split_weights(p: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
     return keep, weight
 
 
+#: Ends of a window that are tried together.
+ENDS = 16
+
+
 def window_vertices(p: np.ndarray, eps: float) -> np.ndarray:
     """Which points an opening window keeps: the window grows until a point inside is too far from its chord; that point starts the next."""
     keep = np.zeros(len(p), bool)
@@ -41,14 +45,20 @@ def window_vertices(p: np.ndarray, eps: float) -> np.ndarray:
         keep[[0, -1]] = True
     start, end = 0, 2
     while end < len(p):
-        d = distance_to_segment(p[start + 1 : end], p[start], p[end])
-        far = np.flatnonzero(d > eps)
-        if len(far):
-            start = start + 1 + int(far[0])
+        ends = np.arange(end, min(len(p), end + ENDS))
+        chord, inner = p[ends] - p[start], p[start + 1 : ends[-1]] - p[start]
+        size = (chord * chord).sum(axis=1)
+        flat = size < 1e-12
+        t = np.where(flat, 0, np.clip(inner @ chord.T / np.where(flat, 1, size), 0, 1))
+        off = np.hypot(inner[:, :1] - t * chord[:, 0], inner[:, 1:] - t * chord[:, 1])
+        far = (off > eps) & (np.arange(start + 1, ends[-1])[:, None] < ends)
+        first = int(far.any(axis=0).argmax())
+        if far[:, first].any():
+            start += 1 + int(far[:, first].argmax())
             keep[start] = True
             end = start + 2
         else:
-            end += 1
+            end = int(ends[-1]) + 1
     return keep
 
 

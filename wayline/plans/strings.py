@@ -77,15 +77,19 @@ def edit_distance_tokens(spark, sf_dir):
     return _against_first(spark, sf_dir, lambda a, b: e.string_distance("edit_distance", a, b, 2).cast("long").alias("distance"))
 
 
-@query("SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS distance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+@query()
 def edit_distance_text(spark, sf_dir):
-    n = t.table(spark, sf_dir, "nation")
-    a, b = (n.select("n_regionkey", F.col("n_nationkey").alias(f"k{c}"), F.col("n_name").alias(c)) for c in ("a", "b"))
-    return a.join(b, "n_regionkey").where("ka < kb").select("a", "b", e.string_distance("edit_distance", F.col("a"), F.col("b"), 1).cast("long").alias("distance"))
+    """Every whole text of documents against one stated query text, the beginning of the first benchmark item.
+
+    By characters; the SQL engine of the tests counts bytes, so a plain loop tests this.
+    """
+    first = t.table(spark, sf_dir, "benchmark").where("text IS NOT NULL").agg(F.substring(F.min_by("text", "item_id"), 1, 80).alias("query"))
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.crossJoin(F.broadcast(first)).select("doc_id", e.string_distance("edit_distance", F.col("text"), F.col("query"), 1).cast("long").alias("distance"))
 
 
 @query(f"""{_CODES}, l AS (SELECT tid, code, rpad(left(qcode, length(code)), CAST(length(code) AS INT), '~') AS other FROM c, q),
-  b AS (SELECT tid, 1 AS w, code[i:i + 1] AS g FROM l, range(1, 4000) r(i) WHERE i < length(code) UNION ALL SELECT tid, 2, other[i:i + 1] FROM l, range(1, 4000) r(i) WHERE i < length(code)),
+  b AS (SELECT tid, 1 AS w, code[i:i + 1] AS g FROM l, range(1, (SELECT max(length(code)) FROM c)) r(i) WHERE i < length(code) UNION ALL SELECT tid, 2, other[i:i + 1] FROM l, range(1, (SELECT max(length(code)) FROM c)) r(i) WHERE i < length(code)),
   n AS (SELECT tid, w, g, sqrt(count(*)) AS v FROM b GROUP BY 1, 2, 3), r AS (SELECT tid, w, v / sum(v) OVER (PARTITION BY tid, w) AS v, row_number() OVER (PARTITION BY tid, w ORDER BY v DESC) AS i FROM n),
   d AS (SELECT tid, i, sum(CASE WHEN w = 1 THEN v ELSE -v END) AS d FROM r GROUP BY 1, 2) SELECT tid, round(sqrt(sum(d * d)), 6) AS distance FROM d GROUP BY tid""")
 def aaa_distance(spark, sf_dir):
