@@ -70,5 +70,5 @@ def test_a_megabyte_without_a_gap(counter, alphabet):
     text = "".join(rng.choices(alphabet, k=1_000_000 // len(alphabet[0].encode())))
     began = time.perf_counter()
     counts = counter.solve([text.encode()])[0]
-    assert time.perf_counter() - began < 15
+    assert time.perf_counter() - began < 60  # seconds here; hours if time grew with the square
     assert counts[-1] == len(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids)

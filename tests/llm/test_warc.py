@@ -109,4 +109,4 @@ def test_time_grows_with_the_length_of_a_page(piece):
     began = time.perf_counter()
     warc.plain_text(markup)
     warc.page_facts(markup, len(markup))
-    assert time.perf_counter() - began < 5
+    assert time.perf_counter() - began < 30  # seconds here; hours if time grew with the square
