@@ -291,3 +291,13 @@ def test_opening_window_equals_one_end_at_a_time():
 
 def test_murmur_against_published_values():
     assert bloom.murmur128(b"", 1) == (0x88C4ADEC, 0x54D201B9, 0x54D201B9, 0x54D201B9)
+    assert bloom.murmur32(b"", 1) == 0x514E28B7 and bloom.murmur32(b"test", 0) == 0xBA6BD213
+    assert bloom.murmur32(b"Hello, world!", 0) == 0xC0363E43
+
+
+def test_geohash_takes_either_order(spark):
+    row = spark.createDataFrame([(57.64911, 10.40744)], "lat double, lon double")
+    both = row.select(gh.encode_pair(F.col("lon"), F.col("lat"), 11), gh.encode_pair(F.col("lat"), F.col("lon"), 11, "latlon")).first()
+    assert both[0] == both[1] == "u4pruydqqvj"
+    with pytest.raises(ValueError):
+        gh.encode_pair(F.col("lat"), F.col("lon"), 11, "latlng")

@@ -89,3 +89,11 @@ def neighbours(lat: Column, lon: Column, length: int) -> Column:
         row = y + dy
         around.append(F.when((row >= 0) & (row < (1 << high)), _spell(F.pmod(x + dx, F.lit(1 << wide)), row, length)))
     return F.filter(F.array(*around), lambda c: c.isNotNull())
+
+
+def encode_pair(first: Column, second: Column, length: int = 8, order: str = "lonlat", compat: bool = False) -> Column:
+    """encode() of two coordinates in a stated order: `lonlat` or `latlon`."""
+    if order not in ("lonlat", "latlon"):
+        raise ValueError("the order is lonlat or latlon")
+    lat, lon = (first, second) if order == "latlon" else (second, first)
+    return encode(lat, lon, length, compat)

@@ -56,6 +56,20 @@ def murmur128(data: bytes, seed: int) -> tuple[int, int, int, int]:
     return tuple(h)
 
 
+def murmur32(data: bytes, seed: int) -> int:
+    """MurmurHash3 x86_32."""
+    h, whole = seed & _M, len(data) // 4 * 4
+    words = [int.from_bytes(data[at : at + 4], "little") for at in range(0, len(data), 4)]
+    for at, k in enumerate(words):
+        h ^= _rotl(k * 0xCC9E2D51 & _M, 15) * 0x1B873593 & _M
+        if 4 * at < whole:
+            h = _rotl(h, 13) * 5 + 0xE6546B64 & _M
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & _M
+    h = (h ^ h >> 13) * 0xC2B2AE35 & _M
+    return h ^ h >> 16
+
+
 def murmur_positions(cell: Column, m: int, d: int) -> Column:
     """Positions by MurmurHash3 of the hash's number and the cell, seed 42. Hash distinct cells only: this runs in Python."""
 
