@@ -70,6 +70,50 @@ def murmur32(data: bytes, seed: int) -> int:
     return h ^ h >> 16
 
 
+#: The constants of MurmurHash3 x64_128.
+_C64, _ADD64 = (0x87C37B91114253D5, 0x4CF5AD432745937F), (0x52DCE729, 0x38495AB5)
+_M64 = 0xFFFFFFFFFFFFFFFF
+
+
+def murmur128_of_64(data: bytes, seed: int) -> tuple[int, int]:
+    """MurmurHash3 x64_128 as two 64-bit numbers."""
+
+    def turned(x, r):
+        return (x << r | x >> (64 - r)) & _M64
+
+    def lane(i, k):
+        return turned(k * _C64[i] & _M64, (31, 33)[i]) * _C64[1 - i] & _M64
+
+    def spread(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * factor & _M64
+        return x ^ x >> 33
+
+    h, whole = [seed, seed], len(data) // 16 * 16
+    for at in range(0, len(data), 16):
+        pair = [int.from_bytes(data[at + 8 * i : at + 8 * i + 8], "little") for i in (0, 1)]
+        if at == whole:
+            h = [x ^ lane(i, k) for i, (x, k) in enumerate(zip(h, pair))]
+            break
+        for i, k in enumerate(pair):
+            h[i] = ((turned(h[i] ^ lane(i, k), (27, 31)[i]) + h[1 - i]) * 5 + _ADD64[i]) & _M64
+    a, b = (x ^ len(data) for x in h)
+    a = a + b & _M64
+    a, b = spread(a), spread(a + b & _M64)
+    a = a + b & _M64
+    return a, a + b & _M64
+
+
+def seeded_positions(cell: Column, m: int, d: int) -> Column:
+    """Positions by MurmurHash3 of the cell with the hash's number as its seed: other positions than `murmur_positions`."""
+
+    @F.pandas_udf("array<int>")
+    def positions(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda c: None if c is None else [murmur128(c.encode(), i)[0] % m for i in range(d)])
+
+    return positions(cell)
+
+
 def murmur_positions(cell: Column, m: int, d: int) -> Column:
     """Positions by MurmurHash3 of the hash's number and the cell, seed 42. Hash distinct cells only: this runs in Python."""
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import PLANAR, Metric
 from ..functions.trajectories import BY_NAME
 
 
@@ -16,31 +17,32 @@ def query_row(db: DataFrame, tid, most_points: int = 100_000) -> DataFrame:
     return db.where(F.col("tid") == tid).select(F.col("tid").alias("query_tid"), F.col("pts").alias("query_pts")).limit(1)
 
 
-def distance(name: str, u: Column, v: Column, compat: bool = False) -> Column:
+def distance(name: str, u: Column, v: Column, compat: bool = False, metric: Metric = PLANAR) -> Column:
+    """The distance of a name in BY_NAME, to which more may be added; for other names -1 where `compat`."""
     if name in BY_NAME:
-        return BY_NAME[name](u, v)
+        return BY_NAME[name](u, v) if metric is PLANAR else BY_NAME[name](u, v, metric)
     if compat:
         return F.lit(-1.0)
     raise ValueError(f"no distance is called {name!r}; there are {', '.join(BY_NAME)}")
 
 
-def distance_to(db: DataFrame, query: DataFrame, *names: str, compat: bool = False) -> DataFrame:
+def distance_to(db: DataFrame, query: DataFrame, *names: str, compat: bool = False, metric: Metric = PLANAR) -> DataFrame:
     """db with one column for each named distance to the one query row; the query goes to the tasks, db is not shuffled."""
     both = db.crossJoin(F.broadcast(query))
-    return both.select(*db.columns, "query_tid", *(distance(n, F.col("pts"), F.col("query_pts"), compat).alias(n) for n in names))
+    return both.select(*db.columns, "query_tid", *(distance(n, F.col("pts"), F.col("query_pts"), compat, metric).alias(n) for n in names))
 
 
-def nearest(db: DataFrame, query: DataFrame, name: str, k: int) -> DataFrame:
+def nearest(db: DataFrame, query: DataFrame, name: str, k: int, metric: Metric = PLANAR) -> DataFrame:
     """The k trajectories nearest to the query, itself left out; ties go to the smaller id."""
-    found = distance_to(db, query, name).where("tid <> query_tid").select("query_tid", "tid", F.col(name).alias("distance"))
+    found = distance_to(db, query, name, metric=metric).where("tid <> query_tid").select("query_tid", "tid", F.col(name).alias("distance"))
     return found.orderBy("distance", "tid").limit(k)
 
 
-def within_groups(db: DataFrame, name: str, group: str = "grp") -> DataFrame:
+def within_groups(db: DataFrame, name: str, group: str = "grp", metric: Metric = PLANAR) -> DataFrame:
     """(grp, i, j, distance) for every pair i < j of one group: the upper triangle of each group's distance matrix."""
     a = db.select(group, F.col("tid").alias("i"), F.col("pts").alias("u"))
     b = db.select(group, F.col("tid").alias("j"), F.col("pts").alias("v"))
-    return a.join(b, group).where("i < j").select(group, "i", "j", distance(name, F.col("u"), F.col("v")).alias("distance"))
+    return a.join(b, group).where("i < j").select(group, "i", "j", distance(name, F.col("u"), F.col("v"), metric=metric).alias("distance"))
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:

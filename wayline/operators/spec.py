@@ -51,6 +51,12 @@ class DistanceSpec:
             found.append(Distance(node.attrib["type"], length, tuple(f.attrib["type"] for f in node.findall("feature")) if length else ()))
         return cls(tuple(found), root.attrib.get("id", ""))
 
+    @classmethod
+    def read(cls, path: str) -> "DistanceSpec":
+        """From an XML file."""
+        with open(path, encoding="utf-8") as f:
+            return cls.from_xml(f.read())
+
 
 def distance(type: str, *features: str, length: int = 0) -> Distance:
     return Distance(type, length, features)

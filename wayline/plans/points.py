@@ -4,8 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..operators import geodesic, resample
 from ..operators import points as pt
-from ..operators import resample
 from . import tables as t
 from .registry import query, r6
 
@@ -137,8 +137,18 @@ def wgs84_distance(spark, sf_dir):
     """Geodesic length and rhumb bearing of every step; an iterative formula, so tested against known distances instead of SQL."""
     w = Window.partitionBy("tid").orderBy("seq")
     rows = t.events(spark, sf_dir).withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w)}).where("lat2 IS NOT NULL")
-    c = [F.col(n) for n in ("lat", "lon", "lat2", "lon2")]
-    return rows.select("tid", "seq", F.round(g.geodesic(*c), 3).alias("metres"), F.round(g.rhumb_bearing(*c), 6).alias("bearing"))
+    measured = geodesic.lengths(rows.select("tid", "seq", "lat", "lon", "lat2", "lon2"), "lat", "lon")
+    return measured.select("tid", "seq", F.round("metres", 3).alias("metres"), F.round(g.rhumb_bearing(*(F.col(n) for n in ("lat", "lon", "lat2", "lon2"))), 6).alias("bearing"))
+
+
+@query()
+def wgs84_to_segment(spark, sf_dir):
+    """How far every point is from the geodesic between its neighbours, and where that is nearest; tested against a walk along the line."""
+    w = Window.partitionBy("tid").orderBy("seq")
+    ends = {"ulat": F.lag("lat").over(w), "ulon": F.lag("lon").over(w), "vlat": F.lead("lat").over(w), "vlon": F.lead("lon").over(w)}
+    rows = t.events(spark, sf_dir).withColumns(ends).where("ulat IS NOT NULL AND vlat IS NOT NULL").select("tid", "seq", *ends, "lat", "lon")
+    found = geodesic.segment_distances(rows, p=("lat", "lon"))
+    return found.select("tid", "seq", F.round("metres", 3).alias("metres"), F.round("nearest_lat", 5).alias("nearest_lat"), F.round("nearest_lon", 5).alias("nearest_lon"))
 
 
 @query(f"""WITH {t.EVENTS}, m AS (SELECT min(y) AS lo, max(y) AS hi FROM p) SELECT tid, seq, CAST(floor(least(greatest((y - lo) / (hi - lo), 0), 1) * 1023) AS BIGINT) AS colour FROM p, m""")
