@@ -20,6 +20,7 @@ and each stay in the result. Empty quoted lines link to nothing. Further columns
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
 from ..storage import discard, materialise, scratch
 
 #: How a quotation is announced, by language.
@@ -53,12 +54,15 @@ def _words(line):
 def _runs(rows: DataFrame) -> DataFrame:
     """Messages with `runs`: for each word that begins one, the depth, the hash and the lines of a run of the words of one passage."""
     words = F.flatten(F.transform("lines", lambda l, i: F.transform(_words(l["line"]), lambda w: F.struct(l["depth"].alias("depth"), i.alias("at"), w.alias("word")))))
-    rows = rows.withColumn("words", words).where(F.size("words") > 0)
-    windows = F.transform("words", lambda w, i: F.struct(w["depth"].alias("depth"), F.slice("words", i + 1, RUN).alias("part"), ((i == 0) | (F.get(F.col("words"), i - 1)["depth"] != w["depth"])).alias("begins")))
-    same = F.transform(windows, lambda r: r.withField("part", F.slice(r["part"], F.lit(1), F.coalesce(F.nullif(F.array_position(F.transform(r["part"], lambda x: x["depth"] != r["depth"]), True), F.lit(0)) - 1, F.lit(RUN)).cast("int"))))
-    whole = F.filter(same, lambda r: (F.size(r["part"]) == RUN) | r["begins"])
-    runs = F.transform(whole, lambda r: F.struct(r["depth"].alias("depth"), F.xxhash64(F.array_join(r["part"]["word"], " ")).alias("run"), F.array_distinct(r["part"]["at"]).alias("at")))
-    return rows.withColumn("runs", runs).drop("words")
+
+    def of(ws):
+        windows = F.transform(ws, lambda w, i: F.struct(w["depth"].alias("depth"), F.slice(ws, i + 1, RUN).alias("part"), ((i == 0) | (F.get(ws, i - 1)["depth"] != w["depth"])).alias("begins")))
+        same = F.transform(windows, lambda r: r.withField("part", F.filter(r["part"], lambda x, k: ~F.exists(F.slice(r["part"], F.lit(1), k + 1), lambda y: y["depth"] != r["depth"]))))
+        whole = F.filter(same, lambda r: (F.size(r["part"]) == RUN) | r["begins"])
+        return F.transform(whole, lambda r: F.struct(r["depth"].alias("depth"), F.xxhash64(F.array_join(r["part"]["word"], " ")).alias("run"), F.array_distinct(r["part"]["at"]).alias("at")))
+
+    # the words are bound once: as a column they would be inlined into filters on the runs and worked out anew for every word
+    return rows.withColumn("runs", let(words, of))
 
 
 def _hashed(cut: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def links(cut: DataFrame, keep=materialise) -> DataFrame:
     first = own.groupBy("conv_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")).agg(F.min("turn").alias("original"))
     whole = quoted.join(first, ["conv_id", "h1", "h2"]).where("original < turn").select("conv_id", "turn", "id", F.col("original").alias("by_line"))
 
-    own = _runs(written).select("conv_id", "turn", F.explode("runs").alias("r")).where("r.depth = 0")
+    own = _runs(written).select("conv_id", "turn", F.explode_outer("runs").alias("r")).where("r.depth = 0")
     first = own.groupBy("conv_id", F.col("r.run").alias("run")).agg(F.min("turn").alias("original"))
     parts = quoted.select("conv_id", "turn", "id", F.explode("runs").alias("run")).join(first, ["conv_id", "run"]).where("original < turn")
     parts = parts.groupBy("conv_id", "turn", "id", "original").agg(F.count("*").alias("hits"))
