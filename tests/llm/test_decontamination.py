@@ -93,3 +93,14 @@ def test_distance_of_a_whole_word_array():
         best, end = brute(p, t, 10**6)
         scores = list(dc.Distance(p).ends(t))
         assert (min(scores), scores.index(min(scores))) == (best, end)
+
+
+def test_long_words_that_differ(spark):
+    morse = "a"
+    for _ in range(11):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    items = spark.createDataFrame([(1, f"{morse} one two three four")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {other} one two three four"), (2, f"x {morse} one two three four")], "doc_id long, text string")
+    found = {r.doc_id for r in dc.leaks(docs, items).collect()}
+    assert found == {2}

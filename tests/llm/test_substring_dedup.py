@@ -46,3 +46,20 @@ def test_small_windows_hot_minimisers_and_odd_texts(spark, bucket_words):
 
 def test_empty_table(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def morse(n):
+    """The word of 2**n letters and its complement that polynomial hashes modulo 2**64 take for one."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [6, 10, 12])
+def test_words_that_polynomials_take_for_each_other(spark, n):
+    tail = " ".join(f"w{i}" for i in range(49))
+    docs = {1: f"{morse(n)[0]} {tail}", 2: f"{morse(n)[1]} {tail}", 3: f"{morse(n)[0]} {tail}"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = rows(substring_dedup.remove_repeats(df))
+    assert got == brute(docs, 50) and got[2][1] == 0 and got[3][1] == 50

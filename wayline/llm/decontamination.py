@@ -58,7 +58,7 @@ class Words:
         """The words of all texts in a row, and the index of the text of each."""
         data, offsets = plain(column)
         starts, ends, owner = tx.word_bounds(data, offsets)
-        return (self.hasher.ranges(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)), owner
+        return (self.hasher.words(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)), owner
 
     def runs(self, words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Where runs of `size` words of one text begin, and their hashes."""

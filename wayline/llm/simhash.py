@@ -193,7 +193,7 @@ LEAST = 3  # texts of the sample that a common shingle occurs in
 def word_segments(data, starts, ends, owner, texts, hasher) -> np.ndarray:
     """The wide fingerprint of each text, as 23-bit segments."""
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    hashes = hasher.ranges(low, starts, ends)
+    hashes = hasher.words(low, starts, ends)
     order = np.lexsort((hashes, owner))
     h, o = hashes[order], owner[order]
     at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])) if len(h) else np.zeros(0, np.int64)
@@ -213,7 +213,7 @@ def word_segments(data, starts, ends, owner, texts, hasher) -> np.ndarray:
 def shingle_sets(data, starts, ends, owner, texts, shingle, hasher, grams) -> list[np.ndarray]:
     """The distinct word shingles of each lower-cased text, as sorted hashes; shorter texts are one shingle."""
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    words = hasher.ranges(low, starts, ends)
+    words = hasher.words(low, starts, ends)
     counts = np.bincount(owner, minlength=texts)
     n = np.where(counts > 0, np.maximum(counts - shingle + 1, 1), 0)
     base = np.cumsum(counts) - counts

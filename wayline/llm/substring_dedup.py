@@ -43,7 +43,7 @@ class Windows:
 
     def load(self, data, starts, ends, owner):
         self.data, self.starts, self.ends, self.owner = data, starts, ends, owner
-        self.sums = [w.totals(b.ranges(data, starts, ends)) for b, w in zip(self.bytes, self.words)]
+        self.sums = [w.totals(b.words(data, starts, ends)) for b, w in zip(self.bytes, self.words)]
         at = np.arange(max(0, len(starts) - self.window + 1))
         self.at = at[owner[at] == owner[at + self.window - 1]]
         return self
