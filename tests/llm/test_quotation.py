@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -51,10 +53,9 @@ def test_a_long_chain_and_an_empty_table(spark):
     assert quotation.reply_order(frame(spark, [])).count() == 0
 
 
-def test_sql_agrees(spark, tmp_path):
-    clean = [r for r in ROWS if r[0] is not None and r[1] is not None]
+def same_as_sql(spark, tmp_path, rows):
     path = str(tmp_path / "conversations.parquet")
-    frame(spark, clean).withColumn("reply_to", F.lit("x")).write.parquet(path)
+    frame(spark, rows).withColumn("reply_to", F.lit("x")).write.parquet(path)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
     cursor = con.execute(queries.ORACLES["op7_quotation"])
@@ -62,6 +63,44 @@ def test_sql_agrees(spark, tmp_path):
     want = sorted(cursor.fetchall(), key=str)
     got = queries.op7_quotation(spark, str(tmp_path))
     assert got.columns == names and answer(got) == want
+    return want
+
+
+def test_sql_agrees(spark, tmp_path):
+    same_as_sql(spark, tmp_path, [r for r in ROWS if r[0] is not None and r[1] is not None])
+
+
+def test_sql_agrees_on_thousands_of_quoting_messages(spark, tmp_path):
+    rng, rows = random.Random(11), []
+    for conv in range(250):
+        said: list[list[str]] = []
+        for turn in range(20):
+            own = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(40))]
+            text = []
+            for _ in range(rng.choice((0, 1, 1, 2))):
+                if not said:
+                    continue
+                words = rng.choice(said)
+                a = rng.randrange(len(words) + 1)
+                part, depth, width = words[a : a + rng.randrange(1, 25)], rng.choice((1, 1, 2, 3)), rng.randrange(2, 12)
+                if rng.random() < 0.3:  # a quote with a word of its own
+                    part = part[: len(part) // 2] + ["new"] + part[len(part) // 2 :]
+                text += [rng.choice(("> ", ">")) * depth + " ".join(part[i : i + width]).upper() for i in range(0, len(part), width)]
+                text.append("" if rng.random() < 0.5 else f"w{rng.randrange(30)}")
+            width = rng.randrange(3, 15)
+            text += [" ".join(own[i : i + width]) for i in range(0, len(own), width)]
+            said.append(own)
+            rows += [(conv, turn, "u", "\n".join(text))] * (2 if rng.random() < 0.02 else 1)
+    want = same_as_sql(spark, tmp_path, rows)
+    assert sum(r[7] is not None for r in want) > 1000
+
+
+def test_a_megabyte_in_one_message(spark):
+    long = [" ".join(f"w{(i * 10 + j) % 7919}x{i % 13}" for j in range(10)) for i in range(14_000)]
+    quote = "\n".join("> " + x for x in long) + "\nyes"
+    got = {r.turn: r for r in quotation.reply_order(frame(spark, [(1, 0, "u", "\n".join(long)), (1, 1, "u", quote)])).collect()}
+    assert len(quote) > 1_000_000
+    assert (got[1].reply_to, got[1].n_linked, got[1].text) == (0, len(long), "yes")
 
 
 def test_rewrapped_and_partial_quotes(spark):

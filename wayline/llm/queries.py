@@ -98,10 +98,30 @@ WITH RECURSIVE m AS (
          regexp_replace(line, '^\s*((?:>\s?)+)', '') AS line FROM l
 ), k AS (
   SELECT *, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS words, lead(depth, 1, 0) OVER (PARTITION BY id ORDER BY i) AS below FROM d
-), firsts AS (
+), w AS (
+  SELECT id, conv_id, turn, i, depth, unnest(string_split(words, ' ')) AS word, generate_subscripts(string_split(words, ' '), 1) AS j FROM k WHERE words <> ''
+), g AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY i, j) AS passage
+  FROM (SELECT *, CASE WHEN depth = lag(depth) OVER (PARTITION BY id ORDER BY i, j) THEN 0 ELSE 1 END AS fresh FROM w)
+), runs AS (
+  SELECT * FROM (
+    SELECT id, conv_id, turn, depth, list(word) OVER five AS run, list_distinct(list(i) OVER five) AS places, row_number() OVER (PARTITION BY id, passage ORDER BY i, j) AS p
+    FROM g WINDOW five AS (PARTITION BY id, passage ORDER BY i, j ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
+  WHERE len(run) = 5 OR p = 1
+), first_runs AS (
+  SELECT conv_id, run, min(turn) AS original FROM runs WHERE depth = 0 GROUP BY 1, 2
+), hits AS (
+  SELECT r.id, r.i, f.original, count(*) AS n
+  FROM (SELECT id, conv_id, turn, run, unnest(places) AS i FROM runs WHERE depth > 0) r JOIN first_runs f USING (conv_id, run) WHERE f.original < r.turn GROUP BY 1, 2, 3
+), by_runs AS (
+  SELECT id, i, arg_max(original, n * 1000000000 + original) AS original FROM hits GROUP BY 1, 2
+), first_lines AS (
   SELECT conv_id, words, min(turn) AS original FROM k WHERE depth = 0 AND words <> '' GROUP BY 1, 2
 ), linked AS (
-  SELECT q.conv_id, q.turn, q.depth, f.original, count(*) AS n FROM k q JOIN firsts f USING (conv_id, words) WHERE q.depth > 0 AND f.original < q.turn GROUP BY 1, 2, 3, 4
+  SELECT q.conv_id, q.turn, q.depth,
+         CASE WHEN len(string_split(q.words, ' ')) < 5 THEN coalesce(b.original, f.original) ELSE coalesce(f.original, b.original) END AS original, count(*) AS n
+  FROM k q LEFT JOIN by_runs b ON b.id = q.id AND b.i = q.i LEFT JOIN first_lines f ON f.conv_id = q.conv_id AND f.words = q.words AND f.original < q.turn
+  WHERE q.depth > 0 AND q.words <> '' AND coalesce(b.original, f.original) IS NOT NULL GROUP BY 1, 2, 3, 4
 ), parents AS (
   SELECT conv_id, turn, arg_max(original, n * 1000000000 + original) FILTER (WHERE depth = 1) AS reply_to, sum(n)::BIGINT AS n_linked FROM linked GROUP BY 1, 2
 ), up AS (

@@ -66,33 +66,34 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 
 def _hashed(cut: DataFrame) -> DataFrame:
-    """(conv_id, turn, depth, n_words, h1, h2, runs): the lines with words of each message, hashed, and the runs that touch them."""
-    rows = cut.select("conv_id", "turn", F.posexplode("lines").alias("at", "l"), "runs")
-    touching = F.transform(F.filter("runs", lambda r: F.array_contains(r["at"], F.col("at"))), lambda r: r["run"])
-    rows = rows.select("conv_id", "turn", F.col("l.depth").alias("depth"), F.trim(_key(F.col("l.line"))).alias("key"), touching.alias("runs")).where("key <> ''")
-    return rows.select("conv_id", "turn", "depth", F.size(F.split("key", " ")).alias("n_words"), F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "runs")
+    """(conv_id, turn, message, at, depth, n_words, h1, h2): the quoted lines with words of each message, hashed."""
+    rows = cut.select("conv_id", "turn", "message", F.posexplode("lines").alias("at", "l")).where("l.depth > 0")
+    rows = rows.select("conv_id", "turn", "message", "at", F.col("l.depth").alias("depth"), F.trim(_key(F.col("l.line"))).alias("key")).where("key <> ''")
+    return rows.select("conv_id", "turn", "message", "at", "depth", F.size(F.split("key", " ")).alias("n_words"), F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def links(cut: DataFrame, keep=materialise) -> DataFrame:
     """(conv_id, turn, depth, original, n_lines): which messages a message quotes, how deep and in how many lines. keep writes a table that the result reads."""
-    cut = cut.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "lines")
+    cut = cut.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.xxhash64("lines").alias("message"), "lines")
     quotes = cut.where(F.exists("lines", lambda x: x["depth"] > 0))
-    line = ["conv_id", "turn", "depth", "n_words", "h1", "h2", "runs"]
-    quoted = _hashed(_runs(quotes)).where("depth > 0").groupBy(*line).agg(F.count("*").alias("n"))
-    quoted = keep(quoted.withColumn("id", F.xxhash64(*line)), "quoted")
+    place = ["conv_id", "turn", "message", "at"]
+    quoted = _hashed(quotes).groupBy(*place, "depth", "n_words", "h1", "h2").agg(F.count("*").alias("n"))
+    quoted = keep(quoted, "quoted")
 
     written = cut.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")
     own = written.select("conv_id", "turn", F.explode("lines").alias("l")).where("l.depth = 0").select("conv_id", "turn", F.trim(_key(F.col("l.line"))).alias("key")).where("key <> ''")
     first = own.groupBy("conv_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")).agg(F.min("turn").alias("original"))
-    whole = quoted.join(first, ["conv_id", "h1", "h2"]).where("original < turn").select("conv_id", "turn", "id", F.col("original").alias("by_line"))
+    whole = quoted.join(first, ["conv_id", "h1", "h2"]).where("original < turn").select(*place, F.col("original").alias("by_line"))
 
-    own = _runs(written).select("conv_id", "turn", F.explode_outer("runs").alias("r")).where("r.depth = 0")
+    own = _runs(written).select("conv_id", "turn", F.explode("runs").alias("r")).where("r.depth = 0")
     first = own.groupBy("conv_id", F.col("r.run").alias("run")).agg(F.min("turn").alias("original"))
-    parts = quoted.select("conv_id", "turn", "id", F.explode("runs").alias("run")).join(first, ["conv_id", "run"]).where("original < turn")
-    parts = parts.groupBy("conv_id", "turn", "id", "original").agg(F.count("*").alias("hits"))
-    parts = parts.groupBy("conv_id", "turn", "id").agg(F.max(F.struct("hits", "original")).getField("original").alias("by_runs"))
+    # a run goes to each line that it touches: a row for each, never all runs beside every line
+    touching = _runs(quotes).select("conv_id", "turn", "message", F.explode("runs").alias("r")).where("r.depth > 0")
+    touching = touching.select("conv_id", "turn", "message", F.col("r.run").alias("run"), F.explode("r.at").alias("at"))
+    parts = touching.join(first, ["conv_id", "run"]).where("original < turn").groupBy(*place, "original").agg(F.count("*").alias("hits"))
+    parts = parts.groupBy(*place).agg(F.max(F.struct("hits", "original")).getField("original").alias("by_runs"))
 
-    found = quoted.join(whole, ["conv_id", "turn", "id"], "left").join(parts, ["conv_id", "turn", "id"], "left")
+    found = quoted.join(whole, place, "left").join(parts, place, "left")
     original = F.when(F.col("n_words") < RUN, F.coalesce("by_runs", "by_line")).otherwise(F.coalesce("by_line", "by_runs"))
     found = found.withColumn("original", original).where("original IS NOT NULL")
     return found.groupBy("conv_id", "turn", "depth", "original").agg(F.sum("n").alias("n_lines"))
