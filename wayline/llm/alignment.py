@@ -9,7 +9,8 @@ The corpus counts go by chunks of bounded size. Each task writes its chunks' tok
 pairs of each with their numbers of links; pairs are added up over chunks (combined before the
 shuffle), each chunk gets the totals of its own pairs back, and links are read off again from the
 tokens. Nothing is kept per link between stages, and no table grows with one document or pair beyond
-its chunk; a text larger than a chunk is one.
+its chunk; a text larger than a chunk is one. The tables of tokens and of pair counts stay in the
+shared folder, since the result reads them.
 
 Null and empty texts, and texts whose tokens do not spell them again byte by byte, have no tokens:
 zeros, and empty groups. Strings of special tokens are plain text. Rows that repeat an id count and
@@ -17,7 +18,7 @@ come back each for itself. Only id and text are read, so further columns never c
 """
 
 import re
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise, scratch
-from . import bpe, pieces, token_counts
+from ..storage import materialise
+from . import agenda, bpe, pieces, token_counts
 from . import text as tx
 
 #: Bytes of text in a chunk.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 MEMO = 250_000
-ROWS = 256
 
 
 class ByteEncoder:
-    """Ids under a byte-level vocabulary, special strings as plain text, by the pair index."""
+    """Ids under a byte-level vocabulary, special strings as plain text, by agendas of pairs; long words by the pair index."""
 
     def __init__(self, path: str):
         spec = bpe._load(path)
@@ -48,17 +48,25 @@ class ByteEncoder:
         for token, i in spec["model"]["vocab"].items():
             if i not in special:
                 self.bytes[i] = bytes(alphabet[c] for c in token)
-        self.memo: dict[str, list[int]] = {}
+        left, right = self.v.parts.T
+        self.agendas = agenda.Agendas(left, right, self.v.made, np.arange(len(self.v.made)), self.v.size)
+        self.known = agenda.Known(self._words, MEMO)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(r) for r in raw])
+        short = np.flatnonzero(sizes <= agenda.SHORT).tolist()
+        symbols, left = self.agendas.merge(self.v.inner[np.frombuffer(b"".join([raw[i] for i in short]), np.uint8)], sizes[short])
+        if len(short) == len(words):
+            return symbols, left
+        at = np.flatnonzero(sizes > agenda.SHORT).tolist()
+        long = dict(zip(at, bpe.PairIndex(self.v, [raw[i] for i in at]).merge().ids()))
+        parts = iter(np.split(symbols, np.cumsum(left)[:-1])) if short else iter(())
+        each = [long[i] if i in long else next(parts) for i in range(len(words))]
+        return np.concatenate(each), np.array([len(x) for x in each])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [(self.ascii if t.isascii() else self.full).findall(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
-        new = list({w for words in cut for w in words if w not in memo})
-        if new:
-            memo |= zip(new, (x.tolist() for x in bpe.PairIndex(self.v, [w.encode() for w in new]).merge().ids()))
-        return [np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32) for words in cut]
+        return self.known.ids([(self.ascii if t.isascii() else self.full).findall(t) for t in texts])
 
 
 class IntervalIndex:
@@ -127,6 +135,7 @@ class Sides:
     def __init__(self, a: str, b: str):
         self.a, self.b = ByteEncoder(a), pieces.Encoder(b)
         self.raw_a, self.raw_b = np.array(self.a.bytes, object), np.array(self.b.v.bytes, object)
+        self.names = Names(len(self.raw_a), len(self.raw_b))
         self.size_a, self.size_b = (np.array([len(x) for x in raw]) for raw in (self.raw_a, self.raw_b))
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -141,6 +150,12 @@ class Sides:
         return a, b
 
 
+@lru_cache(maxsize=1)
+def _sides(a: str, b: str) -> Sides:
+    """Both sides in a worker: the words that they know serve the tasks that follow."""
+    return Sides(a, b)
+
+
 def _wide(ids: list[np.ndarray], many: int) -> bytes:
     return np.concatenate(ids).astype(np.uint16 if many <= 1 << 16 else np.uint32).tobytes()
 
@@ -156,7 +171,7 @@ def _encoded(docs: DataFrame, a: str, b: str, chunk: int, kind: str) -> DataFram
         codec = pa.Codec("zstd", compression_level=1)
         pack = lambda x: len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True)
         for batch in _gathered(batches, chunk):
-            sides = sides or Sides(a, b)
+            sides = sides or _sides(a, b)
             many_a, many_b = len(sides.raw_a), len(sides.raw_b)
             one, two = sides.encode(batch.column("text").to_pylist())
             x = Aligned(np.concatenate(one), np.concatenate(two), sides.size_a, sides.size_b)
@@ -213,10 +228,7 @@ def align(docs: DataFrame, a: str, b: str, *, id_col="doc_id", text_col="text",
     fields = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
     def finish(tokens: pa.Table, totals: pa.Table) -> pa.Table:
-        if not hasattr(finish, "sides"):
-            finish.sides = Sides(a, b)
-            finish.names = Names(len(finish.sides.raw_a), many_b)
-        sides, names = finish.sides, finish.names
+        sides = _sides(a, b)
         pair = totals.column("pair").to_numpy()
         order = np.argsort(pair)
         pair, count, best = pair[order], totals.column("count").to_numpy()[order], totals.column("best").to_numpy()[order]
@@ -224,16 +236,14 @@ def align(docs: DataFrame, a: str, b: str, *, id_col="doc_id", text_col="text",
         for row in tokens.to_batches():
             n_a, n_b = (row.column(c).flatten().to_numpy() for c in ("n_a", "n_b"))
             ids_a, ids_b = (_unpacked(row.column(c)[0].as_py(), many) for c, many in (("a", len(sides.raw_a)), ("b", many_b)))
-            done.append(_facts(Aligned(ids_a, ids_b, sides.size_a, sides.size_b), n_a, n_b, row.column("ids").flatten(), pair, count, best, many_b, names))
+            done.append(_facts(Aligned(ids_a, ids_b, sides.size_a, sides.size_b), n_a, n_b, row.column("ids").flatten(), pair, count, best, many_b, sides.names))
         return pa.concat_tables(done)
 
-    with scratch() as keep:
-        encoded = keep(_encoded(source, a, b, chunk, kind), "tokens")
-        counts = keep(pair_counts(encoded, many_b), "pairs")
-        own = encoded.select(F.col("chunk").alias("of"), F.explode("pair").alias("pair")).join(counts, "pair")
-        tokens = encoded.select(F.col("chunk").alias("at"), "ids", "n_a", "n_b", "a", "b")
-        out = materialise(tokens.groupBy("at").cogroup(own.groupBy("of")).applyInArrow(finish, fields), "aligned")
-    return out.withColumnRenamed("doc_id", id_col)
+    encoded = materialise(_encoded(source, a, b, chunk, kind), "tokens")
+    counts = materialise(pair_counts(encoded, many_b), "pairs")
+    own = encoded.select(F.col("chunk").alias("of"), F.explode("pair").alias("pair")).join(counts, "pair")
+    tokens = encoded.select(F.col("chunk").alias("at"), "ids", "n_a", "n_b", "a", "b")
+    return tokens.groupBy("at").cogroup(own.groupBy("of")).applyInArrow(finish, fields).withColumnRenamed("doc_id", id_col)
 
 
 def _unpacked(packed: bytes, many: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 A score-ordered agenda holds the adjacent symbol pairs whose union is a piece: the best score comes
 first, of equal scores the leftmost pair, and every merge puts its two new neighbours on the agenda.
+Long stretches have a heap each, short ones advance together, one entry of each agenda a round.
 Where no piece can cross (before a space, between a letter and a sign, at a character that no longer
 piece holds) a text is cut into stretches first; one seen before is not encoded again while memory
 allows. differences() holds the result against the
@@ -18,18 +19,19 @@ import codecs
 import heapq
 import re
 import struct
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import agenda
 from . import text as tx
 from .bpe import _lists, _narrow
 
 SPACE = "▁"
-MEMO = 250_000
+MEMO = 400_000
 #: Fixed values of the vocabulary format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2
@@ -85,7 +87,8 @@ class Vocabulary:
             raise ValueError(f"pieces of kinds {sorted(bad)} are not supported")
         self.prefix = SPACE if plain.get(3, 1) else ""
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
-        self.scores = {p: s for p, s, kind in pieces if kind == NORMAL}
+        order = {s: r for r, s in enumerate(sorted({s for _, s, kind in pieces if kind == NORMAL}, reverse=True))}
+        self.ranks = {p: order[s] for p, s, kind in pieces if kind == NORMAL}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         surface = trainer.get(44, " ⁇ ".encode())
         self.bytes = [
@@ -118,49 +121,86 @@ class Vocabulary:
 class Encoder:
     def __init__(self, path: str):
         self.v = Vocabulary(path)
-        self.memo: dict[str, list[int]] = {}
+        self.beyond = len(self.v.kinds)
+        cuts = [(p[:k], p[k:], p) for p in self.v.ids for k in range(1, len(p))]
+        cuts = [(self._symbol(a), self._symbol(b), p) for a, b, p in cuts]
+        cuts = [c for c in cuts if c[0] is not None and c[1] is not None]
+        left, right, made = zip(*cuts) if cuts else ((), (), ())
+        self.agendas = agenda.Agendas(left, right, [self.v.ids[p] for p in made], [self.v.ranks[p] for p in made], self.beyond + 0x110000)
+        self.single = np.arange(self.beyond, self.beyond + 0x110000, dtype=np.int64)
+        for p, i in self.v.ids.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        self.known = agenda.Known(self.stretches, MEMO)
+
+    def _symbol(self, s: str) -> int | None:
+        """The number of a symbol: its id, or for a character without a piece its code point beyond all ids."""
+        found = self.v.ids.get(s)
+        return found if found is not None or len(s) > 1 else self.beyond + ord(s)
 
     def stretch(self, text: str) -> list[int]:
-        """The ids of one stretch, by the agenda."""
-        scores = self.v.scores
+        """The ids of one stretch of any length, by one agenda: rank and place of each pair, those that no longer stand are passed over."""
+        ranks = self.v.ranks
         symbols = list(text)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = [scores.get(a + b) for a, b in zip(symbols, symbols[1:])]
-        agenda = [(-score, i, i + 1, 2) for i, score in enumerate(first) if score is not None]
-        heapq.heapify(agenda)
-        while agenda:
-            _, i, j, size = heapq.heappop(agenda)
-            left, right = symbols[i], symbols[j]
-            if not left or not right or len(left) + len(right) != size:
-                continue  # one of the two has merged otherwise since
-            symbols[i], symbols[j] = left + right, ""
-            k, h = after[j], before[i]
-            after[i] = k
+        pair = [ranks.get(a + b) for a, b in zip(symbols, symbols[1:])]
+        pair.append(None)
+        entries = [r << 32 | i for i, r in enumerate(pair) if r is not None]
+        heapq.heapify(entries)
+        while entries:
+            best = heapq.heappop(entries)
+            i = best & 0xFFFFFFFF
+            if pair[i] != best >> 32:
+                continue
+            j, h = after[i], before[i]
+            symbol = symbols[i] = symbols[i] + symbols[j]
+            symbols[j] = ""
+            pair[i] = pair[j] = None
+            k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                score = scores.get(symbols[i] + symbols[k])
-                if score is not None:
-                    heapq.heappush(agenda, (-score, i, k, size + len(symbols[k])))
+                pair[i] = r = ranks.get(symbol + symbols[k])
+                if r is not None:
+                    heapq.heappush(entries, r << 32 | i)
             if h >= 0:
-                score = scores.get(symbols[h] + symbols[i])
-                if score is not None:
-                    heapq.heappush(agenda, (-score, h, i, size + len(symbols[h])))
+                pair[h] = r = ranks.get(symbols[h] + symbol)
+                if r is not None:
+                    heapq.heappush(entries, r << 32 | h)
         alone = self.v.alone
         return [x for s in symbols if s for x in alone(s)]
 
+    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many stretches end to end, and how many each has: short ones together, long ones one by one."""
+        sizes = np.array([len(t) for t in texts])
+        short = np.flatnonzero(sizes <= agenda.SHORT).tolist()
+        points = np.frombuffer("".join([texts[i] for i in short]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols, left = self.agendas.merge(self.single[points], sizes[short])
+        lone = np.flatnonzero(symbols >= self.beyond)
+        if len(lone):  # characters without a piece become their bytes
+            raw = [[self.v.byte_ids[b] for b in chr(x).encode()] for x in (symbols[lone] - self.beyond).tolist()]
+            width = np.ones(len(symbols), np.int64)
+            width[lone] = [len(r) for r in raw]
+            left = np.add.reduceat(width, np.cumsum(left) - left) if len(left) else left
+            at = (np.cumsum(width) - width)[lone]
+            symbols = np.repeat(symbols, width)
+            symbols[np.repeat(at, width[lone]) + tx.spread(width[lone])] = [b for r in raw for b in r]
+        if len(short) == len(texts):
+            return symbols, left
+        long = {i: np.array(self.stretch(texts[i]), np.int64) for i in np.flatnonzero(sizes > agenda.SHORT).tolist()}
+        parts = iter(np.split(symbols, np.cumsum(left)[:-1])) if len(short) else iter(())
+        each = [long[i] if i in long else next(parts) for i in range(len(texts))]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo, find = self.memo, self.v.stretch.findall
-        out = []
-        for t in texts:
-            parts = find(self.v.prefix + t.replace(" ", SPACE)) if t else []
-            for p in parts:
-                if p not in memo:
-                    memo[p] = self.stretch(p)
-            out.append(np.fromiter(chain.from_iterable(map(memo.__getitem__, parts)), np.int32))
-        return out
+        find, prefix = self.v.stretch.findall, self.v.prefix
+        return self.known.ids([find(prefix + t.replace(" ", SPACE)) if t else [] for t in texts])
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of a worker: the stretches that it knows serve the tasks that follow."""
+    return Encoder(path)
 
 
 class Decoder:
@@ -200,7 +240,7 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col="doc_id", text_col="text"
     def run(batches):
         encoder = None
         for batch in tx.chunks(batches):
-            encoder = encoder or Encoder(vocabulary)
+            encoder = encoder or _encoder(vocabulary)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(encoder.encode(_texts(batch)))], ["doc_id", "ids"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -230,7 +270,7 @@ def round_trip(docs: DataFrame, vocabulary: str, *, id_col="doc_id", text_col="t
         encoder = None
         for batch in tx.chunks(batches, limit=1 << 20):
             if encoder is None:
-                encoder = Encoder(vocabulary)
+                encoder = _encoder(vocabulary)
                 decoder = Decoder(encoder.v)
             ids = _lists(encoder.encode(_texts(batch)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoder.decode(ids), pa.string())], ["doc_id", "ids", "decoded"])
@@ -247,7 +287,7 @@ def differences(docs: DataFrame, vocabulary: str, *, id_col="doc_id", text_col="
         encoder = None
         for batch in tx.chunks(batches, limit=1 << 20):
             if encoder is None:
-                encoder, library = Encoder(vocabulary), sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+                encoder, library = _encoder(vocabulary), sentencepiece.SentencePieceProcessor(model_file=vocabulary)
                 decoder = Decoder(encoder.v)
             texts = _texts(batch)
             ids = _lists(encoder.encode(texts))
