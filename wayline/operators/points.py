@@ -8,33 +8,19 @@ between them. Order is always given by a column, never by how rows happen to lie
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import number_runs
+
 
 def is_separator(x: str = "x") -> Column:
     return F.col(x).isNull() | F.isnan(x)
 
 
-def trajectory_ids(rows: DataFrame, order: str = "seq", x: str = "x", blocks: int = 64) -> DataFrame:
-    """Separated rows with `tid`: from 1, null on separators; several separators in a row count as one.
-
-    The running count over the whole table is worked out by ranges of the order: every range counts
-    its trajectories alone and starts where the ranges before it end, so no task sees all rows.
-    """
-    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if ends.lo is None:
-        return rows.withColumn("tid", F.lit(None).cast("long"))
-    width = max(1, -(-(ends.hi - ends.lo + 1) // blocks))
-    cut = rows.withColumn("_block", F.floor((F.col(order) - ends.lo) / width))
+def trajectory_ids(rows: DataFrame, order: str = "seq", x: str = "x", blocks: int | None = None) -> DataFrame:
+    """Separated rows with `tid`: from 1, null on separators; several separators in a row count as one."""
+    marked = rows.withColumn("_separates", is_separator(x))
     # a trajectory begins at a point whose predecessor is a separator or missing
-    edge = cut.groupBy("_block").agg(F.max_by(is_separator(x), order).alias("_ended"))
-    before = Window.orderBy("_block")
-    edge = edge.select((F.col("_block")).alias("_block"), F.lag("_ended", 1, True).over(before).alias("_open"))
-    inside = Window.partitionBy("_block").orderBy(order)
-    begins = cut.join(F.broadcast(edge), "_block").withColumn("_begin", ~is_separator(x) & F.coalesce(F.lag(is_separator(x)).over(inside), F.col("_open")))
-    counts = begins.groupBy("_block").agg(F.sum(F.col("_begin").cast("long")).alias("_n"))
-    base = counts.select("_block", (F.sum("_n").over(before) - F.col("_n")).alias("_base"))
-    run = F.sum(F.col("_begin").cast("long")).over(inside)
-    found = begins.join(F.broadcast(base), "_block").withColumn("tid", F.when(~is_separator(x), run + F.col("_base")))
-    return found.drop("_block", "_open", "_begin", "_base")
+    found = number_runs(marked, [order], lambda before: ~F.col("_separates") & F.coalesce(before["_separates"], F.lit(True)), ["_separates"], blocks=blocks)
+    return found.withColumn("tid", F.when(~F.col("_separates"), F.col("_run") + 1)).drop("_separates", "_run", "_place")
 
 
 def remove_separators(rows: DataFrame, x: str = "x") -> DataFrame:

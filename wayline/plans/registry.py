@@ -21,4 +21,4 @@ def r6(column):
     return F.round(column, 6) + F.lit(0.0)
 
 
-from . import analysis, cells, distances, points, shapes, strings  # noqa: E402, F401
+from . import analysis, cells, distances, files, points, shapes, strings  # noqa: E402, F401

@@ -1,32 +1,51 @@
-"""Text formats of trajectories. Files are split into lines by Spark; the order of lines is their place in the file."""
+"""Text formats of trajectories. Spark splits files into lines wherever it likes; the order of lines is their place in the file.
 
-from pyspark.sql import DataFrame, SparkSession, Window
+A file of any size is read by as many tasks as it has splits. A line's number comes from its place in
+its split and the counts of the splits before; trajectories are numbered by a scan over ranges of
+(path, place). Compressed files are one split each.
+"""
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import number_runs
+
 
 def _lines(spark: SparkSession, path: str, **options) -> DataFrame:
-    """(path, line, place): the lines of every file, numbered. A file is one row here: these formats number trajectories by their order in it."""
-    reader = spark.read.options(**options)
-    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    rows = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("place", "line"))
-    return rows.where(F.trim("line") != "").withColumn("place", F.col("place").cast("long"))
+    """(path, place, line): the lines of every file with their numbers in it, from 0; blank lines count and are left out."""
+    read = spark.read.options(lineSep="\n", **options).text(path)
+    rows = read.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", "\r$", "").alias("line"),
+    )
+    # the rows of a split stand in one task one after another, so their numbers there are consecutive
+    splits = rows.groupBy("path", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("path").orderBy("_start")
+    splits = splits.select("path", "_start", "_first", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    found = rows.join(splits, ["path", "_start"]).select("path", (F.col("_row") - F.col("_first") + F.col("_before")).alias("place"), "line")
+    return found.where(F.trim("line") != "")
 
 
 def _words(line="line"):
     return F.split(F.trim(line), r"\s+")
 
 
+def count_words(line: Column) -> Column:
+    """How many words, parted by white space, a line has; none where it is blank or null."""
+    return F.when(F.coalesce(F.trim(line), F.lit("")) == "", 0).otherwise(F.size(_words(line)))
+
+
 def _by_consecutive_id(rows: DataFrame, drop_boundary: bool) -> DataFrame:
-    w = Window.partitionBy("path").orderBy("place")
-    before = F.lag("id").over(w)
-    cut = rows.withColumn("_fresh", (before.isNotNull() & (before != F.col("id"))).cast("long"))
-    cut = cut.withColumn("run", F.sum("_fresh").over(w))
-    if drop_boundary:  # the row on which the id changes is lost
-        cut = cut.where("_fresh = 0")
-    order = Window.orderBy("path", "run")
-    runs = cut.select("path", "run").distinct().select("path", "run", (F.row_number().over(order) - 1).cast("long").alias("tid"))
-    inside = Window.partitionBy("tid").orderBy("place")
-    return cut.join(runs, ["path", "run"]).withColumn("seq", (F.row_number().over(inside) - 1).cast("long"))
+    """rows with tid and seq: a trajectory begins with a file, and where the id changes."""
+    fresh = lambda before: before.isNull() | (before["path"] != F.col("path")) | (before["id"] != F.col("id"))
+    runs = number_runs(rows, ["path", "place"], fresh, ["path", "id"], run="tid", place="seq")
+    if not drop_boundary:
+        return runs
+    # the row on which the id changes is lost, the first of a file is not; what is left is numbered again
+    opens = runs.groupBy("path").agg(F.min("tid").alias("_opens"))
+    kept = runs.join(opens, "path").where((F.col("seq") > 0) | (F.col("tid") == F.col("_opens"))).drop("_opens", "seq").withColumnRenamed("tid", "_of")
+    again = lambda before: before.isNull() | (before["_of"] != F.col("_of"))
+    return number_runs(kept, ["path", "place"], again, ["_of"], run="tid", place="seq").drop("_of")
 
 
 def read_xyi(spark: SparkSession, path: str, drop_boundary: bool = False) -> DataFrame:
@@ -36,6 +55,10 @@ def read_xyi(spark: SparkSession, path: str, drop_boundary: bool = False) -> Dat
     return _by_consecutive_id(rows, drop_boundary).select("tid", "seq", "x", "y", "id")
 
 
+#: The other name under which this format is known.
+read_roma = read_xyi
+
+
 def read_segments(spark: SparkSession, path: str, drop_boundary: bool = False) -> DataFrame:
     """(tid, seq, x1, y1, x2, y2, id) of space-separated `x y x2 y2 id` lines."""
     w = _words()
@@ -71,9 +94,7 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """tid by the order of paths, seq by the order of lines."""
-    paths = rows.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("tid"))
-    inside = Window.partitionBy("path").orderBy("place")
-    return rows.join(paths, "path").withColumn("seq", (F.row_number().over(inside) - 1).cast("long"))
+    return number_runs(rows, ["path", "place"], lambda before: before.isNull() | (before["path"] != F.col("path")), ["path"], run="tid", place="seq")
 
 
 def write_clusters(segments: DataFrame, path: str) -> None:
@@ -83,6 +104,26 @@ def write_clusters(segments: DataFrame, path: str) -> None:
     rows.write.option("sep", " ").option("header", True).option("quote", "").csv(path)
 
 
+def write_xyi(points: DataFrame, path: str) -> None:
+    """`x y id` lines of (tid, seq, x, y): files in order of tid, every trajectory in one of them."""
+    _write_lines(points.select("tid", "seq", F.concat_ws(" ", *(F.col(c).cast("string") for c in ("x", "y", "tid"))).alias("value")), path)
+
+
+def write_segments(segments: DataFrame, path: str) -> None:
+    """`x y x2 y2 id` lines of (tid, seq, x1, y1, x2, y2), as write_xyi() has them."""
+    _write_lines(segments.select("tid", "seq", F.concat_ws(" ", *(F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2", "tid"))).alias("value")), path)
+
+
+def _write_lines(rows: DataFrame, path: str) -> None:
+    rows.repartitionByRange("tid").sortWithinPartitions("tid", "seq").select("value").write.text(path)
+
+
+def write_directory(points: DataFrame, path: str, *columns: str) -> None:
+    """A folder `trajectory=<tid>` with one file of white-space separated columns for every trajectory."""
+    lines = points.select(F.col("tid").alias("trajectory"), "seq", F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("value"))
+    lines.repartition("trajectory").sortWithinPartitions("trajectory", "seq").drop("seq").write.partitionBy("trajectory").text(path)
+
+
 def write_points(points: DataFrame, path: str) -> None:
-    """Point tables as Parquet, each trajectory in one piece and in order."""
+    """Point tables as Parquet, sorted by (tid, seq) over all files; a long trajectory may go on in the next file."""
     points.repartitionByRange("tid", "seq").sortWithinPartitions("tid", "seq").write.parquet(path)
