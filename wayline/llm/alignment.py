@@ -5,12 +5,12 @@ The tokens of B form a static interval index over byte offsets; for each token o
 tell the range of B tokens that it overlaps. A gap between tokens that no token of either side spans
 becomes the boundary of a group.
 
-The corpus counts go by chunks of bounded size. Each task writes its chunks' tokens, and the distinct
-pairs of each with their numbers of links; pairs are added up over chunks (combined before the
-shuffle), each chunk gets the totals of its own pairs back, and links are read off again from the
-tokens. Nothing is kept per link between stages, and no table grows with one document or pair beyond
-its chunk; a text larger than a chunk is one. The tables of tokens and of pair counts stay in the
-shared folder, since the result reads them.
+The corpus counts go by chunks of bounded size. Each task writes the links of its chunks in order, two
+bytes each as a rule: which of the chunk's distinct pairs, and whether the A token and the B token are
+new, from which tokens and groups are read off again. Distinct pairs with their numbers of links are
+added up over chunks (combined before the shuffle), and each chunk gets the totals of its own pairs
+back. No table grows with one document or pair beyond its chunk; a text larger than a chunk is one.
+The tables of links and of pair counts stay in the shared folder, since the result reads them.
 
 Null and empty texts, and texts whose tokens do not spell them again byte by byte, have no tokens:
 zeros, and empty groups. Strings of special tokens are plain text. Rows that repeat an id count and
@@ -32,7 +32,8 @@ from . import text as tx
 
 #: Bytes of text in a chunk.
 CHUNK = 1 << 20
-MEMO = 250_000
+#: Words of each side that a worker remembers.
+MEMO = 120_000
 
 
 class ByteEncoder:
@@ -91,16 +92,13 @@ class Aligned:
         self.first, last = self.index.stabbed(np.concatenate([[0], self.ends[:-1]]), self.ends) if len(a) else (np.zeros(0, np.int64),) * 2
         self.n_links = last - self.first
 
-    def pairs(self, many: int) -> np.ndarray:
-        """a * many + b of every link, A token by A token."""
+    def links(self, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """a * many + b of every link, A token by A token, and whether its A token and its B token are new. Where both are,
+        no token spans the gap before them."""
         at_b = np.repeat(self.first, self.n_links) + tx.spread(self.n_links)
-        return np.repeat(self.a.astype(np.int64), self.n_links) * many + self.b[at_b]
-
-    def gaps(self) -> tuple[np.ndarray, np.ndarray]:
-        """The last A token and the last B token of every group."""
-        at = np.minimum(np.searchsorted(self.index.ends, self.ends), max(0, len(self.b) - 1))
-        closes = np.flatnonzero(self.index.ends[at] == self.ends) if len(self.b) else np.zeros(0, np.int64)
-        return closes, at[closes]
+        fresh_a = np.zeros(len(at_b), bool)
+        fresh_a[np.cumsum(self.n_links) - self.n_links] = True
+        return np.repeat(self.a.astype(np.int64), self.n_links) * many + self.b[at_b], fresh_a, np.diff(at_b, prepend=-1) > 0
 
 
 class Names:
@@ -110,13 +108,13 @@ class Names:
         self.table = np.array([f"{i}{mark}" for many, marks in ((many_a, ",|"), (many_b, ",;")) for mark in marks for i in range(many)], object)
         self.many_a, self.many_b = many_a, many_b
 
-    def tokens(self, x: Aligned, last_a: np.ndarray, last_b: np.ndarray) -> np.ndarray:
-        """The ids of a chunk in the order of the text form, each with the mark behind it."""
-        na, nb = len(x.a), len(x.b)
+    def tokens(self, a, b, last_a, last_b) -> np.ndarray:
+        """The ids of both sides in the order of the text form, each with the mark behind it; last_a, last_b: the last token of each group."""
+        na, nb = len(a), len(b)
         ends_a, ends_b = np.zeros(na, np.int64), np.zeros(nb, np.int64)
         ends_a[last_a] = ends_b[last_b] = 1
-        code_a = x.a + ends_a * self.many_a
-        code_b = x.b + ends_b * self.many_b + 2 * self.many_a
+        code_a = a + ends_a * self.many_a
+        code_b = b + ends_b * self.many_b + 2 * self.many_a
         # an A token stands behind the B tokens of the groups before, a B token behind the A tokens of its own group
         group_a, group_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
         out = np.empty(na + nb, np.int64)
@@ -133,9 +131,8 @@ class Sides:
     """Both vocabularies with the bytes of their tokens."""
 
     def __init__(self, a: str, b: str):
-        self.a, self.b = ByteEncoder(a), pieces.Encoder(b)
+        self.a, self.b = ByteEncoder(a), pieces.Encoder(b, MEMO)
         self.raw_a, self.raw_b = np.array(self.a.bytes, object), np.array(self.b.v.bytes, object)
-        self.names = Names(len(self.raw_a), len(self.raw_b))
         self.size_a, self.size_b = (np.array([len(x) for x in raw]) for raw in (self.raw_a, self.raw_b))
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -156,40 +153,45 @@ def _sides(a: str, b: str) -> Sides:
     return Sides(a, b)
 
 
-def _wide(ids: list[np.ndarray], many: int) -> bytes:
-    return np.concatenate(ids).astype(np.uint16 if many <= 1 << 16 else np.uint32).tobytes()
-
-
 def _encoded(docs: DataFrame, a: str, b: str, chunk: int, kind: str) -> DataFrame:
-    """One row for each chunk: ids, tokens of both sides end to end and how many each text has, the distinct pairs and their links."""
+    """One row for each chunk: ids, how many links each text has, the links, the distinct pairs and their numbers of links."""
 
     def run(batches):
         from pyspark import TaskContext
 
         sides = None
         part, n = TaskContext.get().partitionId(), 0
-        codec = pa.Codec("zstd", compression_level=1)
-        pack = lambda x: len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True)
         for batch in _gathered(batches, chunk):
             sides = sides or _sides(a, b)
-            many_a, many_b = len(sides.raw_a), len(sides.raw_b)
             one, two = sides.encode(batch.column("text").to_pylist())
             x = Aligned(np.concatenate(one), np.concatenate(two), sides.size_a, sides.size_b)
-            pair, links = np.unique(x.pairs(many_b), return_counts=True)
+            pairs, fresh_a, fresh_b = x.links(len(sides.raw_b))
+            pair, which, links = np.unique(pairs, return_inverse=True, return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(x.n_links)])[np.cumsum([len(i) for i in one])]
             row = [
                 pa.array([(part << 32) + n]),
                 pa.array([batch.column("doc_id").to_pylist()], pa.list_(batch.schema.field("doc_id").type)),
-                pa.array([[len(i) for i in one]], pa.list_(pa.int64())),
-                pa.array([[len(i) for i in two]], pa.list_(pa.int64())),
-                pa.array([pack(_wide(one, many_a))], pa.binary()),
-                pa.array([pack(_wide(two, many_b))], pa.binary()),
-                pa.array([pair.tolist()], pa.list_(pa.int64())),
-                pa.array([links.tolist()], pa.list_(pa.int64())),
+                pa.array([np.diff(ends, prepend=0)], pa.list_(pa.int64())),
+                pa.array([_packed(which.astype(np.uint32) << 2 | fresh_b.astype(np.uint32) << 1 | fresh_a)], pa.binary()),
+                pa.array([pair], pa.list_(pa.int64())),
+                pa.array([links], pa.list_(pa.int64())),
             ]
             n += 1
-            yield pa.RecordBatch.from_arrays(row, ["chunk", "ids", "n_a", "n_b", "a", "b", "pair", "links"])
+            yield pa.RecordBatch.from_arrays(row, ["chunk", "ids", "n_links", "codes", "pair", "links"])
+
+    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, n_links array<long>, codes binary, pair array<long>, links array<long>")
+
 
-    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, n_a array<long>, n_b array<long>, a binary, b binary, pair array<long>, links array<long>")
+def _packed(codes: np.ndarray) -> bytes:
+    """The width of a code in bytes, the size, and the codes compressed."""
+    width = 2 if codes.max(initial=0) < 1 << 16 else 4
+    raw = codes.astype(f"<u{width}").tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    raw = pa.decompress(packed[9:], int.from_bytes(packed[1:9], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{packed[0]}").astype(np.int64)
 
 
 def _gathered(batches, limit: int):
@@ -227,49 +229,43 @@ def align(docs: DataFrame, a: str, b: str, *, id_col="doc_id", text_col="text",
     many_b = len(pieces.Vocabulary(b).bytes)
     fields = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
-    def finish(tokens: pa.Table, totals: pa.Table) -> pa.Table:
-        sides = _sides(a, b)
-        pair = totals.column("pair").to_numpy()
-        order = np.argsort(pair)
-        pair, count, best = pair[order], totals.column("count").to_numpy()[order], totals.column("best").to_numpy()[order]
-        done = []
-        for row in tokens.to_batches():
-            n_a, n_b = (row.column(c).flatten().to_numpy() for c in ("n_a", "n_b"))
-            ids_a, ids_b = (_unpacked(row.column(c)[0].as_py(), many) for c, many in (("a", len(sides.raw_a)), ("b", many_b)))
-            done.append(_facts(Aligned(ids_a, ids_b, sides.size_a, sides.size_b), n_a, n_b, row.column("ids").flatten(), pair, count, best, many_b, sides.names))
-        return pa.concat_tables(done)
-
-    encoded = materialise(_encoded(source, a, b, chunk, kind), "tokens")
+    def finish(chunk_: pa.Table, totals: pa.Table) -> pa.Table:
+        totals = totals.sort_by("pair")
+        pair, count, best = (totals.column(c).to_numpy() for c in ("pair", "count", "best"))
+        row = chunk_.to_batches()[0]
+        return _facts(_unpacked(row.column("codes")[0].as_py()), row.column("n_links").flatten().to_numpy(), row.column("ids").flatten(), pair, count, best, many_b)
+
+    encoded = materialise(_encoded(source, a, b, chunk, kind), "links")
     counts = materialise(pair_counts(encoded, many_b), "pairs")
     own = encoded.select(F.col("chunk").alias("of"), F.explode("pair").alias("pair")).join(counts, "pair")
-    tokens = encoded.select(F.col("chunk").alias("at"), "ids", "n_a", "n_b", "a", "b")
-    return tokens.groupBy("at").cogroup(own.groupBy("of")).applyInArrow(finish, fields).withColumnRenamed("doc_id", id_col)
+    chunks = encoded.select(F.col("chunk").alias("at"), "ids", "n_links", "codes")
+    return chunks.groupBy("at").cogroup(own.groupBy("of")).applyInArrow(finish, fields).withColumnRenamed("doc_id", id_col)
 
 
-def _unpacked(packed: bytes, many: int) -> np.ndarray:
-    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(raw, np.uint16 if many <= 1 << 16 else np.uint32).astype(np.int32)
+@lru_cache(maxsize=1)
+def _names(many_a: int, many_b: int) -> Names:
+    return Names(many_a, many_b)
 
 
-def _facts(x: Aligned, n_a, n_b, ids: pa.Array, pair, count, best, many_b: int, names: Names) -> pa.Table:
-    """The result rows of one chunk."""
-    at = np.searchsorted(pair, x.pairs(many_b))
-    last_a, last_b = x.gaps()
-    to_a, to_b = np.cumsum(n_a), np.cumsum(n_b)
-    link_ends = np.concatenate([[0], np.cumsum(x.n_links)])
-    bounds = link_ends[np.concatenate([[0], to_a])]
+def _facts(codes, n_links, ids: pa.Array, pair, count, best, many_b: int) -> pa.Table:
+    """The result rows of one chunk, from its links in order and the totals of its pairs in order."""
+    which, fresh_a, fresh_b = codes >> 2, codes & 1 > 0, codes & 2 > 0
+    bounds = np.concatenate([[0], np.cumsum(n_links)])
 
     def added(values):
-        sums = np.concatenate([[0], np.cumsum(values)])
-        return np.diff(sums[bounds])
-
-    groups = np.diff(np.concatenate([[0], np.searchsorted(last_a, to_a)]))
-    words = names.tokens(x, last_a, last_b).tolist()
-    ends = to_a + to_b
+        return np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
+
+    at_a, at_b = np.flatnonzero(fresh_a), np.flatnonzero(fresh_b)
+    group = np.cumsum(fresh_a & fresh_b)
+    a, b = pair[which[at_a]] // many_b, pair[which[at_b]] % many_b
+    last_a, last_b = (np.flatnonzero(np.diff(group[at], append=-1)) for at in (at_a, at_b))
+    n_a, n_b = added(fresh_a), added(fresh_b)
+    words = _names(int(a.max(initial=0)) // 65536 * 65536 + 65536, many_b).tokens(a, b, last_a, last_b).tolist()
+    ends = np.cumsum(n_a + n_b)
     text = ["".join(words[e - n : e])[:-1] for n, e in zip((n_a + n_b).tolist(), ends.tolist())]
     return pa.table(
         {
-            "doc_id": ids, "n_a": n_a, "n_b": n_b, "n_groups": groups, "n_links": np.diff(bounds),
-            "n_best": added(best[at].astype(np.int64)), "count_sum": added(count[at]), "groups": pa.array(text, pa.string()),
+            "doc_id": ids, "n_a": n_a, "n_b": n_b, "n_groups": added(fresh_a & fresh_b), "n_links": n_links,
+            "n_best": added(best[which]), "count_sum": added(count[which]), "groups": pa.array(text, pa.string()),
         }
     )

@@ -119,7 +119,7 @@ class Vocabulary:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO):
         self.v = Vocabulary(path)
         self.beyond = len(self.v.kinds)
         cuts = [(p[:k], p[k:], p) for p in self.v.ids for k in range(1, len(p))]
@@ -131,7 +131,7 @@ class Encoder:
         for p, i in self.v.ids.items():
             if len(p) == 1:
                 self.single[ord(p)] = i
-        self.known = agenda.Known(self.stretches, MEMO)
+        self.known = agenda.Known(self.stretches, most)
 
     def _symbol(self, s: str) -> int | None:
         """The number of a symbol: its id, or for a character without a piece its code point beyond all ids."""
