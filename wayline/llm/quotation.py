@@ -85,10 +85,11 @@ def links(cut: DataFrame, keep=materialise) -> DataFrame:
     first = own.groupBy("conv_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")).agg(F.min("turn").alias("original"))
     whole = quoted.join(first, ["conv_id", "h1", "h2"]).where("original < turn").select(*place, F.col("original").alias("by_line"))
 
-    own = _runs(written).select("conv_id", "turn", F.explode("runs").alias("r")).where("r.depth = 0")
+    # outer, as the filter of an inner explode would be pushed below the join and work out the runs of every message
+    own = _runs(written).select("conv_id", "turn", F.explode_outer("runs").alias("r")).where("r.depth = 0")
     first = own.groupBy("conv_id", F.col("r.run").alias("run")).agg(F.min("turn").alias("original"))
     # a run goes to each line that it touches: a row for each, never all runs beside every line
-    touching = _runs(quotes).select("conv_id", "turn", "message", F.explode("runs").alias("r")).where("r.depth > 0")
+    touching = _runs(quotes).select("conv_id", "turn", "message", F.explode_outer("runs").alias("r")).where("r.depth > 0")
     touching = touching.select("conv_id", "turn", "message", F.col("r.run").alias("run"), F.explode("r.at").alias("at"))
     parts = touching.join(first, ["conv_id", "run"]).where("original < turn").groupBy(*place, "original").agg(F.count("*").alias("hits"))
     parts = parts.groupBy(*place).agg(F.max(F.struct("hits", "original")).getField("original").alias("by_runs"))
