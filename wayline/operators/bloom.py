@@ -234,15 +234,33 @@ def alive(decaying_: DataFrame, now) -> DataFrame:
     return decaying_.where(F.col("expires") > now).groupBy("tid").agg(F.array_sort(F.collect_set("at")).alias("bits"))
 
 
-def close_pairs(filters_: DataFrame, limit: int) -> DataFrame:
-    """(a, b) with a < b whose filters differ in fewer than `limit` bits; compared by all pairs, as any two sparse filters may be close."""
-    left = filters_.select(F.col("tid").alias("a"), F.col("bits").alias("x"))
-    right = filters_.select(F.col("tid").alias("b"), F.col("bits").alias("y"))
-    differing = let(F.struct("x", "y"), lambda s: F.size(F.array_except(s["x"], s["y"])) + F.size(F.array_except(s["y"], s["x"])))
-    return left.join(right, F.col("a") < F.col("b")).where(differing < limit).select("a", "b")
+def _chunks(bits: Column, m: int, n: int) -> Column:
+    """The filter in n chunks, the bits of each as one number."""
+    first = lambda c: F.ceil(c * F.lit(m) / F.lit(n)).cast("int")
+    own = lambda c: F.filter(bits, lambda b: F.floor(b * F.lit(n) / F.lit(m)) == c)
+    bit = lambda b, c: F.call_function("shiftleft", F.lit(1).cast("long"), (b - first(c)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.aggregate(own(c), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(bit(b, c))))
 
 
-def leader_classes(filters_: DataFrame, limit: int = 25) -> DataFrame:
+def close_pairs(filters_: DataFrame, limit: int, m: int = 1024) -> DataFrame:
+    """(a, b) with a < b whose filters of m bits differ in fewer than `limit` bits.
+
+    Cut in `limit` chunks, two such filters agree on one of them at least: they meet by chunk and its
+    bits, are compared if their numbers of bits are near enough, and only where they meet first.
+    Filters that share a chunk's bits with very many others, as an empty chunk may be, meet them all.
+    """
+    n = max(limit, -(-m // 62))
+    rows = filters_.select("tid", F.size("bits").alias("ones"), _chunks(F.col("bits"), m, n).alias("chunks"))
+    met = rows.select("tid", "ones", "chunks", F.posexplode("chunks").alias("at", "value"))
+    left = met.select("at", "value", F.col("tid").alias("a"), F.col("ones").alias("p"), F.col("chunks").alias("x"))
+    right = met.select("at", "value", F.col("tid").alias("b"), F.col("ones").alias("q"), F.col("chunks").alias("y"))
+    apart = F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    near = left.join(right, ["at", "value"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("p") - F.col("q")) < limit))
+    told = near.select("a", "b", "at", apart.alias("apart")).where(F.array_position("apart", 0) == F.col("at") + 1)
+    return told.where(F.aggregate("apart", F.lit(0), lambda s, v: s + v) < limit).select("a", "b")
+
+
+def leader_classes(filters_: DataFrame, limit: int = 25, m: int = 1024) -> DataFrame:
     """(tid, leader): each filter joins the first leader, by id, that differs in fewer than `limit` bits, or leads itself.
 
     Decided in rounds instead of one by one: a filter leads as soon as every smaller close one is
@@ -250,7 +268,7 @@ def leader_classes(filters_: DataFrame, limit: int = 25) -> DataFrame:
     """
     from ..storage import discard, materialise
 
-    pairs = materialise(close_pairs(filters_, limit), "close")
+    pairs = materialise(close_pairs(filters_, limit, m), "close")
     state = materialise(filters_.select("tid", F.lit(None).cast("boolean").alias("leads")), "leaders")
     while state.where("leads IS NULL").limit(1).count():
         smaller = pairs.join(state.select(F.col("tid").alias("a"), F.col("leads").alias("known")), "a")

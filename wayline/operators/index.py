@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geohash
+from .scan import ranks
 
 
 def set_union(a: Column, b: Column) -> Column:
@@ -46,6 +47,18 @@ def plan(sets: DataFrame, query_cells: DataFrame, compat: bool = False) -> DataF
     return hits.withColumn("hit", F.lit(True)).union(rest.withColumn("hit", F.lit(False)))
 
 
+def search_order(sets: DataFrame, query_cells: DataFrame, most: int, compat: bool = False) -> DataFrame:
+    """(position, tid, hit): ids below `most` in the order in which a search visits them: hits ascending, then the rest ascending.
+
+    compat: the second part visits all ids below `most` again. Ids without a cell are visited too.
+    """
+    hits = sets.join(query_cells.select("cell").distinct(), "cell", "left_semi").select(F.col("tid").cast("long").alias("tid")).distinct()
+    every = sets.sparkSession.range(most).select(F.col("id").alias("tid"))
+    rest = every if compat else every.join(hits, "tid", "left_anti")
+    rows = hits.withColumn("rest", F.lit(0)).union(rest.withColumn("rest", F.lit(1)))
+    return ranks(rows, "rest", "tid", rank="position").select("position", "tid", (F.col("rest") == 0).alias("hit"))
+
+
 def jaccard(sets: DataFrame, query_cells: DataFrame) -> DataFrame:
     """(tid, shared, size, distance): exact Jaccard distance of every trajectory's cells to the query's; 1 where both are empty.
 

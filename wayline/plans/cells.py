@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import geohash as gh
-from ..operators import bloom, index
+from ..operators import bloom, index, slices
 from . import tables as t
 from .registry import query, r6
 
@@ -76,6 +76,15 @@ def cell_plan(spark, sf_dir):
     return index.plan(*_sets(spark, sf_dir))
 
 
+@query(f"""{_SETS}, m AS (SELECT max(tid) AS most FROM s), h AS (SELECT tid, bool_or(cell IN (SELECT cell FROM q)) AS hit FROM s GROUP BY tid), r AS (
+    SELECT 0 AS rest, tid FROM h WHERE hit UNION ALL SELECT 1, i FROM (SELECT unnest(range(most)) AS i FROM m) WHERE i NOT IN (SELECT tid FROM h WHERE hit))
+  SELECT row_number() OVER (ORDER BY rest, tid) - 1 AS position, tid, rest = 0 AS hit FROM r""")
+def cell_search_order(spark, sf_dir):
+    """All ids below the largest, in the order in which a search visits them."""
+    sets, asked = _sets(spark, sf_dir)
+    return index.search_order(sets, asked, sets.agg(F.max("tid")).first()[0])
+
+
 _JACCARD = f"{_SETS}, j AS (SELECT tid, count(q.cell) AS shared, count(*) AS size FROM s LEFT JOIN q USING (cell) GROUP BY tid), d AS (SELECT tid, shared, size, 1 - shared / (size + (SELECT count(*) FROM q) - shared) AS d FROM j)"
 
 
@@ -135,11 +144,33 @@ def bloom_subset(spark, sf_dir):
   SELECT tid, round(1 - hits / (n + total - hits), 6) + 0.0 AS bound FROM x""")
 def bloom_lb(spark, sf_dir):
     sets, asked = _sets(spark, sf_dir)
-    keys = asked.select("cell").distinct().withColumn("at", bloom.md5_positions(F.col("cell"), M, D))
-    rows = bloom.filters(sets, M, D).crossJoin(F.broadcast(keys)).groupBy("tid", "n").agg(F.sum(bloom.contains(F.col("bits"), F.col("at")).cast("long")).alias("hits"), F.count("*").alias("total"))
+    # the query's keys are one row: as many as one trajectory has cells
+    keys = asked.select("cell").distinct().agg(F.collect_list(bloom.md5_positions(F.col("cell"), M, D)).alias("keys"))
+    hits = F.size(F.filter("keys", lambda at: bloom.contains(F.col("bits"), at)))
+    rows = bloom.filters(sets, M, D).crossJoin(F.broadcast(keys)).select("tid", "n", hits.alias("hits"), F.size("keys").alias("total"))
     return rows.select("tid", r6(bloom.lower_bound(F.col("hits"), F.col("total") - F.col("hits"), F.col("n"))).alias("bound"))
 
 
+@query(f"{_BLOOM} SELECT tid, {_MISSING} = 0 AS inside FROM b, f")
+def bloom_sliced_subset(spark, sf_dir):
+    """Which filters hold the first one, by the slices of its bits."""
+    made = bloom.filters(_sets(spark, sf_dir)[0], M, D)
+    found = slices.build(made)
+    asked = made.agg(F.min_by("bits", "tid")).first()[0]
+    return found.numbers.select("tid").join(slices.holding(found, asked).withColumn("inside", F.lit(True)), "tid", "left").select("tid", F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
+@query(f"""{_BLOOM}, k AS (SELECT cell, list(DISTINCT pos) AS pos FROM h WHERE i < {D} GROUP BY cell), t AS (SELECT cell, count(*) AS holders FROM s GROUP BY cell)
+  SELECT cell, holders, count(*) FILTER (len(list_filter(k.pos, lambda x: NOT list_contains(bits, x))) = 0) AS candidates FROM b, k JOIN t USING (cell) GROUP BY ALL""")
+def bloom_sliced_cells(spark, sf_dir):
+    """For every cell, how many trajectories enter it and how many may by their filters, all cells asked at once."""
+    sets, _ = _sets(spark, sf_dir)
+    found = slices.build(bloom.filters(sets, M, D))
+    asked = sets.groupBy(F.col("cell").alias("query")).agg(F.count("*").alias("holders")).withColumn("bits", bloom.md5_positions(F.col("query"), M, D))
+    candidates = slices.held(found, asked).groupBy("query").agg(F.count("*").alias("candidates"))
+    return asked.join(candidates, "query", "left").select(F.col("query").alias("cell"), "holders", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
+
+
 _SLICES = 8
 _HOLDS = " AND ".join(f"len(list_filter(qbits, lambda x: x // {M // _SLICES} = {i})) <= len(list_filter(bits, lambda x: x // {M // _SLICES} = {i}))" for i in range(_SLICES))
 
@@ -180,4 +211,4 @@ def bloom_murmur(spark, sf_dir):
 def leader_classes(spark, sf_dir):
     """Each trajectory's filter of one-character cells with its leader; decided in rounds, tested against one pass in order."""
     made = bloom.filters(index.cell_sets(t.events(spark, sf_dir), 1), 64, 2)
-    return bloom.leader_classes(made, 14)
+    return bloom.leader_classes(made, 14, 64)
