@@ -120,8 +120,7 @@ def test_near_segments_and_labels_against_loops(spark):
     wanted = {(a[0], b[0]) for a in segs for b in segs if a[0] != b[0] and _plain_distance(b[2:], a[2:]) <= 0.6}
     assert found == wanted and wanted
 
-    pairs = spark.createDataFrame(sorted(wanted), "sid long, other long")
-    labels = {r.sid: r.cluster for r in cluster.labelled(rows, pairs, 4).collect()}
+    labels = {r.sid: r.cluster for r in cluster.labelled(rows, 0.6, 4).collect()}
     near = {s[0]: sorted(b for a, b in wanted if a == s[0]) for s in segs}
     core = {s for s in near if len(near[s]) + 1 >= 4}
     comp = {}
