@@ -3,9 +3,9 @@
 A word's subwords are its letter n-grams, with marks at both ends, and the word itself, all hashed
 into a table of embeddings. A text is the average of the embeddings of all its subwords; a linear
 layer and a softmax give the languages. Table and layer are trained by stochastic gradient descent
-in numpy on a bounded sample of labelled rows: tasks cut parts from all over the sampled texts and
-send the table rows of their subwords, so no text reaches the driver. The softmax is calibrated by a temperature on rows
-kept out of training, and the least confidence at which a text is accepted is set there too, so that
+in numpy on a bounded sample of labelled rows: tasks count the table rows of the subwords of each
+sampled text, whole, and cut parts from all over it beside, so that short texts are learned too; no
+text reaches the driver. The softmax is calibrated by a temperature on rows kept out of training, and the least confidence at which a text is accepted is set there too, so that
 a fixed small share of clean texts, short ones included, would be refused.
 
 As all is linear, each distinct word is scored once and texts only add up scores, whole.
@@ -23,8 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import scratch
 from . import text as tx
-from .sampling import stratified
+from .sampling import bounded, stratified
 
 UNKNOWN = "und"
 TABLE = 1 << 16
@@ -74,7 +75,7 @@ def _softmax(z):
 
 
 class Piece:
-    """What training takes of a text: how many parts, and of how many words at most."""
+    """What training takes of a text besides the whole: how many parts, and of how many words at most."""
 
     PARTS, SHORT, LONG, TINY = 6, 40, 300, 3
 
@@ -87,35 +88,47 @@ def _part(words: list[str], longest: int, rng) -> list[str]:
 
 
 def pieces(rows: DataFrame, table: int = TABLE) -> DataFrame:
-    """(key, label, parts) of (key, label, text) rows: table rows of the subwords of a few parts drawn over the whole text by its
-    key, packed; the last two, a long and a tiny one, are for calibration. Texts without a letter give none."""
+    """(key, label, parts, rows, counts, size) of (key, label, text) rows: the table rows of all subwords of the text and how often
+    each occurs, packed, and those of a few parts drawn over the text by its key; the last two, a long and a tiny one, are for
+    calibration. size: bytes in all, at most as many as the table has rows allow. Texts without a letter give none."""
     kind = np.min_scalar_type(table - 1)
 
     def cut(batches):
         cutter = Subwords(table)
         for batch in tx.chunks(batches, limit=1 << 20):
-            keys, labels, out = [], [], []
+            keys, labels, out, whole, counts, sizes_ = [], [], [], [], [], []
             for key, label, text in zip(*(batch.column(c).to_pylist() for c in ("key", "label", "text"))):
                 if words := cutter.words(text):
                     rng = np.random.default_rng(key & 0xFFFFFFFFFFFFFFFF)
                     sizes = [Piece.SHORT] * Piece.PARTS + [Piece.LONG, Piece.TINY]
                     out.append([cutter.rows(_part(words, n, rng))[0].astype(kind).tobytes() for n in sizes])
+                    rows_, n = np.unique(cutter.rows(words)[0], return_counts=True)
+                    whole.append(rows_.astype(kind).tobytes())
+                    counts.append(n.astype(np.float32).tobytes())
+                    sizes_.append(sum(map(len, out[-1])) + len(whole[-1]) + len(counts[-1]))
                     keys.append(key)
                     labels.append(label)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(labels, pa.string()), pa.array(out, pa.list_(pa.binary()))], ["key", "label", "parts"])
+            columns = [pa.array(keys, pa.int64()), pa.array(labels, pa.string()), pa.array(out, pa.list_(pa.binary())), pa.array(whole, pa.binary()), pa.array(counts, pa.binary()), pa.array(sizes_, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "label", "parts", "rows", "counts", "size"])
 
-    return rows.select("key", "label", "text").mapInArrow(cut, "key long, label string, parts array<binary>")
+    return rows.select("key", "label", "text").mapInArrow(cut, "key long, label string, parts array<binary>, rows binary, counts binary, size long")
 
 
-def _means(lists, table_rows):
-    """The average of the table's rows over each list, and the sizes of the lists."""
+def _means(lists, table_rows, counts=None):
+    """The average of the table's rows over each list, where each counts as often as counts say; the rows, and what each adds to its average."""
     sizes = np.array([len(x) for x in lists])
     flat = np.concatenate(lists).astype(np.int64)
-    return np.add.reduceat(table_rows[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None], flat, sizes
+    share = np.concatenate(counts) if counts is not None else np.ones(len(flat))
+    starts = np.cumsum(sizes) - sizes
+    share = share / np.repeat(np.add.reduceat(share, starts), sizes)
+    return np.add.reduceat(table_rows[flat] * share[:, None], starts, axis=0), flat, sizes, share
 
 
-def train(parts: list[list[np.ndarray]], labels: list[str], *, dim=12, table=TABLE, steps=1200, rate=2.0, refused=0.001, seed=7) -> dict | None:
-    """The model of labelled pieces(): scores of every table row, bias, temperature and least confidence. None without rows."""
+def train(parts: list[list[np.ndarray]], whole: list[tuple[np.ndarray, np.ndarray]], labels: list[str], *, dim=12, table=TABLE, steps=1200, rate=2.0, refused=0.001, seed=7) -> dict | None:
+    """The model of labelled pieces(): scores of every table row, bias, temperature and least confidence. None without rows.
+
+    whole: the table rows of each text and their counts. Every other step takes whole texts, the steps between parts of texts.
+    """
     if not parts:
         return None
     rng = np.random.default_rng(seed)
@@ -132,20 +145,25 @@ def train(parts: list[list[np.ndarray]], labels: list[str], *, dim=12, table=TAB
         if len(queue) < 32:
             queue = np.concatenate([queue, rng.permutation(learn)])
         part, queue = queue[:32], queue[32:]
-        mean, rows, sizes = _means([parts[i][k] for i, k in zip(part, rng.integers(0, Piece.PARTS, len(part)))], emb)
+        if step % 2:
+            lists, counts = zip(*(whole[i] for i in part))
+        else:
+            lists, counts = [parts[i][k] for i, k in zip(part, rng.integers(0, Piece.PARTS, len(part)))], None
+        mean, rows, sizes, share = _means(lists, emb, counts)
         slope = _softmax(mean @ out + bias)
         slope[np.arange(len(part)), truth[part]] -= 1
         slope /= len(part)
         pace = rate * (1 - step / steps) + 0.01
-        back = (slope @ out.T) / sizes[:, None]
+        back = slope @ out.T
         out -= pace * mean.T @ slope
         bias -= pace * slope.sum(axis=0)
-        np.add.at(emb, rows, -pace * GAIN * np.repeat(back, sizes, axis=0))
+        np.add.at(emb, rows, -pace * GAIN * np.repeat(back, sizes, axis=0) * share[:, None])
     scores = emb @ out
 
-    # calibration: long and tiny parts of texts that training has not seen
-    z = np.concatenate([_means([parts[i][k] for i in held], scores)[0] for k in (Piece.PARTS, Piece.PARTS + 1)]) + bias
-    right = np.tile(truth[held], 2)
+    # calibration: whole texts that training has not seen, and long and tiny parts of them
+    z = [_means([whole[i][0] for i in held], scores, [whole[i][1] for i in held])[0]] + [_means([parts[i][k] for i in held], scores)[0] for k in (Piece.PARTS, Piece.PARTS + 1)]
+    z = np.concatenate(z) + bias
+    right = np.tile(truth[held], 3)
     heats = np.geomspace(0.05, 20, 60)
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), right], 1e-12)).mean() for t in heats]
     heat = float(heats[int(np.argmin(loss))])
@@ -153,20 +171,24 @@ def train(parts: list[list[np.ndarray]], labels: list[str], *, dim=12, table=TAB
     return {"names": names, "scores": scores.astype(np.float32), "bias": bias, "heat": heat, "least": least, "table": table}
 
 
-def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="lang", quota=1500, most_rows=12_000) -> dict | None:
-    """Train on about `quota` rows of each label and `most_rows` in all, drawn by a hash of id and text.
+def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="lang", quota=1500, most_rows=12_000, most_bytes=128 << 20) -> dict | None:
+    """Train on about `quota` rows of each label and `most_rows` in all, drawn by a hash of id and text, and on fewer whole rows
+    where what they hash to would take more than `most_bytes`.
 
-    Tasks draw parts over the whole of each sampled text and send what they hash to: a row costs the
-    driver at most PARTS * SHORT + LONG + TINY words, however long its text is.
+    Tasks send the counts of table rows of each sampled text, whole, and of a few parts of it: a row
+    costs the driver at most what the table and the parts take, however long its text is.
     """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    sample = pieces(stratified(rows, "label", ["doc_id", "text"], quota, most_rows)).dropDuplicates(["key", "label"]).toArrow()
+    with scratch() as keep:
+        drawn = keep(pieces(stratified(rows, "label", ["doc_id", "text"], quota, most_rows)).dropDuplicates(["key", "label"]), "sample")
+        sample = bounded(drawn, "key", "size", most_bytes).toArrow()
     sample = sample.sort_by([("label", "ascending"), ("key", "ascending")])
     kind = np.min_scalar_type(TABLE - 1)
     parts, labels = [[np.frombuffer(b, kind) for b in ps] for ps in sample.column("parts").to_pylist()], sample.column("label").to_pylist()
-    model = train(parts, labels)
-    del sample, parts
+    whole = [(np.frombuffer(r, kind), np.frombuffer(n, np.float32)) for r, n in zip(sample.column("rows").to_pylist(), sample.column("counts").to_pylist())]
+    model = train(parts, whole, labels)
+    del sample, parts, whole
     tx.release()
     return model
 
