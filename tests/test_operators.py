@@ -141,6 +141,48 @@ def test_near_segments_and_labels_against_loops(spark):
     assert labels == {s: -3 if c >= 0 and len(sources[c]) < 4 else c for s, c in told.items()}
 
 
+#: The first points of a published sample, and the segments published for them.
+SAMPLE = [
+    (200, 1552), (201.07, 1552.01), (203.84, 1552.02), (209.24, 1552.03), (215.54, 1552.04), (224.44, 1552.05), (233.04, 1552.06), (243.88, 1551.91), (251.96, 1551.24),
+    (263.27, 1548.95), (271.04, 1546.21), (281.28, 1541.22), (289.46, 1536.04), (299.78, 1528.16), (305.98, 1522.73), (311.98, 1517), (320.06, 1508.64), (326.69, 1501.17),
+    (334.33, 1492.11), (339.8, 1485.38), (348.54, 1474.33), (354.02, 1467.43), (361.61, 1457.71), (366.99, 1450.72), (374.39, 1440.73), (381.34, 1430.03), (386.43, 1420.3),
+]
+PUBLISHED = [(200, 1552), (243.88, 1551.91), (251.96, 1551.24), (263.27, 1548.95), (271.04, 1546.21), (281.28, 1541.22), (299.78, 1528.16), (311.98, 1517), (326.69, 1501.17), (361.61, 1457.71)]
+
+
+def test_published_segments(spark):
+    points = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(SAMPLE)], "tid long, seq long, x double, y double")
+    rows = cluster.traclus(points, 25, 1).orderBy("sid").collect()
+    assert [(r.x1, r.y1, r.x2, r.y2) for r in rows][:9] == [(*map(float, a), *map(float, b)) for a, b in zip(PUBLISHED, PUBLISHED[1:])]
+    assert {r.cluster for r in rows[:9]} == {0}
+
+
+def test_cut_and_distance_of_ones_own(spark):
+    rng = np.random.default_rng(3)
+    curves = [np.cumsum(rng.normal(0, 1, (30, 2)), axis=0) for _ in range(4)]
+    middles = lambda s, o: np.hypot((s.x1 + s.x2 - o.x1 - o.x2) / 2, (s.y1 + s.y2 - o.y1 - o.y2) / 2)
+    every_third = lambda p: [*range(0, len(p) - 1, 3), len(p) - 1]
+    segs = cluster.segments(_points(spark, curves), every_third)
+    rows = segs.collect()
+    assert len(rows) == 4 * 10
+    longest = max(math.dist((r.x1, r.y1), (r.x2, r.y2)) for r in rows)
+    found = {tuple(r) for r in cluster.near_pairs(segs, 0.8, distance=middles, reach=0.8 + longest).collect()}
+    middle = {r.sid: ((r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2) for r in rows}
+    assert found == {(a, b) for a in middle for b in middle if a != b and math.dist(middle[a], middle[b]) <= 0.8} and found
+    labels = cluster.traclus(_points(spark, curves), 0.8, 2, places=every_third, distance=middles, reach=0.8 + longest).collect()
+    assert len(labels) == len(rows) and {r.cluster for r in labels} > {-2}
+
+
+def test_crowded_cells_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    segs = [(i, i, *map(float, rng.uniform(0, 3, 4))) for i in range(120)] + [(120 + i, i, 1.0, 1.0, 2.0, 2.0) for i in range(20)]
+    rows = spark.createDataFrame(segs, "sid long, trajectory_index long, x1 double, y1 double, x2 double, y2 double")
+    found = [tuple(r) for r in cluster.near_pairs(rows, 0.3).collect()]
+    assert sorted(found) == sorted((a[0], b[0]) for a in segs for b in segs if a[0] != b[0] and _plain_distance(b[2:], a[2:]) <= 0.3)
+    assert cluster.near_pairs(rows.limit(0), 0.3).count() == 0
+
+
 def test_segments_cover_each_trajectory(spark):
     curves = [_curve(60, 9), _curve(2, 10), _curve(1, 11)]
     found = cluster.segments(_points(spark, curves)).orderBy("sid").collect()
