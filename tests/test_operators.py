@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wayline.functions import geohash as gh
 from wayline.functions import geometry as g
 from wayline.functions import trajectories as tr
-from wayline.operators import bloom, cluster, frechet, linear, persistence, simplify, spec
+from wayline.operators import bloom, cluster, frechet, linear, lowrank, persistence, simplify, spec
 from wayline.operators import points as pt
 from wayline.plans import registry
 from wayline.sources import files
@@ -213,6 +213,37 @@ def test_leaders_against_one_pass(spark, sf_dir):
     assert found == wanted
 
 
+def test_randomised_decomposition_of_many_columns(spark):
+    rng = np.random.default_rng(14)
+    a = (rng.normal(size=(300, 8)) * 2.0 ** -np.arange(8)) @ rng.normal(size=(8, 5000)) + 1e-3 * rng.normal(size=(300, 5000))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)] + [(-1, None)], "id long, v array<double>").repartition(6)
+    left, values, right = lowrank.randomised_svd(rows, "id", "v", 4)
+    u, d, vt = np.linalg.svd(a, full_matrices=False)
+    assert values == pytest.approx(d[:4], rel=1e-8)
+    assert np.abs(np.abs((vt[:4] @ right)) - np.eye(4)).max() < 1e-6 and (right[np.abs(right).argmax(axis=0), range(4)] > 0).all()
+    got = {r.id: r.scores for r in left.collect()}
+    mine = np.array([got[i] for i in range(300)])
+    assert len(got) == 300 and np.abs(np.abs(u[:, :4].T @ mine) - np.eye(4)).max() < 1e-6
+    assert np.abs(mine * values @ right.T - (u[:, :4] * d[:4]) @ vt[:4]).max() < 1e-6
+
+
+def test_randomised_decomposition_of_low_rank_and_none(spark):
+    a = np.outer(np.arange(1.0, 21), np.ones(6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id long, v array<double>")
+    left, values, right = lowrank.randomised_svd(rows, "id", "v", 3)
+    assert values == pytest.approx([np.linalg.norm(a), 0, 0], abs=1e-9) and np.abs(right[:, 0] - 6**-0.5).max() < 1e-9
+    left, values, right = lowrank.randomised_svd(rows.limit(0), "id", "v", 3)
+    assert left.count() == 0 and len(values) == 0
+
+
+def test_truncated_decomposition(spark):
+    a = np.random.default_rng(15).normal(size=(50, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id long, v array<double>")
+    left, values, right = linear.truncated_svd(rows, "id", "v", 6)
+    got = {r.id: r.scores for r in left.collect()}
+    assert np.abs(np.array([got[i] for i in range(50)]) * values @ right.T - a).max() < 1e-8
+
+
 def test_specification_survives_xml():
     made = spec.group(spec.distance("dtw"), spec.distance("edit_distance", "length", length=1), id="g")
     assert spec.DistanceSpec.from_xml(made.to_xml()) == made

@@ -32,11 +32,11 @@ def gram(rows: DataFrame, features: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "row"])
 
     parts = source.mapInArrow(run, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    cells = parts.collect()
-    n = 1 + max((r.i for r in cells), default=-1)
+    cells = parts.toArrow()  # as many numbers as the square has, in columns
+    i, j = (cells.column(c).to_numpy() for c in ("i", "j"))
+    n = 1 + int(i.max(initial=-1))
     out = np.zeros((n, n))
-    for r in cells:
-        out[r.i, r.j] = r.v
+    out[i, j] = cells.column("v").to_numpy()
     return out
 
 
