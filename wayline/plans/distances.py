@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import trajectories as tr
-from ..operators import compare, frechet, spec
+from ..operators import compare, frechet, search, spec, wavefront
 from ..operators import points as pt
 from . import tables as t
 from .registry import query, r6
@@ -99,7 +99,25 @@ _FRECHET = """list_reduce(rows[2:], lambda above, ds: list_reduce(list_zip(ds, a
 
 @query(f"{_QV}{_ROWS} SELECT tid, round(({_FRECHET})[-1], 6) AS discrete_frechet FROM s")
 def discrete_frechet(spark, sf_dir):
-    return _vector_query(spark, sf_dir, "discrete_frechet")
+    """Discrete Fréchet distance of every vector's trajectory to the first, by waves."""
+    db = t.vectors(spark, sf_dir)
+    asked = compare.query_row(db, db.agg(F.min("tid")).first()[0])
+    pairs = db.crossJoin(F.broadcast(asked)).where("tid <> query_tid").select("tid", F.col("pts").alias("u"), F.col("query_pts").alias("v"))
+    return wavefront.distances(pairs, "tid").select("tid", r6(F.col("distance")).alias("discrete_frechet"))
+
+
+@query(f"{_QV}{_ROWS}, e AS (SELECT tid, round(({_FRECHET})[-1], 6) AS distance FROM s) SELECT tid, distance FROM e ORDER BY distance, tid LIMIT 10")
+def knn_discrete_frechet(spark, sf_dir):
+    """The ten trajectories nearest to the first one by discrete Fréchet distance."""
+    db = t.vectors(spark, sf_dir)
+    return search.nearest(db, db.agg(F.min("tid")).first()[0], 10).select("tid", r6(F.col("distance")).alias("distance"))
+
+
+@query()
+def knn_frechet(spark, sf_dir):
+    """The ten users' trajectories nearest to the smallest user's by continuous Fréchet distance; tested against measuring all."""
+    db, asked = _database(spark, sf_dir)
+    return search.nearest(db, asked.first().query_tid, 10, continuous=True).select("tid", F.round("distance", 4).alias("distance"))
 
 
 @query(f"{_HV}, c AS (SELECT tid, min(d) AS c, sum(d) FILTER (i = j) AS s, sqrt(sum(d * d) FILTER (i = j)) AS l FROM d GROUP BY tid) SELECT tid, round(c, 6) AS closest_pair, round(s, 6) AS sum_of_pairs, round(l, 6) AS dtw, round(m, 6) AS discrete_hausdorff FROM h JOIN c USING (tid)")
@@ -130,7 +148,8 @@ def dtw_banded(spark, sf_dir):
     """True dynamic time warping within a band."""
     db = t.vectors(spark, sf_dir)
     asked = compare.query_row(db, db.agg(F.min("tid")).first()[0])
-    return db.crossJoin(F.broadcast(asked)).select("tid", r6(tr.dtw_banded(F.col("pts"), F.col("query_pts"), 4)).alias("dtw_banded"))
+    pairs = db.crossJoin(F.broadcast(asked)).select("tid", F.col("pts").alias("u"), F.col("query_pts").alias("v"))
+    return wavefront.distances(pairs, "tid", "warping", band=4).select("tid", r6(F.col("distance")).alias("dtw_banded"))
 
 
 @query()
