@@ -77,7 +77,7 @@ def _softmax(z):
 class Piece:
     """What training takes of a text besides the whole: how many parts, and of how many words at most."""
 
-    PARTS, SHORT, LONG, TINY = 6, 40, 300, 3
+    PARTS, SHORT, LONG, TINY = 2, 40, 100, 3
 
 
 def _part(words: list[str], longest: int, rng) -> list[str]:
@@ -171,7 +171,7 @@ def train(parts: list[list[np.ndarray]], whole: list[tuple[np.ndarray, np.ndarra
     return {"names": names, "scores": scores.astype(np.float32), "bias": bias, "heat": heat, "least": least, "table": table}
 
 
-def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="lang", quota=1500, most_rows=12_000, most_bytes=128 << 20) -> dict | None:
+def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="lang", quota=1500, most_rows=12_000, most_bytes=64 << 20) -> dict | None:
     """Train on about `quota` rows of each label and `most_rows` in all, drawn by a hash of id and text, and on fewer whole rows
     where what they hash to would take more than `most_bytes`.
 
@@ -183,12 +183,15 @@ def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="lan
     with scratch() as keep:
         drawn = keep(pieces(stratified(rows, "label", ["doc_id", "text"], quota, most_rows)).dropDuplicates(["key", "label"]), "sample")
         sample = bounded(drawn, "key", "size", most_bytes).toArrow()
-    sample = sample.sort_by([("label", "ascending"), ("key", "ascending")])
+    order = sample.select(["label", "key"]).add_column(0, "at", pa.array(range(sample.num_rows))).sort_by([("label", "ascending"), ("key", "ascending")]).column("at").to_pylist()
     kind = np.min_scalar_type(TABLE - 1)
-    parts, labels = [[np.frombuffer(b, kind) for b in ps] for ps in sample.column("parts").to_pylist()], sample.column("label").to_pylist()
-    whole = [(np.frombuffer(r, kind), np.frombuffer(n, np.float32)) for r, n in zip(sample.column("rows").to_pylist(), sample.column("counts").to_pylist())]
+    column = lambda name: (values := sample.column(name).to_pylist()) and [values[i] for i in order]
+    parts, labels = [[np.frombuffer(b, kind) for b in ps] for ps in column("parts")], column("label")
+    whole = [(np.frombuffer(r, kind), np.frombuffer(n, np.float32)) for r, n in zip(column("rows"), column("counts"))]
+    del sample, column
+    tx.release()
     model = train(parts, whole, labels)
-    del sample, parts, whole
+    del parts, whole
     tx.release()
     return model
 
