@@ -207,8 +207,19 @@ def bloom_murmur(spark, sf_dir):
     return made.select("tid", "n", F.size("bits").cast("long").alias("ones"))
 
 
-@query()
+_NARROW = " UNION ALL ".join(f"SELECT tid, CAST(('0x' || substr(md5('{i}' || cell), 1, 8))::BIGINT % 64 AS INT) AS pos FROM s" for i in range(2))
+
+
+@query(f"""{_cells_sql(1).replace('WITH ', 'WITH RECURSIVE ', 1)}, s AS (SELECT DISTINCT tid, cell FROM c), h AS ({_NARROW}),
+  b AS MATERIALIZED (SELECT tid, row_number() OVER (ORDER BY tid) AS r, bits FROM (SELECT tid, list(DISTINCT pos) AS bits FROM h GROUP BY tid)),
+  d AS MATERIALIZED (SELECT y.r, list(x.r) AS close FROM b x, b y WHERE x.r < y.r AND len(x.bits) + len(y.bits) - 2 * len(list_intersect(x.bits, y.bits)) < 14 GROUP BY y.r),
+  g AS (
+    SELECT CAST(1 AS BIGINT) AS r, [CAST(1 AS BIGINT)] AS leaders, CAST(1 AS BIGINT) AS mine
+    UNION ALL
+    SELECT r, CASE WHEN led IS NULL THEN list_append(leaders, r) ELSE leaders END, coalesce(led, r) FROM (
+      SELECT b.r, g.leaders, list_min(list_intersect(g.leaders, coalesce(d.close, []))) AS led FROM g JOIN b ON b.r = g.r + 1 LEFT JOIN d ON d.r = b.r))
+  SELECT b.tid, l.tid AS leader FROM g JOIN b USING (r) JOIN b l ON l.r = g.mine""")
 def leader_classes(spark, sf_dir):
-    """Each trajectory's filter of one-character cells with its leader; decided in rounds, tested against one pass in order."""
+    """Each trajectory's filter of one-character cells with its leader; decided in rounds, against one pass in order."""
     made = bloom.filters(index.cell_sets(t.events(spark, sf_dir), 1), 64, 2)
     return bloom.leader_classes(made, 14, 64)

@@ -46,7 +46,20 @@ def threshold_sampling(spark, sf_dir):
     return simplify.threshold_sampling(timed, 0.5, 60.0).select("tid", "seq", "y")
 
 
-@query()
+_TURN = "degrees(acos(greatest(-1, least(1, ax / al * bx / bl + ay / al * b_y / bl)))) * CASE WHEN ax / al * b_y / bl - ay / al * bx / bl < 0 THEN -1 ELSE 1 END"
+
+
+@query(f"""WITH {t.EVENTS}, s AS (
+  SELECT tid, seq, count(*) OVER (PARTITION BY tid) AS n, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS bx, lead(y) OVER w - y AS b_y FROM p WINDOW w AS (PARTITION BY tid ORDER BY seq)
+), l AS (SELECT *, sqrt(ax * ax + ay * ay) AS al, sqrt(bx * bx + b_y * b_y) AS bl FROM s), v AS (
+  SELECT tid, seq, n, CASE WHEN al > 0 AND bl > 0 THEN {_TURN} ELSE 0 END AS v FROM l
+), k AS (SELECT *, lead(v) OVER (PARTITION BY tid ORDER BY seq) AS next FROM v WHERE n > 2), e AS (
+  SELECT tid, seq, n, v, lag(v) OVER w AS pv, lead(v) OVER w AS nv, count(*) OVER (PARTITION BY tid) AS levels FROM k WHERE next IS NULL OR next <> v WINDOW w AS (PARTITION BY tid ORDER BY seq)
+)
+SELECT tid, seq, CASE WHEN v < pv THEN 'min' ELSE 'max' END AS kind FROM e WHERE (v < pv) = (v < nv)
+UNION ALL SELECT tid, 0, CASE WHEN nv > v THEN 'min' ELSE 'max' END FROM e WHERE levels > 1 AND pv IS NULL
+UNION ALL SELECT tid, n - 1, CASE WHEN v > pv THEN 'max' ELSE 'min' END FROM e WHERE levels > 1 AND nv IS NULL
+UNION ALL SELECT tid, unnest([0, n - 1]), unnest(['min', 'max']) FROM e WHERE levels = 1""")
 def curve_extrema(spark, sf_dir):
     return persistence.marked_extrema(t.events(spark, sf_dir)).select("tid", "seq", "kind")
 
