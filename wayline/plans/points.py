@@ -132,9 +132,30 @@ def haversine_steps(spark, sf_dir):
     return rows.select("tid", "seq", F.round(g.haversine(*(F.col(c) for c in ("lat", "lon", "lat2", "lon2"))), 2).alias("metres"))
 
 
-@query()
+_A, _FLAT = g.WGS84_A, g.WGS84_F
+_B2 = (_A * (1 - _FLAT)) ** 2
+#: One look at the line of each step under a guess of its longitude on the sphere: arc, azimuth at the equator and what follows.
+_LOOK = f"""SELECT *, {_FLAT} / 16 * c2a * (4 + {_FLAT} * (4 - 3 * c2a)) AS c, CASE WHEN c2a > 1e-15 THEN cos(sg) - 2 * s1 * s2 / c2a ELSE 0 END AS cm FROM (
+  SELECT *, greatest(1 - sa * sa, 0) AS c2a FROM (
+    SELECT *, atan2(ss, cs) AS sg, CASE WHEN ss > 0 THEN c1 * c2 * sin(lam) / ss ELSE 0 END AS sa FROM (
+      SELECT t.*, g.i, g.lam, sqrt((c2 * sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * cos(lam)) ** 2) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM g JOIN t USING (tid, seq) WHERE i {{}})))"""
+_UP = "ln(tan(radians(greatest(least({}, 89.999999), -89.999999)) / 2 + 0.7853981633974483))"
+_WIND = f"degrees(atan2(CASE WHEN d > pi() THEN d - 2 * pi() WHEN d < -pi() THEN d + 2 * pi() ELSE d END, {_UP.format('lat2')} - {_UP.format('lat')})) + 360"
+
+
+@query(f"""WITH RECURSIVE {t.EVENTS}, k AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM p WINDOW w AS (PARTITION BY tid ORDER BY seq)), z AS (
+  SELECT *, atan({1 - _FLAT} * tan(radians(lat))) AS u1, atan({1 - _FLAT} * tan(radians(lat2))) AS u2, radians(lon2 - lon - 360 * floor((lon2 - lon + 180) / 360)) AS far, radians(lon2 - lon) AS d FROM k WHERE lat2 IS NOT NULL
+), t AS MATERIALIZED (SELECT *, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2 FROM z), g AS (
+  SELECT tid, seq, 0 AS i, far AS lam FROM t
+  UNION ALL
+  SELECT tid, seq, i + 1, far + (1 - c) * {_FLAT} * sa * (sg + c * sin(sg) * (cm + c * cos(sg) * (2 * cm * cm - 1))) FROM ({_LOOK.format('< 40')})
+), m AS (
+  SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS big, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS small FROM (SELECT *, c2a * {(_A**2 - _B2) / _B2} AS u FROM ({_LOOK.format('= 40')}))
+)
+SELECT tid, seq, round({_A * (1 - _FLAT)} * big * (sg - small * sin(sg) * (cm + small / 4 * (cos(sg) * (2 * cm * cm - 1) - small / 6 * cm * (4 * sin(sg) ** 2 - 3) * (4 * cm * cm - 3)))), 3) AS metres,
+       round({_WIND} - 360 * floor(({_WIND}) / 360), 6) AS bearing FROM m""")
 def wgs84_distance(spark, sf_dir):
-    """Geodesic length and rhumb bearing of every step; an iterative formula, so tested against known distances instead of SQL."""
+    """Geodesic length and rhumb bearing of every step."""
     w = Window.partitionBy("tid").orderBy("seq")
     rows = t.events(spark, sf_dir).withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w)}).where("lat2 IS NOT NULL")
     measured = geodesic.lengths(rows.select("tid", "seq", "lat", "lon", "lat2", "lon2"), "lat", "lon")
