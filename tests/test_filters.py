@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.operators import bloom, index, slices
+from wayline.operators import bloom, encodings, index, slices
 
 
 def sets(spark, made):
@@ -69,3 +69,19 @@ def test_counting_and_decaying_filters_take_back(spark):
     left = {r.tid: set(r.bits) for r in bloom.alive(timed, 16).collect()}
     b = set(spark.range(1).select(bloom.md5_positions(F.lit("b"), 512, 3)).first()[0])
     assert left[1] == b and set(left) == {1, 2}
+
+
+def test_empty_summary_and_smaller_filters(spark):
+    df = spark.createDataFrame([(1, [1, 65, 130]), (2, [])], "tid long, bits array<int>")
+    rows = df.select(bloom.empty(F.col("bits")), bloom.summary(F.col("bits"), 192), bloom.folded(F.col("bits"), 192, 64)).collect()
+    assert [(r[0], tuple(r[1]), r[2]) for r in rows] == [(False, (192, 3), [1, 2]), (True, (192, 0), [])]
+    assert [tuple(r) for r in bloom.resized(df).orderBy("tid").collect()] == [(1, 0, []), (2, 0, [])]
+    with pytest.raises(ValueError):
+        bloom.folded(F.col("bits"), 192, 50)
+
+
+def test_missing_singular_values(spark):
+    entries = encodings.one_hot(spark.createDataFrame([(1, "ABAB"), (2, "AABBA")], "tid long, code string"), 2)
+    rows = encodings.singular_profile(entries, 4, na_rm=False).collect()
+    got = {t: [r.value for r in sorted(rows, key=lambda r: r["rank"]) if r.tid == t] for t in (1, 2)}
+    assert got == {1: [None] * 4, 2: [0.25] * 4}

@@ -171,6 +171,27 @@ def jaccard_estimate(a: Column, b: Column, m: int, d: float) -> Column:
     return F.when(union > 0, 1 - intersection_estimate(a, b, m, d) / union).otherwise(1.0)
 
 
+def empty(bits: Column) -> Column:
+    return F.size(bits) == 0
+
+
+def summary(bits: Column, m: int) -> Column:
+    """The size of a filter and how many of its bits are set."""
+    return F.struct(F.lit(m).alias("size"), F.size(bits).alias("ones"))
+
+
+def resized(filters_: DataFrame) -> DataFrame:
+    """(tid, n, bits) after a change of size: nothing is kept, as positions depend on it."""
+    return filters_.select("tid", F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("bits"))
+
+
+def folded(bits: Column, m: int, to: int) -> Column:
+    """A filter made smaller without hashing again: positions modulo a size that divides the old one. It holds what it held."""
+    if m % to:
+        raise ValueError("the new size must divide the old one")
+    return F.array_sort(F.array_distinct(F.transform(bits, lambda b: b % to)))
+
+
 def subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 

@@ -177,9 +177,25 @@ def one_hot_cross(a: DataFrame, b: DataFrame, rows_b: int) -> DataFrame:
     return a.join(right, ["tid", "col"]).select("tid", ((F.col("row") - 1) * rows_b + F.col("other")).alias("row"), "col")
 
 
-def singular_profile(entries: DataFrame, size: int) -> DataFrame:
-    """(tid, rank, value): normalised singular values of each one-hot matrix, zeros up to `size`."""
+def bigram_name(row: Column, alphabet: int, start: str = "A") -> Column:
+    """The two characters that a row of a one-hot matrix stands for."""
+    letter = lambda k: F.char(F.lit(ord(start)) + k)
+    return F.concat(letter(F.floor((row - 1) / alphabet)), letter((row - 1) % alphabet))
+
+
+def cross_name(row: Column, a: tuple[int, str], b: tuple[int, str]) -> Column:
+    """The names of both rows that a row of one_hot_cross() stands for, with a comma between; a, b: alphabet and first character of each side."""
+    many = b[0] ** 2
+    return F.concat_ws(",", bigram_name(F.floor((row - 1) / many) + 1, *a), bigram_name((row - 1) % many + 1, *b))
+
+
+def singular_profile(entries: DataFrame, size: int, na_rm: bool = True) -> DataFrame:
+    """(tid, rank, value): normalised singular values of each one-hot matrix, zeros up to `size`.
+
+    na_rm: where it is not set, a matrix with fewer than `size` values has missing ones, which makes all of its values null.
+    """
     roots = entries.groupBy("tid", "row").agg(F.sqrt(F.count("*").cast("double")).alias("v")).groupBy("tid").agg(F.sort_array(F.collect_list("v"), asc=False).alias("vs"))
     total = F.aggregate("vs", F.lit(0.0), lambda s, x: s + x)
     full = F.slice(F.concat("vs", F.array_repeat(F.lit(0.0), size)), 1, size)
-    return roots.select("tid", F.posexplode(F.transform(full, lambda x: x / total)).alias("rank", "value"))
+    known = F.lit(True) if na_rm else F.size("vs") >= size
+    return roots.select("tid", F.posexplode(F.transform(full, lambda x: F.when(known, x / total))).alias("rank", "value"))

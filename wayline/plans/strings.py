@@ -113,3 +113,10 @@ def one_hot_cross(spark, sf_dir):
     a = e.one_hot(_encoded(spark, sf_dir, "global_direction"), 8)
     b = e.one_hot(_encoded(spark, sf_dir, "length"), 16)
     return e.one_hot_cross(a, b, 256).select("tid", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+
+
+@query(f"""{_ENTRIES} SELECT tid, CAST((gr - 1) * 256 + lr AS BIGINT) AS "row", CAST(col AS BIGINT) AS col,
+  chr(65 + CAST((gr - 1) // 8 AS INT)) || chr(65 + CAST((gr - 1) % 8 AS INT)) || ',' || chr(65 + CAST((lr - 1) // 16 AS INT)) || chr(65 + CAST((lr - 1) % 16 AS INT)) AS name FROM e WHERE gr IS NOT NULL""")
+def one_hot_cross_named(spark, sf_dir):
+    """The same with the names of its rows."""
+    return one_hot_cross(spark, sf_dir).select("tid", "row", "col", e.cross_name(F.col("row"), (8, "A"), (16, "A")).alias("name"))
