@@ -6,7 +6,7 @@ A query reads a window of as many rows on either side of its place in every orde
 all windows merge and are reranked in double precision on the original vectors.
 
 A window has a fixed number of rows: the smallest, in powers of the square root of two from `least`
-on, in which `target` of the true neighbours of a bounded sample of queries stand. These are found by
+on, in which `target` of the true neighbours of a bounded sample of other rows stand. These are found by
 brute force and their places counted exactly, over all rows. Vectors with structure get by with short windows, whose share of the table falls as
 it grows; vectors spread evenly in many dimensions need wide ones, as any index does.
 
@@ -170,9 +170,9 @@ def _true_neighbours(own: DataFrame, probes: pa.Table, k: int) -> pa.Table:
     return found.where(F.col("n") <= k).select("probe", "vec_id", F.col("vector").cast(vector).alias("vector")).toArrow()
 
 
-def window_rows(own: DataFrame, reps: DataFrame, fitted: Curves, k: int, probes: int, target: float, least: int) -> int:
-    """Rows on either side of a query's place in which, in some ordering, `target` of the true neighbours of `probes` queries stand."""
-    asked = reps.orderBy(F.xxhash64("vec_id", F.lit("probe")), "vec_id").limit(probes).toArrow()
+def window_rows(own: DataFrame, rows: DataFrame, fitted: Curves, k: int, probes: int, target: float, least: int) -> int:
+    """Rows on either side of a place in which, in some ordering, `target` of the true neighbours of `probes` of the rows stand."""
+    asked = rows.orderBy(F.xxhash64("vec_id", F.lit("probe")), "vec_id").limit(probes).toArrow()
     near = _true_neighbours(own, asked, k)
     if not near.num_rows:
         return least
@@ -198,10 +198,10 @@ def window_rows(own: DataFrame, reps: DataFrame, fitted: Curves, k: int, probes:
         a, b = before[np.searchsorted(m, places[probe, c])], before[np.searchsorted(m, theirs[:, c])]
         apart = np.minimum(apart, np.abs(a - b))
     need = int(np.quantile(apart, target, method="higher")) + 1
-    rows = float(least)
-    while rows < need:
-        rows *= 2**0.5
-    return int(rows)
+    side = float(least)
+    while side < need:
+        side *= 2**0.5
+    return int(side)
 
 
 def _dealt(rows: DataFrame, fitted: Curves, reach: int, asks: bool) -> DataFrame:
@@ -295,7 +295,9 @@ def nearest(
         if not taken.num_rows:
             taken = own.orderBy("vec_id").limit(1).toArrow()
         fitted = Curves(_matrix(taken.column("vector")), taken.column("vec_id").to_numpy(), max(1, total // block_rows), curves, dimensions, bits, seed)
-        side = window_rows(own, reps, fitted, k, probes, target, least)
+        # windows are set by rows that are no queries, so that what queries find tells how good they are
+        outside = own.join(reps.select("vec_id"), "vec_id", "left_anti")
+        side = window_rows(own, outside if outside.limit(1).count() else reps, fitted, k, probes, target, least)
         reach = min(fitted.blocks - 1, -(-side // block_rows))
         most = 2 * (k + 1)
         dealt = _dealt(own, fitted, 0, False).union(_dealt(reps, fitted, reach, True))
