@@ -1,8 +1,8 @@
 """WARC derivatives: each response record yields a metadata record and a plain-text conversion record.
 
 Both refer to the response (WARC-Refers-To), keep its target address, date, HTTP headers and payload
-digest, and have identifiers that follow from the response's own, so running again gives the same
-records. Digests are SHA-1 in base 32, of the whole block. Records can be read from and written to
+digest, and have identifiers that follow from the response's own, so running again on the same
+responses gives the same records. Digests are SHA-1 in base 32, of the whole block. Records can be read from and written to
 WARC files: a file is a sequence of records, so the pieces that tasks write are files of their own.
 
 A null payload counts as empty; a null address, date or header is left out. Malformed markup is
@@ -104,7 +104,8 @@ def responses(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="ht
     """Response records of crawled pages; the headers say what a page is served as.
 
     Identifiers follow from id and address. Where several rows share these, as repeated pages do, the
-    place of the row in the table tells them apart, as identifiers must be unique.
+    place of the row in the table tells them apart, as identifiers must be unique: those change with how the table is
+    partitioned. Write the responses once where their identifiers must last.
     """
     source = F.concat_ws(" ", F.lit("response"), F.col(id_col).cast("string"), F.col(url_col))
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(source).alias("_h"), F.monotonically_increasing_id().alias("_place"))
