@@ -33,15 +33,42 @@ def douglas_peucker_weights(spark, sf_dir):
     return simplify.douglas_peucker_weights(t.supply(spark, sf_dir), EPS).select("tid", "seq", r6(F.col("weight")).alias("weight"))
 
 
-@query()
+_LISTS = f"WITH RECURSIVE {t.SUPPLY}, l AS MATERIALIZED (SELECT tid, list(x ORDER BY seq) AS xs, list(y ORDER BY seq) AS ys, count(*) AS n FROM p GROUP BY tid)"
+# the foot of point j on the chord of the window s..e, as a share of it; lists count from one
+_ALONG = "CASE WHEN dx * dx + dy * dy < 1e-12 THEN 0 ELSE least(greatest(((xs[j + 1] - ax) * dx + (ys[j + 1] - ay) * dy) / (dx * dx + dy * dy), 0), 1) END"
+
+
+@query(f"""{_LISTS}, g AS (
+  SELECT tid, CAST(0 AS BIGINT) AS s, CAST(2 AS BIGINT) AS e, CAST(NULL AS BIGINT) AS kept FROM l
+  UNION ALL
+  SELECT tid, coalesce(k, s), CASE WHEN k IS NULL THEN e + 1 ELSE k + 2 END, k FROM (
+    SELECT tid, s, e, list_min(list_filter(range(s + 1, e), lambda j: sqrt((xs[j + 1] - ax - ({_ALONG}) * dx) ** 2 + (ys[j + 1] - ay - ({_ALONG}) * dy) ** 2) > {EPS})) AS k FROM (
+      SELECT g.*, xs, ys, xs[s + 1] AS ax, ys[s + 1] AS ay, xs[e + 1] - xs[s + 1] AS dx, ys[e + 1] - ys[s + 1] AS dy FROM g JOIN l USING (tid) WHERE e < n)))
+SELECT p.tid, p.seq, p.y FROM p JOIN (SELECT tid, kept AS seq FROM g WHERE kept IS NOT NULL UNION SELECT tid, unnest([0, n - 1]) FROM l) USING (tid, seq)""")
 def opening_window(spark, sf_dir):
-    """Each trajectory by an opening window; sequential, so tested against a plain loop."""
+    """Each trajectory by an opening window, one end after another."""
     return simplify.opening_window(t.supply(spark, sf_dir), EPS).select("tid", "seq", "y")
 
 
-@query()
+def _step(a, b):
+    dx, dy = f"(xs[{b} + 1] - xs[{a} + 1])", f"(ys[{b} + 1] - ys[{a} + 1])"
+    return f"sqrt({dx} ** 2 + {dy} ** 2) / ({b} - {a})", f"degrees(atan2({dy}, {dx}))"
+
+
+def _foretold(a, b, slack=0.5, turn=60.0):
+    (speed, heading), (v, h) = _step("(i - 1)", "i"), _step(a, b)
+    off = f"({heading} - {h} + 180)"
+    return f"({speed} BETWEEN {v} * {1 - slack} AND {v} * {1 + slack} AND abs({off} - 360 * floor({off} / 360) - 180) <= {turn})"
+
+
+@query(f"""{_LISTS}, g AS (
+  SELECT tid, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS b, CAST(1 AS BIGINT) AS c FROM l
+  UNION ALL
+  SELECT tid, i, CASE WHEN told THEN b ELSE c END, CASE WHEN told THEN c ELSE i END FROM (
+    SELECT tid, i, b, c, {_foretold('(i - 2)', '(i - 1)')} AND {_foretold('b', 'c')} AS told FROM (SELECT tid, i + 1 AS i, b, c, xs, ys FROM g JOIN l USING (tid) WHERE i + 1 < n)))
+SELECT p.tid, p.seq, p.y FROM p JOIN (SELECT tid, CAST(0 AS BIGINT) AS seq FROM l UNION SELECT tid, c FROM g) USING (tid, seq)""")
 def threshold_sampling(spark, sf_dir):
-    """Each supplier's points that speed and heading do not foretell, a second apart; sequential, so tested against a plain loop."""
+    """Each supplier's points that speed and heading do not foretell, a second apart."""
     timed = t.supply(spark, sf_dir).withColumn("t", F.col("seq") * 1000)
     return simplify.threshold_sampling(timed, 0.5, 60.0).select("tid", "seq", "y")
 
