@@ -9,9 +9,6 @@ import pytest
 
 from wayline.plans import analysis, registry
 
-#: All pairs of segments: minutes in SQL; the distances have tests of their own.
-SLOW = {"traclus_epsilon_pairs"}
-
 
 @pytest.fixture(scope="module")
 def sql(sf_dir):
@@ -28,7 +25,7 @@ def _plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(name, spark, sf_dir, sql):
     made = registry.QUERIES[name](spark, sf_dir)
     columns = sorted(made.columns)
