@@ -123,3 +123,32 @@ def test_long_words_that_differ(spark):
     texts = {1: f"{morse} b c d e", 2: f"{other} b c d e", 3: f"{morse} b c d e"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_long_unlike_texts_are_not_compared(spark):
+    """Long texts with some passages in common: their sketches alone tell that they are apart, so their shingles stay where they are."""
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(60)]
+    texts = {i: " ".join([f"t{i}x{j}" for j in range(2000 + 300 * i)] + shared) for i in range(4)}
+    base = texts[0].split()
+    texts |= {10: texts[0] + " " + " ".join(f"u{j}" for j in range(480)), 11: edited(rng, base, 12)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    nodes = simhash._outlines(df, 5).withColumnRenamed("doc_id", "node").localCheckpoint()
+    pairs = spark.createDataFrame(list(itertools.combinations(sorted(texts), 2)), "src long, dst long")
+    assert {tuple(r) for r in simhash._near(nodes, pairs, 0.8).collect()} <= {(0, 10), (0, 11), (10, 11)}
+    same_as_brute_force(spark, texts)
+
+
+def test_fine_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(4)
+    for n, more in ((600, 0), (1000, 200), (2000, 100), (4000, 900)):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[n // 10 :], rng.integers(0, 1 << 63, n // 10 + more).astype(np.uint64)])
+        assert 0 < simhash._apart(simhash._fine(a), simhash._fine(b)) <= len(np.setxor1d(a, b))
+
+
+def test_every_wanted_text_is_found(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(-300, 300)] + [(5, "again"), (7, None)], "doc_id long, text string")
+    wanted = df.where("doc_id % 7 = 0").select("doc_id").distinct()
+    got = simhash._texts_of(df, wanted)
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, df.where("doc_id % 7 = 0").collect()))

@@ -185,7 +185,11 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
 SEEDS = 3
 WIDE = 6  # segments of 23 bits
 SKETCH = 8  # longs: the parity of the shingles that fall on each of 512 bits
-SAMPLE = 20_000  # texts whose shingles tell the common ones, which stand last in the order
+FINE = 64 * SKETCH  # sets of more shingles have a finer sketch too, of a bit or two for each shingle
+SLICES = 4  # parts of the prefix keys that are shuffled one after another
+PLACES = 1 << 24  # bits of the filter for texts that a comparison needs
+SAMPLE = 20_000  # texts, and a sixteenth of all at least, whose shingles tell the common ones, which stand last in the order
+SHARE = 1 / 16
 COMMON = 200_000  # of them at most
 LEAST = 3  # texts of the sample that a common shingle occurs in
 
@@ -235,8 +239,23 @@ def _sketch(hashes):
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _fine(hashes):
+    """The same parity on as many bits as there are hashes, or up to twice as many; null for sets that the short sketch serves."""
+    if len(hashes) <= FINE:
+        return None
+    bits = 1 << (len(hashes) - 1).bit_length()
+    odd = np.bincount((hashes >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """In how many elements, at least, two sets with these fine sketches differ; the longer sketch is folded to the other's length."""
+    x, y = (np.frombuffer(s, np.uint8) for s in sorted((a, b), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def _outlines(source, shingle):
-    """(doc_id, d1, d2, size, sketch, segments): a digest, the number and a sketch of each text's shingles, and its wide fingerprint."""
+    """(doc_id, d1, d2, size, sketch, fine, segments): a digest, the number and sketches of each text's shingles, and its wide fingerprint."""
 
     def run(batches):
         for batch, hasher, grams, (data, starts, ends, owner) in _read(batches):
@@ -244,17 +263,21 @@ def _outlines(source, shingle):
             digests = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             segments = word_segments(data, starts, ends, owner, batch.num_rows, hasher)
             sketches = pa.array([_sketch(s) for s in sets], pa.list_(pa.int64()))
+            fine = pa.array([_fine(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), sketches, pa.array([s.tobytes() for s in segments], pa.binary())],
-                ["doc_id", "d1", "d2", "size", "sketch", "segments"],
+                [batch.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), sketches, fine, pa.array([s.tobytes() for s in segments], pa.binary())],
+                ["doc_id", "d1", "d2", "size", "sketch", "fine", "segments"],
             )
 
-    return source.mapInArrow(run, "doc_id long, d1 long, d2 long, size int, sketch array<long>, segments binary")
+    return source.mapInArrow(run, "doc_id long, d1 long, d2 long, size int, sketch array<long>, fine binary, segments binary")
 
 
-def _common(source, shingle):
-    """Hashes, sorted, and counts of the commonest shingles in a bounded sample of texts. It only sets the order of the prefixes."""
-    share = min(1.0, SAMPLE / max(1, source.count()))
+def _common(source, shingle, keep):
+    """Hashes, sorted, and counts of the commonest shingles in a sample of texts. It only sets the order of the prefixes.
+
+    The sample grows with the texts, so that a key left in the prefixes is shared by no more of them in a larger table.
+    """
+    share = min(1.0, max(SHARE, SAMPLE / max(1, source.count())))
     drawn = source.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("common")), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches):
@@ -264,16 +287,15 @@ def _common(source, shingle):
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["gram", "n"])
 
     counts = drawn.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    found = counts.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
+    found = keep(counts.orderBy(F.desc("n"), "gram").limit(COMMON), "common").toArrow()
     hashes = found.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], found.column("n").to_numpy()[order]
 
 
-def _prefixes(source, nodes, shingle, similarity, common):
-    """(key, node, at): the shingles of every node's prefix, and how many of the node's stand before each."""
+def _prefixes(source, shingle, similarity, common):
+    """(node, keys): the shingles of every text's prefix in order, packed: eight bytes each, where the text itself takes several times as many."""
     hashes, counts = common
-    texts = source.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
 
     def run(batches):
         for batch, hasher, grams, (data, starts, ends, owner) in _read(batches):
@@ -284,13 +306,25 @@ def _prefixes(source, nodes, shingle, similarity, common):
                     place = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                     often = np.where(hashes[place] == s, counts[place], 0)
                 n = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
-                firsts.append(s[np.lexsort((s, often))[:n]].view(np.int64))
-            sizes = np.array([len(f) for f in firsts], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(firsts)), batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(tx.spread(sizes).astype(np.int32))], ["key", "node", "at"]
-            )
+                firsts.append(s[np.lexsort((s, often))[:n]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(firsts, pa.binary())], ["node", "keys"])
 
-    return texts.mapInArrow(run, "key long, node long, at int")
+    return source.mapInArrow(run, "node long, keys binary")
+
+
+def _unpacked(prefixes, part):
+    """(key, node, at): one of the SLICES of the prefix keys, and how many of the node's stand before each."""
+
+    def run(batches):
+        for batch in tx.chunks(batches, column="keys", limit=1 << 20):
+            packed = batch.column("keys").to_pylist()
+            sizes = np.array([len(p) // 8 for p in packed], np.int64)
+            keys = np.frombuffer(b"".join(packed), np.uint64)
+            mine = np.flatnonzero((keys >> np.uint64(9)) % np.uint64(SLICES) == part)
+            nodes = np.repeat(batch.column("node").to_numpy(), sizes)[mine]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[mine].view(np.int64)), pa.array(nodes), pa.array(tx.spread(sizes)[mine].astype(np.int32))], ["key", "node", "at"])
+
+    return prefixes.mapInArrow(run, "key long, node long, at int")
 
 
 def _wide_keys(nodes):
@@ -308,14 +342,23 @@ def _wide_keys(nodes):
     return nodes.mapInArrow(run, "key long, node long")
 
 
-def _shared_keys(keyed, keep):
-    """The rows (key, node, ...) whose key two nodes or more share, with a weight: a node weighs as much as it shares over all its keys."""
-    shared = keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "n"), "keys")
-    members = keep(keyed.join(shared, "key"), "members")
+def _shared_keys(slices, keep):
+    """The rows (key, node, ...) whose key two nodes or more share, with a weight: a node weighs as much as it shares over all its keys.
+
+    slices: tables that have no key in common; only one of them is on its way at a time.
+    """
+    parts = []
+    for keyed in slices:
+        shared = keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "n"), "keys")
+        parts.append(keep(keyed.join(shared, "key"), "members"))
+        discard(shared)
+    members = parts[0]
+    for part in parts[1:]:
+        members = members.union(part)
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = keep(members.drop("n").join(weights, "node"), "members")
-    discard(shared)
-    discard(members)
+    for part in parts:
+        discard(part)
     return weighed
 
 
@@ -363,21 +406,48 @@ def _alike(similarity):
 
 def _near(nodes, pairs, similarity):
     """The pairs worth an exact comparison."""
-    side = nodes.select(F.col("node").alias("src"), F.col("size").alias("size1"), F.col("sketch").alias("sketch1"))
-    other = nodes.select(F.col("node").alias("dst"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
-    return pairs.join(side, "src").join(other, "dst").where(_alike(similarity)).select("src", "dst")
+    side = nodes.select(F.col("node").alias("src"), F.col("size").alias("size1"), F.col("sketch").alias("sketch1"), F.col("fine").alias("fine1"))
+    other = nodes.select(F.col("node").alias("dst"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"), F.col("fine").alias("fine2"))
 
+    def run(batches):
+        for batch in batches:
+            most = (1 - similarity) / (1 + similarity) * (batch.column("size1").to_numpy() + batch.column("size2").to_numpy()) + 1e-6
+            fine = zip(batch.column("fine1").to_pylist(), batch.column("fine2").to_pylist(), most.tolist())
+            good = [a is None or b is None or _apart(a, b) <= m for a, b, m in fine]
+            yield batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-def _verified(source, pairs, shingle, similarity, keep):
-    """The pairs whose shingles are as similar as asked, compared exactly."""
+    alike = pairs.join(side, "src").join(other, "dst").where(_alike(similarity))
+    return alike.select("src", "dst", F.col("size1").cast("long"), F.col("size2").cast("long"), "fine1", "fine2").mapInArrow(run, "src long, dst long")
+
+
+def _texts_of(source, wanted):
+    """The rows of source whose doc_id is wanted. A filter of PLACES bits, all that is broadcast, keeps most others out of the shuffle."""
+
+    def word_and_bit(ids):
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+        return ids.withColumns({"_word": F.shiftright(place, 6), "_bit": bit})
+
+    words = word_and_bit(wanted).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    likely = word_and_bit(source).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+    return likely.select(*source.columns).join(wanted, "doc_id", "left_semi")
+
+
+def _gram_sets(source, pairs, shingle):
+    """(doc_id, grams): the shingles of every text in a pair."""
     wanted = pairs.select(F.col("src").alias("doc_id")).union(pairs.select(F.col("dst").alias("doc_id"))).distinct()
-    texts = source.join(wanted, "doc_id", "left_semi")
 
     def cut(batches):
         for batch, hasher, grams, (data, starts, ends, owner) in _read(batches):
             sets = shingle_sets(data, starts, ends, owner, batch.num_rows, shingle, hasher, grams)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
 
+    return _texts_of(source, wanted).mapInArrow(cut, "doc_id long, grams binary").dropDuplicates(["doc_id"])
+
+
+def _verified(pairs, sets, similarity):
+    """The pairs whose shingles are as similar as asked, compared exactly."""
+
     def compare(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -392,7 +462,6 @@ def _verified(source, pairs, shingle, similarity, keep):
                         good.append(i)
                 yield part.select(["src", "dst"]).take(pa.array(good, pa.int64()))
 
-    sets = keep(texts.mapInArrow(cut, "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
     one = sets.select(F.col("doc_id").alias("src"), F.col("grams").alias("g1"))
     two = sets.select(F.col("doc_id").alias("dst"), F.col("grams").alias("g2"))
     return pairs.join(one, "src").join(two, "dst").mapInArrow(compare, "src long, dst long")
@@ -410,23 +479,30 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", shin
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with scratch() as keep:
         outlines = keep(_outlines(source, shingle), "outlines")
-        columns = [F.min_by(c, "doc_id").alias(c) for c in ("size", "sketch", "segments")]
+        columns = [F.min_by(c, "doc_id").alias(c) for c in ("size", "sketch", "fine", "segments")]
         nodes = keep(outlines.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *columns), "nodes")
 
         def joined(links, pairs):
             pairs = keep(_near(nodes, pairs, similarity), "pairs")
-            more = _verified(source, pairs, shingle, similarity, keep)
+            sets = keep(_gram_sets(source, pairs, shingle), "grams")
+            more = _verified(pairs, sets, similarity)
             links = keep(links.union(more) if links else more, "similar")
+            discard(sets)
             return links, keep(components(links), "components")
 
-        wide = _shared_keys(_wide_keys(nodes), keep)
+        wide = _shared_keys([_wide_keys(nodes)], keep)
         links, found = joined(None, _with_hub(wide).distinct())
         discard(wide)
-        prefixes = keep(_prefixes(source, nodes, shingle, similarity, _common(source, shingle)), "prefixes")
-        members = _shared_keys(prefixes, keep)
+        prefixes = _prefixes(source, shingle, similarity, _common(source, shingle, keep))
+        prefixes = keep(prefixes.join(nodes.select("node"), "node", "left_semi"), "prefixes")
+        members = _shared_keys([_unpacked(prefixes, i) for i in range(SLICES)], keep)
         discard(prefixes)
-        links, found = joined(links, _hub_pairs(_split(members, found, keep), crowd))
-        links, found = joined(links, _all_pairs(_split(members, found, keep), nodes, similarity))
+        split = _split(members, found, keep)
+        links, found = joined(links, _hub_pairs(split, crowd))
+        discard(split)
+        split = _split(members, found, keep)
+        discard(members)
+        links, found = joined(links, _all_pairs(split, nodes, similarity))
         named = nodes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
         return materialise(outlines.join(named, ["d1", "d2"]).select(F.col("doc_id").alias(id_col), "component_id"), "classes")
 
