@@ -85,3 +85,19 @@ def test_windows_never_cross_texts(n):
         at += size
         want.append(max((x[i] + 10 * x[i + 1] for i in range(size - 1)), default=x[0] if size else 0.0))
     assert best[:, 0].tolist() == want
+
+
+def test_every_labelled_row_teaches(spark):
+    """More rows than are taught at once: a toxic word of a single row still counts, and thresholds count all rows kept out."""
+    rng = np.random.default_rng(3)
+    plain = [" ".join(rng.choice(["sun", "moon", "tree", "sky"], 12)) for _ in range(600)]
+    texts = [f"{p} {'rotten fool' if i % 3 == 0 else 'kind friend'} only{i}" for i, p in enumerate(plain)]
+    df = spark.createDataFrame([(i, t, int(i % 3 == 0), "en") for i, t in enumerate(texts)], "doc_id long, text string, toxic int, lang string")
+    model = toxicity.fit(df.union(df), df, part_rows=150)
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    assert all((s >= 0.7) == (i % 3 == 0) for i, s in got.items())
+    fresh = toxicity.beginning(np.zeros(toxicity.TABLE), 8, 6, np.random.default_rng(11))["emb"][:, 0].astype(np.float32)
+    words = toxicity.Words()
+    own = [words.rows[words.ids([f"only{i}"])[0][0]][0] for i in range(600)]
+    assert np.mean(model["emb"][own, 0] != 0) > 0.7 and (fresh == 0).all()
+    assert toxicity.fit(df, df.where("toxic = 0"), part_rows=150) is None

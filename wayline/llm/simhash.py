@@ -420,8 +420,8 @@ def _near(nodes, pairs, similarity):
     return alike.select("src", "dst", F.col("size1").cast("long"), F.col("size2").cast("long"), "fine1", "fine2").mapInArrow(run, "src long, dst long")
 
 
-def _texts_of(source, wanted):
-    """The rows of source whose doc_id is wanted. A filter of PLACES bits, all that is broadcast, keeps most others out of the shuffle."""
+def likely(source, wanted):
+    """The rows of source whose doc_id is wanted, and a few others. A filter of PLACES bits, all that is broadcast, keeps most others out of a shuffle."""
 
     def word_and_bit(ids):
         place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
@@ -429,8 +429,12 @@ def _texts_of(source, wanted):
         return ids.withColumns({"_word": F.shiftright(place, 6), "_bit": bit})
 
     words = word_and_bit(wanted).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    likely = word_and_bit(source).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
-    return likely.select(*source.columns).join(wanted, "doc_id", "left_semi")
+    return word_and_bit(source).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*source.columns)
+
+
+def _texts_of(source, wanted):
+    """The rows of source whose doc_id is wanted."""
+    return likely(source, wanted).join(wanted, "doc_id", "left_semi")
 
 
 def _gram_sets(source, pairs, shingle):

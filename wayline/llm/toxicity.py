@@ -21,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialise
+from ..storage import scratch
 from . import text as tx
-from .sampling import bounded, stratified
+from .simhash import likely
 
 TABLE = 1 << 16
 WIDTHS = (1, 2, 3)
 CUT = 0.7
 PREFIX = 5
 MEMO = 200_000
+PART_ROWS, PART_WORDS = 5_000, 5_000_000  # that are taught together; tables of more rows or words are taught in parts
+RARE = 100  # rows of each label that a part has at least, about
+STEP = 1 / 1024  # responses of rows kept out of training are counted on this grid
 
 
 class Words:
@@ -96,16 +99,35 @@ def train(ids: list[np.ndarray], labels, langs, *, dim=8, filters=6, table=TABLE
     if len({*y[learn]}) < 2 or len({*y[held]}) < 2:
         held = learn = order
     kinds = [learn[y[learn] == v] for v in (0, 1)]
+    p = beginning(leaning([ids[i] for i in learn], y[learn], table), dim, filters, rng)
+    draws = ([rng.choice(k, batch // 2) for k in kinds] for _ in range(steps))
+    p = descend(p, ids, y, draws, rate, filters)
+    model = {"table": table, "shift": 0.0, "heat": 1.0, "langs": {}} | p
+    model["emb"] = p["emb"].astype(np.float32)
 
-    p = {"emb": rng.normal(0, 0.1, (table, dim)), "out": rng.normal(0, 0.3, len(WIDTHS) * filters), "bias": np.zeros(1)}
+    truth, raw = y[held], raw_responses(model, [ids[i] for i in held])
+    heats = np.geomspace(0.2, 20, 40)
+    loss = [np.mean(np.logaddexp(0, np.where(truth == 1, -raw, raw) / t)) for t in heats]
+    lang_of = np.array([langs[i] or "" for i in held])
+    return calibrated(model, float(heats[int(np.argmin(loss))]), raw, np.ones(len(raw)), truth, lang_of)
+
+
+def beginning(lean, dim, filters, rng) -> dict:
+    """The weights before training."""
+    p = {"emb": rng.normal(0, 0.1, (len(lean), dim)), "out": rng.normal(0, 0.3, len(WIDTHS) * filters), "bias": np.zeros(1)}
     for w in WIDTHS:
         p[f"f{w}"], p[f"b{w}"] = rng.normal(0, 0.5 / w, (w, dim, filters)), np.zeros(filters)
-    p["emb"][:, 0] = leaning([ids[i] for i in learn], y[learn], table)
+    p["emb"][:, 0] = lean
     p["f1"][0, 0, 0], p["f1"][0, 1:, 0], p["out"][0] = 1.0, 0.0, 1.0
+    return p
+
+
+def descend(p, ids, y, draws, rate, filters) -> dict:
+    """The weights after a step for each draw: lists of row numbers, clean and toxic ones."""
     dense = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k != "emb"}
-    seen = np.zeros(table)
-    for step in range(1, steps + 1):
-        part = np.concatenate([rng.choice(k, batch // 2) for k in kinds])
+    seen = np.zeros(len(p["emb"]))
+    for step, drawn in enumerate(draws, 1):
+        part = np.concatenate(drawn)
         lists = [ids[i] for i in part]  # whole: a toxic text's reason may stand anywhere, and the largest response of a clean one too
         sizes = np.array([len(x) for x in lists], np.int64)
         rows = np.concatenate(lists).astype(np.int64)
@@ -145,45 +167,55 @@ def train(ids: list[np.ndarray], labels, langs, *, dim=8, filters=6, table=TABLE
                 r = rows[at, c]
                 np.add.at(seen, r, (d * d).mean(axis=1))
                 np.add.at(p["emb"], r, -4 * rate * d / (np.sqrt(seen[r])[:, None] + 1e-6))
-    model = {"table": table, "shift": 0.0, "heat": 1.0, "langs": {}} | p
-    model["emb"] = p["emb"].astype(np.float32)
+    return p
 
+
+def raw_responses(model, lists) -> np.ndarray:
+    """The logit of each text before calibration."""
     maps = filter_maps(model)
-    raw = np.array([responses(model, model["emb"][ids[i].astype(np.int64)].astype(np.float64).sum(axis=1) @ maps, np.array([len(ids[i])]))[0] for i in held])
-    truth = y[held]
-    heats = np.geomspace(0.2, 20, 40)
-    loss = [np.mean(np.logaddexp(0, np.where(truth == 1, -raw, raw) / t)) for t in heats]
-    heat = float(heats[int(np.argmin(loss))])
-    common = _threshold(raw, truth)
+    return np.array([responses(model, model["emb"][x.astype(np.int64)].astype(np.float64).sum(axis=1) @ maps, np.array([len(x)]))[0] for x in lists])
+
+
+def calibrated(model, heat, raw, n, hits, lang_of) -> dict:
+    """The model with its temperature and thresholds; n rows, hits of them toxic, have the response raw and the language lang_of."""
+    common = _threshold(raw, hits, n)
     gap = float(np.log(CUT / (1 - CUT)))
     model |= {"heat": heat, "shift": gap - common / heat}
-    lang_of = np.array([langs[i] or "" for i in held])
     for lang in sorted(set(lang_of.tolist()) - {""}):
         mine = lang_of == lang
-        if mine.sum() >= 30 and 5 <= truth[mine].sum() < mine.sum():
-            model["langs"][lang] = float(_sigmoid(_threshold(raw[mine], truth[mine]) / heat + model["shift"]))
+        if n[mine].sum() >= 30 and 5 <= hits[mine].sum() < n[mine].sum():
+            model["langs"][lang] = float(_sigmoid(_threshold(raw[mine], hits[mine], n[mine]) / heat + model["shift"]))
     return model
 
 
 def leaning(lists, y, table) -> np.ndarray:
     """How much oftener each table row occurs in toxic texts than in clean ones, as log odds shrunk toward zero."""
+    return odds(occurrences(lists, y, table), len(y) - y.sum(), y.sum())
+
+
+def occurrences(lists, y, table) -> np.ndarray:
+    """The number of clean and of toxic texts that hold each table row."""
     seen = np.zeros((2, table))
     for x, label in zip(lists, y):
         seen[int(label), np.unique(x)] += 1
-    toxic, clean = seen[1], seen[0]
-    odds = np.log((toxic + 0.5) / (clean + 0.5)) - np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    return np.clip(odds, -1, 6) * (toxic + clean) / (toxic + clean + 4) / 2
+    return seen
+
+
+def odds(seen, n_clean, n_toxic) -> np.ndarray:
+    clean, toxic = seen
+    ratio = np.log((toxic + 0.5) / (clean + 0.5)) - np.log((n_toxic + 1) / (n_clean + 1))
+    return np.clip(ratio, -1, 6) * (toxic + clean) / (toxic + clean + 4) / 2
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _threshold(raw: np.ndarray, truth: np.ndarray) -> float:
+def _threshold(raw: np.ndarray, truth: np.ndarray, n: np.ndarray) -> float:
     """The cut with the best balance of precision and recall; the middle of the gap that gives it."""
     order = np.argsort(-raw, kind="stable")
     hits = np.cumsum(truth[order])
-    f = 2 * hits / (np.arange(1, len(raw) + 1) + truth.sum())
+    f = 2 * hits / (np.cumsum(n[order]) + truth.sum())
     values = raw[order]
     last = np.append(values[1:] != values[:-1], True)  # equal scores stay together
     k = int(np.argmax(np.where(last, f, -1)))
@@ -207,21 +239,113 @@ def packed(texts: DataFrame, table: int = TABLE) -> DataFrame:
     return rows.mapInArrow(run, "key long, label int, lang string, words long, rows binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", lang_col="lang", quota=2500, most_words=5_000_000) -> dict | None:
-    """Train on about `quota` rows of each label, drawn by a hash of the id, and fewer where they hold over `most_words` words; texts are taken whole.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", lang_col="lang", part_rows=PART_ROWS, part_words=PART_WORDS) -> dict | None:
+    """Train on every labelled row, texts taken whole. Repeated rows count once.
 
-    The sample is drawn from the labels alone and is small, so the documents are not shuffled to find
-    its texts; the driver gets the table rows of their words, four bytes each. Repeated rows count once.
+    Tables of at most `part_rows` rows and `part_words` words are taught at once. Larger ones are
+    dealt into parts of about that size by a hash; see _by_parts().
     """
-    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    drawn = stratified(rows, "label", ["doc_id"], quota, 2 * quota).dropDuplicates(["key", "label"]).drop("key")
+    kind = docs.schema[id_col].dataType
+    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast(kind).alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text"))
-    found = materialise(packed(texts.join(F.broadcast(drawn), "doc_id")).dropDuplicates(["key", "label"]), "sample")
-    sample = bounded(found, "key", "words", most_words).toArrow().sort_by([("label", "ascending"), ("key", "ascending")])
-    discard(found)
+    with scratch() as keep:
+        found = keep(packed(likely(texts, rows.select("doc_id")).join(rows, "doc_id")), "taught")
+        held = found.agg(F.count("*").alias("rows"), F.sum("words").alias("words")).first()
+        if held.rows <= part_rows and (held.words or 0) <= part_words:
+            table = _once(found.toArrow().sort_by([("label", "ascending"), ("key", "ascending")]))
+            return train(_lists(table), table.column("label").to_pylist(), table.column("lang").to_pylist())
+        return _by_parts(found, max(-(-held.rows // part_rows), -(-held.words // part_words)), keep)
+
+
+def _once(table: pa.Table) -> pa.Table:
+    """Rows that follow another of the same key and label are left out."""
+    keys, labels = table.column("key").to_numpy(), table.column("label").to_numpy()
+    return table.filter(pa.array(np.concatenate([[True], (keys[1:] != keys[:-1]) | (labels[1:] != labels[:-1])]) if len(keys) else np.zeros(0, bool)))
+
+
+def _lists(table) -> list[np.ndarray]:
     kind = np.min_scalar_type(TABLE - 1)
-    return train([np.frombuffer(b, kind).reshape(-1, 2) for b in sample.column("rows").to_pylist()], sample.column("label").to_pylist(), sample.column("lang").to_pylist())
+    return [np.frombuffer(b, kind).reshape(-1, 2) for b in table.column("rows").to_pylist()]
+
+
+def _by_parts(found: DataFrame, parts: int, keep, *, passes=2, dim=8, filters=6, batch=48, rate=0.02, seed=11) -> dict | None:
+    """The model of a table too large to be taught at once.
+
+    The log odds count all rows that are taught. From there each part trains weights of its own, going
+    `passes` times through all its rows (the fewer of a label are repeated to match the others), and
+    the weights are averaged: for a table row over the parts that changed it. Temperature and thresholds count all rows
+    kept out, a fourth, by their responses on a grid. Rows of a rare label go to several parts.
+    The driver gets sums, whose number the tables of the model set.
+    """
+    draw = lambda name, n: F.pmod(F.xxhash64("key", F.lit(name)), F.lit(n))
+    learn, held = found.where(draw("held", 4) != 0), found.where(draw("held", 4) == 0)
+    sizes = {r.label: r.n for r in learn.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return None
+    times = F.when(F.col("label") == min(sizes, key=sizes.get), min(parts, -(-RARE * parts // min(sizes.values())))).otherwise(1)
+    copies = learn.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1))).withColumn("part", F.pmod(draw("part", parts) + F.col("copy"), F.lit(parts)))
+    order = [("label", "ascending"), ("key", "ascending")]
+
+    def count(table: pa.Table) -> pa.Table:
+        table = _once(table.sort_by(order))
+        y = table.column("label").to_numpy()
+        seen = occurrences(_lists(table), y, TABLE)
+        at = np.flatnonzero(seen.sum(axis=0))  # the last row, beyond the table, holds how many texts there are
+        return pa.table({"row": pa.array(np.append(at, TABLE)), "clean": np.append(seen[0, at], (y == 0).sum()), "toxic": np.append(seen[1, at], (y == 1).sum())})
+
+    counts = copies.where("copy = 0").groupBy("part").applyInArrow(count, "row long, clean double, toxic double")
+    counts = keep(counts.groupBy("row").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "counts").toArrow()
+    seen = np.zeros((2, TABLE + 1))
+    seen[:, counts.column("row").to_numpy()] = counts.column("clean").to_numpy(), counts.column("toxic").to_numpy()
+    lean = odds(seen[:, :TABLE], *seen[:, TABLE])
+    first = beginning(lean, dim, filters, np.random.default_rng(seed))
+    dense = [k for k in first if k != "emb"]
+
+    def teach(table: pa.Table) -> pa.Table:
+        number = table.column("part")[0].as_py()
+        table = _once(table.sort_by(order))
+        y, rng = table.column("label").to_numpy().astype(float), np.random.default_rng([seed, number])
+        kinds = [np.flatnonzero(y == v) for v in (0, 1)]
+        p = beginning(lean, dim, filters, np.random.default_rng(seed))
+        before = p["emb"].copy()
+        if all(map(len, kinds)):
+            half = batch // 2
+            steps = passes * -(-max(map(len, kinds)) // half)
+            turns = [np.concatenate([rng.permutation(k) for _ in range(-(-steps * half // len(k)))]) for k in kinds]
+            p = descend(p, _lists(table), y, ([t[i * half : (i + 1) * half] for t in turns] for i in range(steps)), rate, filters)
+        moved = np.flatnonzero((p["emb"] != before).any(axis=1))
+        small = np.concatenate([p[k].ravel() for k in dense])
+        values = [*p["emb"][moved].tolist(), small.tolist()]  # the last row, beyond the table, holds all other weights
+        return pa.table({"row": pa.array(np.append(moved, TABLE)), "weights": pa.array(values, pa.list_(pa.float64()))})
+
+    taught = copies.groupBy("part").applyInArrow(teach, "row long, weights array<double>")
+    means = taught.select("row", F.posexplode("weights").alias("at", "weight")).groupBy("row", "at").agg(F.avg("weight").alias("weight"))
+    means = keep(means, "weights").toArrow()
+    row, at, weight = (means.column(c).to_numpy() for c in ("row", "at", "weight"))
+    p, own = first, row < TABLE
+    p["emb"][row[own], at[own]] = weight[own]
+    small = np.zeros(sum(p[k].size for k in dense))
+    small[at[~own]] = weight[~own]
+    ends = np.cumsum([p[k].size for k in dense])
+    p |= {k: part.reshape(p[k].shape) for k, part in zip(dense, np.split(small, ends[:-1]))}
+    model = {"table": TABLE, "shift": 0.0, "heat": 1.0, "langs": {}} | p
+    model["emb"] = p["emb"].astype(np.float32)
+
+    def respond(batches):
+        for b in tx.chunks(batches, column="rows", limit=1 << 21):
+            bins = np.round(raw_responses(model, _lists(b)) / STEP).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), b.column("lang"), pa.array(bins)], ["key", "label", "lang", "bin"])
+
+    bins = held.mapInArrow(respond, "key long, label int, lang string, bin long").dropDuplicates(["key", "label"])
+    bins = keep(bins.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "bin").agg(F.count("*").alias("n"), F.sum("label").alias("hits")), "bins").toArrow()
+    raw, n, hits = bins.column("bin").to_numpy() * STEP, bins.column("n").to_numpy().astype(float), bins.column("hits").to_numpy().astype(float)
+    if not 0 < hits.sum() < n.sum():
+        return model | {"shift": float(np.log(CUT / (1 - CUT)))}
+    heats = np.geomspace(0.2, 20, 40)
+    loss = [np.sum(hits * np.logaddexp(0, -raw / t) + (n - hits) * np.logaddexp(0, raw / t)) for t in heats]
+    lang_of = np.array(bins.column("lang").to_pylist())
+    return calibrated(model, float(heats[int(np.argmin(loss))]), raw, n, hits, lang_of)
 
 
 def filter_maps(model: dict) -> np.ndarray:
