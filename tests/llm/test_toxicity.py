@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.llm import queries, toxicity
+from wayline.llm import queries, simhash, toxicity
 from wayline.llm.sampling import bounded
 
 SF = "/root/testdata/sf0.1"
@@ -101,3 +101,43 @@ def test_every_labelled_row_teaches(spark):
     own = [words.rows[words.ids([f"only{i}"])[0][0]][0] for i in range(600)]
     assert np.mean(model["emb"][own, 0] != 0) > 0.7 and (fresh == 0).all()
     assert toxicity.fit(df, df.where("toxic = 0"), part_rows=150) is None
+
+
+def _shuffled(spark, act):
+    """What act() gives, and the bytes that its stages have shuffled."""
+    sc = spark.sparkContext
+    args = (None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(*args)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    return act(), sum(v for k, v in written().items() if k not in before)
+
+
+def test_shuffles_keep_in_proportion_to_the_input(spark):
+    """Where the labels are too many to be broadcast, texts meet them by a shuffle; taken together no more is moved then than for fewer labels."""
+    rng = np.random.default_rng(9)
+    words = [[f"{x:016x}" for x in rng.integers(0, 1 << 62, 1000)] + ["rotten" if i % 3 == 0 else "kind"] for i in range(600)]
+    rows = [(i, " ".join(w), int(i % 3 == 0), "en") for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    was, got = spark.conf.get(name), []
+    try:
+        for limit in ("10m", "-1"):
+            spark.conf.set(name, limit)
+            got.append(_shuffled(spark, lambda: toxicity.fit(df.union(df), df.select("doc_id", "toxic"), part_rows=150)))
+    finally:
+        spark.conf.set(name, was)
+    (few, moved), (many, more) = got
+    assert few["shift"] == pytest.approx(many["shift"]) and np.allclose(few["emb"], many["emb"])
+    assert moved > 5e6 and more < 1.15 * moved
+
+
+def test_filters_grow_with_the_rows_wanted(spark):
+    ids = spark.range(1 << 22).withColumnRenamed("id", "doc_id")
+    wanted = ids.where("doc_id % 2 = 0")
+    kept = simhash.likely(ids, wanted, wanted.count())
+    assert kept.where("doc_id % 2 = 0").count() == 1 << 21 and kept.count() < 1.1 * (1 << 21)

@@ -187,7 +187,7 @@ WIDE = 6  # segments of 23 bits
 SKETCH = 8  # longs: the parity of the shingles that fall on each of 512 bits
 FINE = 64 * SKETCH  # sets of more shingles have a finer sketch too, of a bit or two for each shingle
 SLICES = 4  # parts of the prefix keys that are shuffled one after another
-PLACES = 1 << 24  # bits of the filter for texts that a comparison needs
+PLACES, MOST_PLACES = 1 << 24, 1 << 27  # bits of the filter for texts that a comparison needs
 SAMPLE = 20_000  # texts, and a sixteenth of all at least, whose shingles tell the common ones, which stand last in the order
 SHARE = 1 / 16
 COMMON = 200_000  # of them at most
@@ -420,11 +420,15 @@ def _near(nodes, pairs, similarity):
     return alike.select("src", "dst", F.col("size1").cast("long"), F.col("size2").cast("long"), "fine1", "fine2").mapInArrow(run, "src long, dst long")
 
 
-def likely(source, wanted):
-    """The rows of source whose doc_id is wanted, and a few others. A filter of PLACES bits, all that is broadcast, keeps most others out of a shuffle."""
+def likely(source, wanted, number=0):
+    """The rows of source whose doc_id is wanted, and a few others. A filter, all that is broadcast, keeps most others out of a shuffle.
+
+    It has PLACES bits, or for a number of wanted rows that is known 16 bits a row, and MOST_PLACES at most.
+    """
+    places = min(max(PLACES, 1 << (16 * number - 1).bit_length()), MOST_PLACES) if number else PLACES
 
     def word_and_bit(ids):
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(places))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
         return ids.withColumns({"_word": F.shiftright(place, 6), "_bit": bit})
 

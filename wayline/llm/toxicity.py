@@ -223,7 +223,7 @@ def _threshold(raw: np.ndarray, truth: np.ndarray, n: np.ndarray) -> float:
 
 
 def packed(texts: DataFrame, table: int = TABLE) -> DataFrame:
-    """(key, label, lang, words, rows) of (doc_id, label, lang, text): the table rows of every word of each whole text, packed."""
+    """(key, label, lang, words, rows) of (doc_id, label, lang, text): the table rows of every word of each whole text, packed. Repeated rows give one."""
     kind = np.min_scalar_type(table - 1)
 
     def run(batches):
@@ -235,8 +235,9 @@ def packed(texts: DataFrame, table: int = TABLE) -> DataFrame:
                 [*(batch.column(c) for c in ("key", "label", "lang")), pa.array([len(i) for i in ids], pa.int64()), pa.array(out, pa.binary())], ["key", "label", "lang", "words", "rows"]
             )
 
-    rows = texts.select(F.xxhash64(F.col("doc_id").cast("string"), "text", "label").alias("key"), "label", "lang", "text")
-    return rows.mapInArrow(run, "key long, label int, lang string, words long, rows binary")
+    keyed = texts.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text", "label"))
+    rows = keyed.dropDuplicates(["doc_id", "key", "label"])  # texts that were joined by doc_id are not moved again
+    return rows.select("key", "label", "lang", "text").mapInArrow(run, "key long, label int, lang string, words long, rows binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", lang_col="lang", part_rows=PART_ROWS, part_words=PART_WORDS) -> dict | None:
@@ -250,20 +251,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text"))
     with scratch() as keep:
-        found = keep(packed(likely(texts, rows.select("doc_id")).join(rows, "doc_id")), "taught")
+        found = keep(packed(likely(texts, rows.select("doc_id"), labels.count()).join(rows, "doc_id")), "taught")
         held = found.agg(F.count("*").alias("rows"), F.sum("words").alias("words")).first()
         if held.rows <= part_rows and (held.words or 0) <= part_words:
-            table = _once(found.toArrow().sort_by([("label", "ascending"), ("key", "ascending")]))
+            table = found.toArrow().sort_by([("label", "ascending"), ("key", "ascending")])
             return train(_lists(table), table.column("label").to_pylist(), table.column("lang").to_pylist())
         return _by_parts(found, max(-(-held.rows // part_rows), -(-held.words // part_words)), keep)
 
 
-def _once(table: pa.Table) -> pa.Table:
-    """Rows that follow another of the same key and label are left out."""
-    keys, labels = table.column("key").to_numpy(), table.column("label").to_numpy()
-    return table.filter(pa.array(np.concatenate([[True], (keys[1:] != keys[:-1]) | (labels[1:] != labels[:-1])]) if len(keys) else np.zeros(0, bool)))
-
-
 def _lists(table) -> list[np.ndarray]:
     kind = np.min_scalar_type(TABLE - 1)
     return [np.frombuffer(b, kind).reshape(-1, 2) for b in table.column("rows").to_pylist()]
@@ -285,16 +280,17 @@ def _by_parts(found: DataFrame, parts: int, keep, *, passes=2, dim=8, filters=6,
         return None
     times = F.when(F.col("label") == min(sizes, key=sizes.get), min(parts, -(-RARE * parts // min(sizes.values())))).otherwise(1)
     copies = learn.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1))).withColumn("part", F.pmod(draw("part", parts) + F.col("copy"), F.lit(parts)))
-    order = [("label", "ascending"), ("key", "ascending")]
 
-    def count(table: pa.Table) -> pa.Table:
-        table = _once(table.sort_by(order))
-        y = table.column("label").to_numpy()
-        seen = occurrences(_lists(table), y, TABLE)
-        at = np.flatnonzero(seen.sum(axis=0))  # the last row, beyond the table, holds how many texts there are
-        return pa.table({"row": pa.array(np.append(at, TABLE)), "clean": np.append(seen[0, at], (y == 0).sum()), "toxic": np.append(seen[1, at], (y == 1).sum())})
+    def count(batches):
+        seen = np.zeros((2, TABLE + 1))
+        for b in tx.chunks(batches, column="rows"):
+            y = b.column("label").to_numpy()
+            seen[:, :TABLE] += occurrences(_lists(b), y, TABLE)
+            seen[:, TABLE] += (y == 0).sum(), (y == 1).sum()
+        at = np.flatnonzero(seen.any(axis=0))  # the last row, beyond the table, holds how many texts there are
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["row", "clean", "toxic"])
 
-    counts = copies.where("copy = 0").groupBy("part").applyInArrow(count, "row long, clean double, toxic double")
+    counts = learn.mapInArrow(count, "row long, clean double, toxic double")
     counts = keep(counts.groupBy("row").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "counts").toArrow()
     seen = np.zeros((2, TABLE + 1))
     seen[:, counts.column("row").to_numpy()] = counts.column("clean").to_numpy(), counts.column("toxic").to_numpy()
@@ -304,7 +300,7 @@ def _by_parts(found: DataFrame, parts: int, keep, *, passes=2, dim=8, filters=6,
 
     def teach(table: pa.Table) -> pa.Table:
         number = table.column("part")[0].as_py()
-        table = _once(table.sort_by(order))
+        table = table.sort_by([("label", "ascending"), ("key", "ascending")])
         y, rng = table.column("label").to_numpy().astype(float), np.random.default_rng([seed, number])
         kinds = [np.flatnonzero(y == v) for v in (0, 1)]
         p = beginning(lean, dim, filters, np.random.default_rng(seed))
@@ -335,9 +331,9 @@ def _by_parts(found: DataFrame, parts: int, keep, *, passes=2, dim=8, filters=6,
     def respond(batches):
         for b in tx.chunks(batches, column="rows", limit=1 << 21):
             bins = np.round(raw_responses(model, _lists(b)) / STEP).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), b.column("lang"), pa.array(bins)], ["key", "label", "lang", "bin"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("lang"), pa.array(bins)], ["label", "lang", "bin"])
 
-    bins = held.mapInArrow(respond, "key long, label int, lang string, bin long").dropDuplicates(["key", "label"])
+    bins = held.mapInArrow(respond, "label int, lang string, bin long")
     bins = keep(bins.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "bin").agg(F.count("*").alias("n"), F.sum("label").alias("hits")), "bins").toArrow()
     raw, n, hits = bins.column("bin").to_numpy() * STEP, bins.column("n").to_numpy().astype(float), bins.column("hits").to_numpy().astype(float)
     if not 0 < hits.sum() < n.sum():
