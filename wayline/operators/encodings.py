@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,21 @@ def _turn(a: Column, b: Column) -> Column:
     return (F.atan2(b["y"] - a["y"], b["x"] - a["x"]) + math.pi) / (2 * math.pi)
 
 
+def _turns(steps: Column) -> Column:
+    """Headings of steps (from a to b) as shares of a full turn. By the C library's atan2, as SQL engines take it: the JVM's
+    differs in the last bit, and a heading between two bins, or two equal headings, then get other letters."""
+
+    @F.arrow_udf("array<double>")
+    def headings(rise: pa.Array, run: pa.Array) -> pa.Array:
+        pairs = zip(rise.flatten().to_pylist(), run.flatten().to_pylist())
+        angles = [None if y is None or x is None else math.atan2(y, x) for y, x in pairs]
+        ends = rise.value_lengths().fill_null(0).to_numpy().cumsum()
+        return pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.array(angles, pa.float64()), mask=rise.is_null())
+
+    angles = headings(F.transform(steps, lambda p: p["b"]["y"] - p["a"]["y"]), F.transform(steps, lambda p: p["b"]["x"] - p["a"]["x"]))
+    return F.transform(angles, lambda a: (a + math.pi) / (2 * math.pi))
+
+
 def _pairs(pts: Column) -> Column:
     n = F.greatest(F.size(pts) - 1, F.lit(0))
     return F.zip_with(F.slice(pts, 1, n), F.slice(pts, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -51,7 +67,7 @@ def local_direction(pts: Column, k: int = 8) -> Column:
         n = F.greatest(F.size(turns) - 1, F.lit(0))
         return _text(F.transform(F.zip_with(F.slice(turns, 2, n), F.slice(turns, 1, n), back), lambda c: _letter(_bin(c, k, True))))
 
-    return let(F.transform(_pairs(pts), lambda p: _turn(p["a"], p["b"])), changes)
+    return let(_turns(_pairs(pts)), changes)
 
 
 def _lengths(d: Column, k: int) -> Column:
