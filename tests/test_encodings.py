@@ -25,3 +25,12 @@ EQUAL_STEPS = [119.57, 25.69, 14.36, 3.03, 16.72, 0.6]
 def test_turn_between_equal_steps(spark, tmp_path):
     made, wanted = both(spark, tmp_path, "encode_local", {1: EQUAL_STEPS})
     assert made == wanted
+
+
+#: The 13th value lies 12 below the first, 12 steps later.
+DIAGONAL = [21.44, 68.89, 54.86, 156.47, 17.57, 63.45, 34.72, 59.17, 69.42, 4.48, 58.53, 6.52, 33.44, 15.0, 76.56]
+
+
+def test_diagonal_to_the_first_point(spark, tmp_path):
+    made, wanted = both(spark, tmp_path, "encode_global_fsp", {1: DIAGONAL})
+    assert made == wanted

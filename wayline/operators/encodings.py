@@ -55,8 +55,8 @@ def global_direction(pts: Column, k: int = 8) -> Column:
 
 def global_direction_fsp(pts: Column, k: int = 8) -> Column:
     """Heading from every point but the last to the first."""
-    first = F.get(pts, 0)
-    return _text(F.transform(_pairs(pts), lambda p: _letter(_bin(_turn(p["a"], first), k, True))))
+    back = F.transform(_pairs(pts), lambda p: F.struct(p["a"].alias("a"), F.get(pts, 0).alias("b")))
+    return _text(F.transform(_turns(back), lambda t: _letter(_bin(t, k, True))))
 
 
 def local_direction(pts: Column, k: int = 8) -> Column:
