@@ -3,6 +3,7 @@
 import datetime
 
 import duckdb
+import pytest
 
 from wayline.plans import registry
 
@@ -34,3 +35,14 @@ DIAGONAL = [21.44, 68.89, 54.86, 156.47, 17.57, 63.45, 34.72, 59.17, 69.42, 4.48
 def test_diagonal_to_the_first_point(spark, tmp_path):
     made, wanted = both(spark, tmp_path, "encode_global_fsp", {1: DIAGONAL})
     assert made == wanted
+
+
+def test_zipped_letters_of_equal_steps_and_diagonals(spark, tmp_path):
+    made, wanted = both(spark, tmp_path, "zip_features", {1: EQUAL_STEPS, 2: DIAGONAL, 3: [1.0, 2.0, 1.0, 1.0, 0.0], 4: [5.0]})
+    assert made == wanted
+
+
+@pytest.mark.parametrize("name", ["encode_global", "encode_global_fsp", "encode_local", "encode_length"])
+def test_short_trajectories(spark, tmp_path, name):
+    made, wanted = both(spark, tmp_path, name, {1: [5.0], 2: [1.0, 4.0], 3: [1.0, 2.0, 3.0], 4: [1.0, 1.0, 7.5]})
+    assert made == wanted and wanted

@@ -19,11 +19,6 @@ def _bin(share: Column, k: int, wrap: bool) -> Column:
     return F.when(step >= k, 0 if wrap else k - 1).otherwise(step)
 
 
-def _turn(a: Column, b: Column) -> Column:
-    """Heading from a to b as a share of a full turn."""
-    return (F.atan2(b["y"] - a["y"], b["x"] - a["x"]) + math.pi) / (2 * math.pi)
-
-
 def _turns(steps: Column) -> Column:
     """Headings of steps (from a to b) as shares of a full turn. By the C library's atan2, as SQL engines take it: the JVM's
     differs in the last bit, and a heading between two bins, or two equal headings, then get other letters."""
@@ -50,7 +45,7 @@ def _text(letters: Column) -> Column:
 
 def global_direction(pts: Column, k: int = 8) -> Column:
     """Heading of every step."""
-    return _text(F.transform(_pairs(pts), lambda p: _letter(_bin(_turn(p["a"], p["b"]), k, True))))
+    return _text(F.transform(_turns(_pairs(pts)), lambda t: _letter(_bin(t, k, True))))
 
 
 def global_direction_fsp(pts: Column, k: int = 8) -> Column:
