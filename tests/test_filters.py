@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wayline import storage
 from wayline.operators import bloom, encodings, index, slices
 
 
@@ -85,3 +87,25 @@ def test_missing_singular_values(spark):
     rows = encodings.singular_profile(entries, 4, na_rm=False).collect()
     got = {t: [r.value for r in sorted(rows, key=lambda r: r["rank"]) if r.tid == t] for t in (1, 2)}
     assert got == {1: [None] * 4, 2: [0.25] * 4}
+
+
+def _one_pass(bits, limit):
+    leaders, found = [], {}
+    for tid in sorted(bits):
+        found[tid] = next((x for x in leaders if len(bits[x] ^ bits[tid]) < limit), tid)
+        leaders += [tid] * (found[tid] == tid)
+    return found
+
+
+@pytest.mark.parametrize(("m", "share", "limit"), [(64, 0.95, 14), (64, 0.5, 14), (200, 0.2, 3), (64, 0.1, 1)])
+def test_leaders_of_near_and_far_filters_without_pairs(spark, monkeypatch, m, share, limit):
+    """Several rounds, and no table with more rows than there are filters: near pairs of 400 filters are up to 79,800."""
+    monkeypatch.setattr(bloom, "ROUND", 40, raising=False)
+    rng = np.random.default_rng(9)
+    bits = {3 * i - 50: set(np.flatnonzero(rng.random(m) < share).tolist()) for i in range(400)}
+    bits |= {2000: set(), 2001: set(), 2002: bits[-50], 2003: set(range(m))}
+    rows, keep = [], storage.materialise
+    monkeypatch.setattr(storage, "materialise", lambda df, label: (made := keep(df, label), rows.append(made.count()))[0])
+    made = spark.createDataFrame([(t, sorted(b)) for t, b in bits.items()], "tid long, bits array<int>")
+    assert dict(map(tuple, bloom.leader_classes(made, limit, m).collect())) == _one_pass(bits, limit)
+    assert max(rows) <= len(bits)

@@ -5,8 +5,11 @@ offered: MurmurHash3 (128 bits for 32-bit machines, as published), and MD5, whic
 Filters of one index must use one hash.
 """
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -281,24 +284,74 @@ def close_pairs(filters_: DataFrame, limit: int, m: int = 1024) -> DataFrame:
     return told.where(F.aggregate("apart", F.lit(0), lambda s, v: s + v) < limit).select("a", "b")
 
 
+#: Filters that are decided one after another in a round, at most, and the bytes of them and of a batch in tasks.
+ROUND, ROUND_BYTES = 8192, 4 << 20
+
+
+def _words(filters_: DataFrame, m: int) -> DataFrame:
+    """(tid, words): the bits of each filter packed."""
+    wide = -(-m // 64) * 64
+
+    def pack(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows := max(1, ROUND_BYTES // wide)):
+                batch = whole.slice(at, rows)
+                bits = batch.column("bits")
+                held = np.zeros((batch.num_rows, wide), bool)
+                held[np.repeat(np.arange(batch.num_rows), bits.value_lengths().fill_null(0)), bits.flatten()] = True
+                yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([w.tobytes() for w in np.packbits(held, axis=1)], pa.binary())], ["tid", "words"])
+
+    return filters_.select("tid", "bits").mapInArrow(pack, f"tid {filters_.schema['tid'].dataType.simpleString()}, words binary")
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def leader_classes(filters_: DataFrame, limit: int = 25, m: int = 1024) -> DataFrame:
     """(tid, leader): each filter joins the first leader, by id, that differs in fewer than `limit` bits, or leads itself.
 
-    Decided in rounds instead of one by one: a filter leads as soon as every smaller close one is
-    known to follow, and follows as soon as a smaller close one leads.
+    Decided in rounds: the smallest undecided ids, ROUND at most, one after another, as that order is what the classes
+    depend on; then their leaders go to all tasks, and every undecided filter joins the first that is near it. No pairs
+    are made: a filter meets the leaders before its own, and is done with there.
     """
     from ..storage import discard, materialise
 
-    pairs = materialise(close_pairs(filters_, limit, m), "close")
-    state = materialise(filters_.select("tid", F.lit(None).cast("boolean").alias("leads")), "leaders")
-    while state.where("leads IS NULL").limit(1).count():
-        smaller = pairs.join(state.select(F.col("tid").alias("a"), F.col("leads").alias("known")), "a")
-        seen = smaller.groupBy("b").agg(F.coalesce(F.bool_or("known"), F.lit(False)).alias("led"), F.bool_or(F.col("known").isNull()).alias("open"))
-        told = state.join(seen.withColumnRenamed("b", "tid"), "tid", "left")
-        now = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("led", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        fresh = materialise(told.select("tid", now.alias("leads")), "leaders")
-        discard(state)
-        state = fresh
-    leaders = state.where("leads").select(F.col("tid").alias("a"))
-    first = pairs.join(leaders, "a").groupBy(F.col("b").alias("tid")).agg(F.min("a").alias("first"))
-    return state.join(first, "tid", "left").select("tid", F.when(F.col("leads"), F.col("tid")).otherwise(F.col("first")).alias("leader"))
+    if limit <= 0:
+        return filters_.select("tid", F.col("tid").alias("leader"))
+    kind = filters_.schema["tid"].dataType.simpleString()
+    many = max(1, min(ROUND, ROUND_BYTES * 8 // max(1, m)))
+    held = materialise(_words(filters_, m), "filters")
+    told = [materialise(held.where("tid IS NULL").select("tid", F.col("tid").alias("leader")), "leaders")]
+    left = held.where("tid IS NOT NULL")
+    while head := left.orderBy("tid").limit(many).collect():
+        words = np.frombuffer(b"".join(r.words for r in head), np.uint64).reshape(len(head), -1)
+        rest, leads = np.arange(len(head)), []
+        while len(rest):
+            leads.append(rest[0])
+            rest = rest[_apart(words[rest], words[rest[0]]) >= limit]
+        fresh = materialise(left.mapInArrow(_following([head[i].tid for i in leads], words[leads], limit), f"tid {kind}, words binary, leader {kind}"), "filters")
+        told.append(materialise(fresh.where("leader IS NOT NULL").select("tid", "leader"), "leaders"))
+        discard(held)
+        held, left = fresh, fresh.where("leader IS NULL").select("tid", "words")
+    discard(held)
+    return reduce(DataFrame.union, told)
+
+
+def _following(ids: list, leaders: np.ndarray, limit: int):
+    """Batches of (tid, words) with the first of the leaders near each, null where none is."""
+
+    def follow(batches):
+        for batch in batches:
+            words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            found, rest, at = np.full(len(words), -1), np.arange(len(words)), 0
+            while at < len(leaders) and len(rest):
+                part = leaders[at : at + max(1, ROUND_BYTES // (8 * words.shape[1] * len(rest)))]
+                near = _apart(words[rest, None], part) < limit
+                any_ = near.any(axis=1)
+                found[rest[any_]] = at + near[any_].argmax(axis=1)
+                rest, at = rest[~any_], at + len(part)
+            kind = batch.column("tid").type
+            yield batch.append_column("leader", pa.array(ids, kind).take(pa.array(found, mask=found < 0)))
+
+    return follow
